@@ -25,8 +25,17 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from fieldtally.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op8_packing": op8_packing,
         "op7_secret_scans": op7_secret_scans,
     }
 
