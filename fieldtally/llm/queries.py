@@ -33,6 +33,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldtally.llm.ann import build_index, search_index
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search_index(build_index(vectors, k=5), vectors, F.col("id") % 50 == 0, k=5)
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldtally.llm.exact_topk import exact_topk
 
@@ -42,6 +49,7 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_nearest_neighbours": op1_nearest_neighbours,
         "op5_exact_topk": op5_exact_topk,
         "op8_packing": op8_packing,
         "op7_secret_scans": op7_secret_scans,
