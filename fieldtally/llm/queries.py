@@ -40,6 +40,12 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_index(build_index(vectors, k=5), vectors, F.col("id") % 50 == 0, k=5)
 
 
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldtally.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldtally.llm.exact_topk import exact_topk
 
@@ -50,6 +56,7 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_nearest_neighbours": op1_nearest_neighbours,
+        "op4_simhash_dedup": op4_simhash_dedup,
         "op5_exact_topk": op5_exact_topk,
         "op8_packing": op8_packing,
         "op7_secret_scans": op7_secret_scans,
