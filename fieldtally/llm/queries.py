@@ -40,6 +40,14 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_index(build_index(vectors, k=5), vectors, F.col("id") % 50 == 0, k=5)
 
 
+def op2_pieces_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from fieldtally.llm.pieces import encode_round_trip
+
+    return encode_round_trip(table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldtally.llm.simhash import near_duplicates
 
@@ -56,6 +64,7 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_nearest_neighbours": op1_nearest_neighbours,
+        "op2_pieces_round_trip": op2_pieces_round_trip,
         "op4_simhash_dedup": op4_simhash_dedup,
         "op5_exact_topk": op5_exact_topk,
         "op8_packing": op8_packing,
