@@ -61,6 +61,32 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.col("score").cast("long"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldtally.llm.lines import remove_boilerplate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    cleaned = remove_boilerplate(docs)
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+# The url rules.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldtally.llm.urls import judge_urls
+
+    pages = table(spark, sf_dir, "pages")
+    judged = judge_urls(pages, URL_RULES, pages, "html")
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.array_join("words", " ").alias("words"), "score")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_nearest_neighbours": op1_nearest_neighbours,
@@ -69,9 +95,32 @@ def queries() -> dict[str, Query]:
         "op5_exact_topk": op5_exact_topk,
         "op8_packing": op8_packing,
         "op7_secret_scans": op7_secret_scans,
+        "op9_line_dedup": op9_line_dedup,
+        "op10_url_filters": op10_url_filters,
     }
 
 
+OP9_SQL = """
+WITH lines AS (
+  SELECT doc_id, source, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line
+  FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)
+), spread AS (
+  SELECT trim(line, ' ') AS t, count(DISTINCT source) AS sites, min(doc_id) AS keep_doc
+  FROM lines WHERE trim(line, ' ') <> '' GROUP BY 1
+), first_at AS (
+  SELECT s.t, s.keep_doc, min(l.pos) AS keep_pos
+  FROM spread s JOIN lines l ON trim(l.line, ' ') = s.t AND l.doc_id = s.keep_doc
+  WHERE s.sites >= 10 GROUP BY 1, 2
+), marked AS (
+  SELECT l.doc_id, l.pos, l.line,
+         f.t IS NOT NULL AND NOT (l.doc_id = f.keep_doc AND l.pos = f.keep_pos) AS gone
+  FROM lines l LEFT JOIN first_at f ON trim(l.line, ' ') = f.t
+)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INTEGER)) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS text_sha256
+FROM marked GROUP BY doc_id
+"""
+
 OP5_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
@@ -93,4 +142,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_topk": OP5_SQL}
+    return {"op5_exact_topk": OP5_SQL, "op9_line_dedup": OP9_SQL}
