@@ -48,6 +48,17 @@ def op2_pieces_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_round_trip(table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldtally.llm.toxicity import fit, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = fit(docs, table(spark, sf_dir, "labels"), train_on=~held_out)
+    return score_toxicity(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldtally.llm.simhash import near_duplicates
 
@@ -91,6 +102,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_nearest_neighbours": op1_nearest_neighbours,
         "op2_pieces_round_trip": op2_pieces_round_trip,
+        "op3_toxicity": op3_toxicity,
         "op4_simhash_dedup": op4_simhash_dedup,
         "op5_exact_topk": op5_exact_topk,
         "op8_packing": op8_packing,
