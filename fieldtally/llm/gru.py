@@ -16,7 +16,8 @@ import numpy as np
 WORD_BUCKETS, CHAR_BUCKETS = 8192, 16384
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 8, 16, 8, 8
 WINDOW, STRIDE = 48, 36
-FIRST_WINDOWS = 6000
+DROP_WORDS, DROP_GRAMS, MIN_DOCS = 0.5, 0.3, 4
+FIRST_WINDOWS, EPOCH_WINDOWS = 6000, 1500
 _WORD = re.compile(r"\w+")
 
 
@@ -203,16 +204,32 @@ def train(windows: list[list[str]], docs: np.ndarray, labels: np.ndarray, seed:
     count = np.bincount(owner, minlength=n_words)
     start = np.cumsum(count) - count
     w_bucket = word_buckets(vocabulary)
+    # What fewer than MIN_DOCS documents hold is left out: it could only be learnt by heart.
+    pairs = np.unique(np.stack([np.repeat(docs, WINDOW)[index.ravel() > 0], index[index > 0] - 1]), axis=1)
+    docs_of_word = np.bincount(np.unique(np.stack([pairs[0], w_bucket[pairs[1]]]), axis=1)[1], minlength=WORD_BUCKETS)
+    c = count[pairs[1]]
+    grams = bucket[np.repeat(start[pairs[1]], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)]
+    docs_of_gram = np.bincount(np.unique(np.repeat(pairs[0], c) * CHAR_BUCKETS + grams) % CHAR_BUCKETS, minlength=CHAR_BUCKETS)
+    word_ok, gram_ok = docs_of_word >= MIN_DOCS, docs_of_gram >= MIN_DOCS
+    p["word"][~word_ok] = 0
+    p["char"][~gram_ok] = 0
     adam = Adam(p, rate)
     many = np.bincount(docs)
 
-    def inputs(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Input vectors of vocabulary rows ``v``, their grams and the grams' owners."""
+    def inputs(v: np.ndarray, drop: bool = False):
+        """Input vectors of vocabulary rows ``v``, their grams, the grams' owners, and
+        what of the words and grams was kept: dropping some keeps the network from
+        learning single rare words by heart."""
         c = count[v]
         own = np.repeat(np.arange(len(v)), c)
         grams = bucket[np.repeat(start[v], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)]
-        char = np.add.reduceat(p["char"][grams], np.cumsum(c) - c, axis=0) / c[:, None]
-        return np.hstack([p["word"][w_bucket[v]], char]).astype(np.float32), grams, own
+        keep_w = (rng.random((len(v), 1)) >= (DROP_WORDS if drop else 0)).astype(np.float32)
+        keep_g = (rng.random((len(grams), 1)) >= (DROP_GRAMS if drop else 0)).astype(np.float32)
+        keep_w *= word_ok[w_bucket[v], None]
+        keep_g *= gram_ok[grams, None]
+        scale = np.float32(1 if drop else 1 - DROP_WORDS), np.float32(1 if drop else 1 - DROP_GRAMS)
+        char = np.add.reduceat(p["char"][grams] * keep_g, np.cumsum(c) - c, axis=0) / c[:, None]
+        return np.hstack([p["word"][w_bucket[v]] * keep_w * scale[0], char * scale[1]]).astype(np.float32), grams, own, keep_w, keep_g
 
     def scores() -> np.ndarray:
         x = np.vstack([np.zeros((1, WORD_DIM + CHAR_DIM), np.float32), inputs(np.arange(n_words))[0]])
@@ -223,6 +240,7 @@ def train(windows: list[list[str]], docs: np.ndarray, labels: np.ndarray, seed:
         adam.rate = rate * (1 if epoch < epochs - 3 else 0.3)
         if epoch < 1:
             use = rng.permutation(np.flatnonzero(many[docs] <= 4))[:FIRST_WINDOWS]
+            use = np.tile(use, -(-EPOCH_WINDOWS // max(1, len(use))))[: max(len(use), EPOCH_WINDOWS)]
             y = labels[docs[use]].astype(np.float32)
         else:
             s = scores()
@@ -230,6 +248,7 @@ def train(windows: list[list[str]], docs: np.ndarray, labels: np.ndarray, seed:
             first = best[np.flatnonzero(np.append(True, docs[best][1:] != docs[best][:-1]))]
             positive = first[labels[docs[first]] == 1]
             clean = np.flatnonzero(labels[docs] == 0)
+            positive = np.tile(positive, -(-EPOCH_WINDOWS // max(1, len(positive))))[: max(EPOCH_WINDOWS, len(positive))]
             hard = clean[np.argsort(-s[clean], kind="stable")[: len(positive)]]
             other = rng.choice(clean, min(len(clean), len(positive)), replace=False)
             negative = np.union1d(hard, other)
@@ -247,7 +266,7 @@ def train(windows: list[list[str]], docs: np.ndarray, labels: np.ndarray, seed:
             v = rows[1:] - 1
             if not len(v):
                 continue
-            x, grams, own = inputs(v)
+            x, grams, own, keep_w, keep_g = inputs(v, drop=True)
             x0 = np.vstack([np.zeros((1, x.shape[1]), np.float32), x])
             score, kept = forward(p, project(p, x0), local, length[k], keep=True)
             g, d_gates = backward(p, local, kept, ((score - target) / len(k)).astype(np.float32))
@@ -259,12 +278,14 @@ def train(windows: list[list[str]], docs: np.ndarray, labels: np.ndarray, seed:
             g["wx"] = np.stack([x0.T @ s for s in summed])
             g["bx"] = np.stack([s.sum(0, keepdims=True) for s in summed])
             d_x = (summed[0] @ p["wx"][0].T + summed[1] @ p["wx"][1].T)[1:]
-            g["word"] = _sum_rows(w_bucket[v], d_x[:, :WORD_DIM])
-            g["char"] = _sum_rows(grams, (d_x[:, WORD_DIM:] / count[v][:, None])[own])
+            g["word"] = _sum_rows(w_bucket[v], d_x[:, :WORD_DIM] * keep_w)
+            g["char"] = _sum_rows(grams, (d_x[:, WORD_DIM:] / count[v][:, None])[own] * keep_g)
             norm = np.sqrt(sum(float((d[1] if isinstance(d, tuple) else d).astype(np.float64).ravel() @ (d[1] if isinstance(d, tuple) else d).ravel()) for d in g.values()))
             if norm > 1:
                 g = {a: (d[0], d[1] / norm) if isinstance(d, tuple) else d / norm for a, d in g.items()}
             adam.step(p, g)
+    p["word"] *= np.float32(1 - DROP_WORDS)
+    p["char"] *= np.float32(1 - DROP_GRAMS)
     return p
 
 
