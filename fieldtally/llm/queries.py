@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import table
+from fieldtally.llm.common import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +72,26 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.col("score").cast("long"))
 
 
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the documents that are labelled as good text."""
+    labels = table(spark, sf_dir, "labels")
+    return labels.where("doc_id IS NOT NULL AND quality = 1").select(F.col("doc_id").alias("id")).distinct()
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldtally.llm.quality import pack, perplexities, thresholds, train, vocabularies
+
+    docs, good = table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir)
+    vocabulary = vocabularies(docs)
+    packed = pack(docs, vocabulary)
+    # Few bytes a row from here on; written because the limits come from all rows.
+    scored = cut(perplexities(packed, train(packed, vocabulary, good)))
+    limits = thresholds(scored.join(good, "id", "left_semi"))
+    out = scored.join(F.broadcast(limits), "lang", "left")  # a row per language
+    keep = F.coalesce(F.col("nats") <= F.col("threshold"), F.lit(True)).cast("int")
+    return out.select(F.col("id").alias("doc_id"), "lang", "n_words", F.exp("nats").alias("perplexity"), F.exp("threshold").alias("threshold"), keep.alias("keep"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldtally.llm.lines import remove_boilerplate
 
@@ -106,6 +126,7 @@ def queries() -> dict[str, Query]:
         "op4_simhash_dedup": op4_simhash_dedup,
         "op5_exact_topk": op5_exact_topk,
         "op8_packing": op8_packing,
+        "op6_quality": op6_quality,
         "op7_secret_scans": op7_secret_scans,
         "op9_line_dedup": op9_line_dedup,
         "op10_url_filters": op10_url_filters,
