@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,3 +27,35 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Bits and probes of the filter that ``semi_join`` uses; its size is fixed (2 MB).
+FILTER_BITS, FILTER_PROBES = 1 << 24, 4
+
+
+def semi_join(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is in ``keys``, where most rows are not and are wide.
+
+    A Bloom filter of fixed size, built by aggregation, first drops rows that surely
+    have no partner, so that they are not shuffled; the join is exact. With very many
+    keys the filter lets everything pass, which costs time only."""
+    h = F.pmod(F.xxhash64(F.col(key), F.col("i")), F.lit(FILTER_BITS))
+    probes = F.explode(F.array(*map(F.lit, range(FILTER_PROBES)))).alias("i")
+    bits = keys.where(F.col(key).isNotNull()).select(key, probes).select(h.alias("at"))
+    words = bits.groupBy(F.shiftright("at", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 32 as int)))").alias("bits"))
+    filled = words.toPandas()  # at most FILTER_BITS / 32 rows
+    table = np.zeros(FILTER_BITS // 32, np.int64)
+    table[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+    at = [F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(FILTER_BITS)).alias(f"__{i}") for i in range(FILTER_PROBES)]
+
+    def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ok = np.ones(len(b), bool)
+            for i in range(FILTER_PROBES):
+                place = b.pop(f"__{i}").to_numpy(np.int64)
+                ok &= (shared.value[place >> 5] >> (place & 31) & 1).astype(bool)
+            yield b[ok]
+
+    few = rows.where(F.col(key).isNotNull()).select("*", *at).mapInPandas(drop, rows.schema)
+    return few.join(keys, key, "left_semi")

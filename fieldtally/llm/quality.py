@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import cut
+from fieldtally.llm.common import cut, semi_join
 
 VOCABULARY, PLACES = 500, 640
 BEGIN, END, REPEAT = 637, 638, 639
@@ -47,7 +47,7 @@ QUANTILE, TIMES = 0.99, 2.0
 PRIOR_WORDS = 10
 BLOCK_DOCS, BLOCK_WORDS = 8192, 4_000_000
 CACHE_WORDS = 300_000
-TRACKED_WORDS = 50_000  # of the sketch that finds frequent words
+TRACKED_WORDS = 20_000  # of the sketch that finds frequent words
 
 #: Shapes: what the word is made of x how long it is x the mark at its end.
 KINDS = {k: i for i, k in enumerate(["none", "upper", "capital", "lower", "digits", "joined", "symbols"])}
@@ -188,7 +188,7 @@ def train(packed: DataFrame, vocabulary: dict[str, list[str]], trusted: DataFram
             code, n = _merge(held)
             yield pd.DataFrame({"code": code, "n": n})
 
-    rows = packed.select("id", "lang", "ids").join(trusted, "id", "left_semi").select("lang", "ids")
+    rows = semi_join(packed.select("id", "lang", "ids"), trusted, "id").select("lang", "ids")
     counts = rows.mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     model = Model(languages, vocabulary, cut(counts))
     _finish(model)
@@ -328,7 +328,7 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
             price = [document_nats(m, number[x], _unzip(z), codes, counts) if x in number else None for x, z in zip(b["lang"], b["ids"])]
             yield pd.DataFrame({"lang": b["lang"], "nats": pd.Series(price, index=b.index, dtype="float64")})
 
-    good = packed.select("id", "lang", "ids").join(trusted, "id", "left_semi").select("lang", "ids")
+    good = semi_join(packed.select("id", "lang", "ids"), trusted, "id").select("lang", "ids")
     limit = {r["lang"]: r["threshold"] for r in thresholds(good.mapInPandas(score_packed, "lang string, nats double")).collect()}
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
