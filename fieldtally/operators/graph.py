@@ -45,3 +45,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if not changed:
             return parents.select(F.col("u").alias("node"), F.col("p").alias("component"))
     raise RuntimeError("components did not settle; raise max_rounds")
+
+
+def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+    """``root, node``: what each root reaches over directed edges, itself left out; safe
+    on cycles. Each round joins the newest nodes only."""
+    e = edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).dropna().distinct()
+    new = shared_checkpoint(roots.select(F.col("node").alias("root"), "node").distinct())
+    seen = new
+    for _ in range(max_rounds):
+        found = new.join(e, "node").select("root", F.col("next").alias("node")).distinct()
+        new = shared_checkpoint(found.join(seen, ["root", "node"], "left_anti"))
+        if new.isEmpty():
+            return seen.where("root <> node")
+        seen = seen.unionByName(new)
+    raise RuntimeError("reachability did not settle; raise max_rounds")
