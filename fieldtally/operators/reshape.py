@@ -105,7 +105,7 @@ def _instruction(i: tuple, id_col: str) -> Column:
     if kind == "switch":
         case = None
         for value, result in i[2].items():
-            case = (case or F).when(F.col(i[1]) == value, F.lit(result))
+            case = (F if case is None else case).when(F.col(i[1]) == value, F.lit(result))
         error = F.raise_error(F.concat(F.lit("no case for "), F.coalesce(F.col(i[1]).cast("string"), F.lit("null"))))
         return case.otherwise(F.lit(i[3]) if len(i) > 3 else error)
     if kind == "pad":
