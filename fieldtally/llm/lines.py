@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldtally.llm.common import cut
 
@@ -80,7 +81,5 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             b[text_col] = texts
             yield b.assign(**{n_lines: before, n_removed: less})
 
-    schema = docs.schema
-    for c in out_cols:
-        schema = schema.add(c, "long")
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in out_cols]])
     return joined.mapInPandas(clean, schema)

@@ -11,8 +11,8 @@ with the counts, so no word list is sent to the tasks.
 
 The model learns from all urls: those whose host holds a word of ``SEED_BLOCK``
 (as a whole segment) are examples to block, the others to allow. Its counts are
-aggregates over the whole table; the classes start from equal weight, so that a
-host is blocked for what it says, not for how frequent its kind is.
+aggregates over the whole table. Both classes are smoothed towards the words' overall
+shares, so a rare word that neither class owns weighs nothing.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits
 no rule and is allowed; repeated rows and null ids are kept row by row; an empty
@@ -22,6 +22,7 @@ table gives no rows. Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 from functools import reduce
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ SEED_BLOCK = (
 #: Words of rules' top-level names and of hosts that say nothing by themselves.
 COMMON_LABELS = ("www", "m", "blog")
 MAX_WORD = 20
-SMOOTHING = 1.0
+PRIOR = 10.0  # tokens of the overall shares that each class gets besides its own
 SEED_COUNT = 1000  # what the word counts give a seed word at least
 
 
@@ -102,8 +103,6 @@ def segment_names(names: DataFrame, counts: DataFrame) -> DataFrame:
 
 def _best_split(name: str, known: list, total: int) -> list[str]:
     """Unigram Viterbi over one name (distinct names are few beside urls)."""
-    from math import log
-
     score = {(k["at"] - 1, k["len"]): k["score"] for k in known}
     best = [0.0] + [float("-inf")] * len(name)
     back = [0] * (len(name) + 1)
@@ -136,16 +135,18 @@ def url_words(urls: DataFrame, corpus: DataFrame, corpus_col: str) -> DataFrame:
 # ------------------------------------------------------------- naive Bayes
 
 
-def naive_bayes(examples: DataFrame) -> DataFrame:
-    """token, weight: log P(token | block) - log P(token | allow), smoothed.
-    ``examples``: tokens (array), block (boolean)."""
+def naive_bayes(examples: DataFrame) -> tuple[DataFrame, float]:
+    """token, weight (log P(token | block) - log P(token | allow)), and the log odds of
+    the classes. ``examples``: tokens (array), block (boolean)."""
+    n = examples.agg(F.count_if("block").alias("b"), F.count_if(~F.col("block")).alias("a")).first()
     tokens = examples.select("block", F.explode("tokens").alias("token"))
     per = tokens.groupBy("token").agg(F.sum(F.col("block").cast("long")).alias("b"), F.sum((~F.col("block")).cast("long")).alias("a"))
     per = cut(per)
-    sums = per.agg(F.sum("b").alias("sb"), F.sum("a").alias("sa"), F.count("*").alias("v")).first()
-    sb, sa, v = (sums["sb"] or 0), (sums["sa"] or 0), sums["v"]
-    p = lambda n, s: F.log((F.col(n) + SMOOTHING) / F.lit(float(s + SMOOTHING * max(v, 1))))
-    return per.select("token", (p("b", sb) - p("a", sa)).alias("weight"))
+    sums = per.agg(F.sum("b").alias("b"), F.sum("a").alias("a")).first()
+    sb, sa = float(sums["b"] or 0), float(sums["a"] or 0)
+    share = (F.col("a") + F.col("b")) / F.lit(max(sa + sb, 1.0))
+    p = lambda c, s: F.log((F.col(c) + PRIOR * share) / F.lit(s + PRIOR))
+    return per.select("token", (p("b", sb) - p("a", sa)).alias("weight")), log((n["b"] + 1.0) / (n["a"] + 1.0))
 
 
 def judge_urls(urls: DataFrame, rules: list[tuple[str, str]], corpus: DataFrame, corpus_col: str, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -163,12 +164,12 @@ def judge_urls(urls: DataFrame, rules: list[tuple[str, str]], corpus: DataFrame,
     distinct = rows.groupBy("host", path_tokens.alias("ptokens")).agg(F.count("*").alias("n"))
     distinct = cut(distinct.join(words, "host"))
     tokens = F.concat("words", "ptokens")
-    weights = naive_bayes(distinct.select(tokens.alias("tokens"), block.alias("block")))
+    weights, odds = naive_bayes(distinct.select(tokens.alias("tokens"), block.alias("block")))
     scored = distinct.select("host", "ptokens", F.explode_outer(tokens).alias("token")).join(weights, "token", "left")
-    scored = scored.groupBy("host", "ptokens").agg(F.sum("weight").alias("score"))
+    scored = scored.groupBy("host", "ptokens").agg((F.coalesce(F.sum("weight"), F.lit(0.0)) + odds).alias("score"))
     scored = scored.join(words, "host").select("host", "ptokens", "words", "score")
     out = rows.withColumn("ptokens", path_tokens).join(scored, ["host", "ptokens"], "left")
-    guess = F.when(F.coalesce("score", F.lit(0.0)) > 0, "block").otherwise("allow")
+    guess = F.when(F.coalesce("score", F.lit(-1.0)) > 0, "block").otherwise("allow")
     return out.select(
         F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", guess).alias("verdict"),
         F.coalesce("words", F.array().cast("array<string>")).alias("words"), F.when(F.col("by_rule").isNull(), F.col("score")).alias("score"),
