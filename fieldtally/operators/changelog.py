@@ -12,7 +12,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.operators.windows import by_rank, first_per_key, latest_per_key, with_batch_no
+from fieldtally.operators.windows import by_rank, first_per_key, with_batch_no
 
 CREATES, CHANGES = ("create", "single_create"), ("update", "delete", "single_update")
 RETRY_LIMIT = 3
@@ -81,7 +81,7 @@ def upsert(target: DataFrame, updates: DataFrame, key: list[str], version: str)
 def apply_changes(table: DataFrame, log: DataFrame, key: str = "client_id", version: str = "row_version", time: str = "modified_at", cascade: dict | None = None) -> DataFrame:
     """The table after creates, updates and soft deletes (L7): the latest entry per key
     by version, then time; a delete adds one to the version."""
-    last = latest_per_key(log, [key], version, time)
+    last = first_per_key(log, [key], [F.desc(version), F.desc(time)])
     gone = F.col("operation") == "delete"
     rows = last.withColumn("is_deleted", gone).withColumn(version, F.col(version) + gone.cast("int")).drop("operation")
     return upsert(table, rows.select(*table.columns), [key], version)

@@ -428,7 +428,7 @@ def l4_apply_server_ids(spark, d):
     return changelog.apply_server_ids(log, answers).select("id", "server_id", "synced_down")
 
 
-@query(f"WITH {v.OPLOG}, last AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY row_version DESC, created_at) AS n FROM oplog), l AS (SELECT client_id, row_version + CASE WHEN operation = 'delete' THEN 1 ELSE 0 END AS row_version, operation = 'delete' AS is_deleted FROM last WHERE n = 1), t AS (SELECT 'c' || i AS client_id, CAST(6 AS INTEGER) AS row_version, FALSE AS is_deleted FROM range(0, 500) r(i)) SELECT coalesce(t.client_id, l.client_id) AS client_id, CASE WHEN l.row_version IS NOT NULL AND l.row_version >= coalesce(t.row_version, -1) THEN l.row_version ELSE t.row_version END AS row_version, CASE WHEN l.row_version IS NOT NULL AND l.row_version >= coalesce(t.row_version, -1) THEN l.is_deleted ELSE t.is_deleted END AS is_deleted FROM t FULL JOIN l ON t.client_id = l.client_id")
+@query(f"WITH {v.OPLOG}, last AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY row_version DESC, created_at DESC) AS n FROM oplog), l AS (SELECT client_id, row_version + CASE WHEN operation = 'delete' THEN 1 ELSE 0 END AS row_version, operation = 'delete' AS is_deleted FROM last WHERE n = 1), t AS (SELECT 'c' || i AS client_id, CAST(6 AS INTEGER) AS row_version, FALSE AS is_deleted FROM range(0, 500) r(i)) SELECT coalesce(t.client_id, l.client_id) AS client_id, CASE WHEN l.row_version IS NOT NULL AND l.row_version >= coalesce(t.row_version, -1) THEN l.row_version ELSE t.row_version END AS row_version, CASE WHEN l.row_version IS NOT NULL AND l.row_version >= coalesce(t.row_version, -1) THEN l.is_deleted ELSE t.is_deleted END AS is_deleted FROM t FULL JOIN l ON t.client_id = l.client_id")
 def l7_apply_changes(spark, d):
     log = v.oplog(spark, d).select("client_id", "row_version", F.col("created_at").alias("modified_at"), "operation")
     target = spark.range(500).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("client_id"), F.lit(6).alias("row_version"), F.lit(False).alias("is_deleted"))
