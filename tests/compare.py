@@ -20,7 +20,7 @@ def connect(folder):
 def norm(v):
     if hasattr(v, "tolist") and not isinstance(v, pd.Timestamp):
         v = v.tolist()
-    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return "null"
     if isinstance(v, (list, tuple)):
         return str([norm(x) for x in v])
