@@ -46,7 +46,7 @@ BEGIN, END, REPEAT = 637, 638, 639
 QUANTILE, TIMES = 0.99, 2.0
 PRIOR_WORDS = 10
 BLOCK_DOCS, BLOCK_WORDS = 8192, 4_000_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 TRACKED_WORDS = 20_000  # of the sketch that finds frequent words
 
 #: Shapes: what the word is made of x how long it is x the mark at its end.
