@@ -86,7 +86,7 @@ def c32_outgoing_issues(spark, d):
 # -------------------------------------------------------------- joins (D)
 
 
-@query("SELECT c_custkey, count(o_orderkey) AS n_orders, coalesce(sum(o_orderkey), 0) AS key_sum FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+@query("SELECT c_custkey, count(o_orderkey) AS n_orders, CAST(coalesce(sum(o_orderkey), 0) AS BIGINT) AS key_sum FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
 def d1_assemble_children(spark, d):
     child = search.Child(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "orders", "o_custkey", "c_custkey")
     out = search.assemble(table(spark, d, "customer"), [child])
@@ -247,25 +247,25 @@ def e13_sync_rate(spark, d):
     return table(spark, d, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"), F.count_if(F.col("s_acctbal") > 0).alias("k")).select("s_nationkey", stock.sync_rate(F.col("n"), F.col("k")).alias("rate"))
 
 
-@query(f"WITH {v.NODES} SELECT 'R' || n_regionkey AS code, sum(people) AS people FROM nodes JOIN nation ON nodes.parent = 'N' || n_nationkey WHERE type = 'village' GROUP BY 1 UNION ALL SELECT parent, sum(people) FROM nodes WHERE type = 'village' GROUP BY 1 UNION ALL SELECT code, people FROM nodes WHERE type = 'village'")
+@query(f"WITH {v.NODES} SELECT 'R' || n_regionkey AS code, CAST(sum(people) AS BIGINT) AS people FROM nodes JOIN nation ON nodes.parent = 'N' || n_nationkey WHERE type = 'village' GROUP BY 1 UNION ALL SELECT parent, CAST(sum(people) AS BIGINT) FROM nodes WHERE type = 'village' GROUP BY 1 UNION ALL SELECT code, CAST(people AS BIGINT) FROM nodes WHERE type = 'village'")
 def e14_rollup_tree(spark, d):
     n = v.nodes(spark, d)
     return boundaries.rollup_tree(boundaries.tree_paths(n), n.where("type = 'village'").select("code", F.col("people").cast("long").alias("people")), ["people"])
 
 
-@query("SELECT 'p_brand' AS field, list_sort(list(DISTINCT p_brand)) AS options FROM part UNION ALL SELECT 'p_type', list_sort(list(DISTINCT p_type)) FROM part")
+@query("SELECT 'p_brand' AS field, array_to_string(list_sort(list(DISTINCT p_brand)), ',') AS options FROM part UNION ALL SELECT 'p_type', array_to_string(list_sort(list(DISTINCT p_type)), ',') FROM part")
 def e15_field_options(spark, d):
-    return dashboards.options(table(spark, d, "part").withColumn("one", F.lit("x")), ["p_brand", "p_type", "one"])
+    return dashboards.options(table(spark, d, "part").withColumn("one", F.lit("x")), ["p_brand", "p_type", "one"]).withColumn("options", F.array_join("options", ","))
 
 
-@query("SELECT 'o_orderstatus' AS field, count(o_orderstatus) AS filled, count(DISTINCT o_orderstatus) AS distinct_values, 100.0 AS coverage FROM orders UNION ALL SELECT 'o_custkey', count(*), count(DISTINCT o_custkey), 100.0 FROM orders")
+@query("SELECT 'o_orderstatus' AS field, count(o_orderstatus) AS filled, count(DISTINCT o_orderstatus) AS distinct_values, CAST(100 AS DOUBLE) AS coverage FROM orders UNION ALL SELECT 'o_custkey', count(*), count(DISTINCT o_custkey), CAST(100 AS DOUBLE) FROM orders")
 def e16_field_profile(spark, d):
     return dashboards.profile(table(spark, d, "orders"), ["o_orderstatus", "o_custkey"])
 
 
-@query("SELECT n_regionkey, list_sort(list(n_nationkey)) AS children FROM nation GROUP BY 1")
+@query("SELECT n_regionkey, array_to_string(list_sort(list(n_nationkey)), ',') AS children FROM nation GROUP BY 1")
 def e20_group_under(spark, d):
-    return boundaries.group_under(table(spark, d, "nation"), "n_regionkey", "n_nationkey")
+    return boundaries.group_under(table(spark, d, "nation"), "n_regionkey", "n_nationkey").withColumn("children", F.array_join("children", ","))
 
 
 TASKS = "tasks AS (SELECT 'w' || (user_id % 20) AS worker, user_id * 7 % 211 AS beneficiary_id, ts AS served_at FROM events)"
@@ -278,7 +278,7 @@ def e23_daily_progress(spark, d):
     return attendance.daily_progress(tasks, targets, F.lit("2024-01-10").cast("date"))
 
 
-@query("WITH logs AS (SELECT user_id % 30 AS r, CAST(ts AS DATE) AS day, max(CASE WHEN event_type IN ('view', 'signup') AND hour(ts) = 9 THEN 1 ELSE 0 END) AS e, max(CASE WHEN event_type NOT IN ('view', 'signup') AND hour(ts) = 18 THEN 1 ELSE 0 END) AS x FROM events GROUP BY 1, 2), c AS (SELECT r, count(*) AS n FROM logs WHERE e = 1 AND x = 1 AND day BETWEEN DATE '2024-01-03' AND DATE '2024-01-20' GROUP BY 1) SELECT DISTINCT user_id % 30 AS register_id, CASE WHEN user_id % 30 % 2 = 0 THEN 9.0 ELSE 18.0 END AS calendar_days, coalesce(n, 0) AS complete_days FROM events LEFT JOIN c ON c.r = user_id % 30")
+@query("WITH logs AS (SELECT user_id % 30 AS r, CAST(ts AS DATE) AS day, max(CASE WHEN event_type IN ('view', 'signup') AND hour(ts) = 9 THEN 1 ELSE 0 END) AS e, max(CASE WHEN event_type NOT IN ('view', 'signup') AND hour(ts) = 18 THEN 1 ELSE 0 END) AS x FROM events GROUP BY 1, 2), c AS (SELECT r, count(*) AS n FROM logs WHERE e = 1 AND x = 1 AND day BETWEEN DATE '2024-01-03' AND DATE '2024-01-20' GROUP BY 1) SELECT DISTINCT user_id % 30 AS register_id, CAST(CASE WHEN user_id % 30 % 2 = 0 THEN 9 ELSE 18 END AS DOUBLE) AS calendar_days, coalesce(n, 0) AS complete_days FROM events LEFT JOIN c ON c.r = user_id % 30")
 def e24_completed_days(spark, d):
     logs = table(spark, d, "events").selectExpr("user_id % 30 AS register_id", "ts AS time", "if(event_type IN ('view', 'signup'), 'ENTRY', 'EXIT') AS type")
     registers = logs.select("register_id").distinct().selectExpr("register_id", "date'2024-01-03' AS start_date", "date'2024-01-20' AS end_date", "if(register_id % 2 = 0, 2, 1) AS sessions")

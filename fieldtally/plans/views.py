@@ -21,8 +21,8 @@ NODES_SELECT = """SELECT concat('R', cast(r_regionkey AS {text})) AS code, cast(
   UNION ALL SELECT concat('N', cast(n_nationkey AS {text})), concat('R', cast(n_regionkey AS {text})), 'nation', 0 FROM {nation}
   UNION ALL SELECT concat('C', cast(c_custkey AS {text})), concat('N', cast(c_nationkey AS {text})), 'village', cast(c_custkey % 97 AS int) FROM {customer}"""
 
-POINTS_SELECT = """SELECT c_custkey AS id, concat('N', cast(c_nationkey AS {text})) AS boundary_code, (c_custkey * 7919 % 20000) / 10000.0 + 10.0 AS lat,
-  (c_custkey * 104729 % 20000) / 10000.0 + 15.0 AS lon, c_name AS name FROM {customer}"""
+POINTS_SELECT = """SELECT c_custkey AS id, concat('N', cast(c_nationkey AS {text})) AS boundary_code, cast(c_custkey * 7919 % 20000 AS double) / 10000 + 10 AS lat,
+  cast(c_custkey * 104729 % 20000 AS double) / 10000 + 15 AS lon, c_name AS name FROM {customer}"""
 
 OPLOG_SELECT = """SELECT event_id AS id, CASE WHEN user_id % 5 = 0 THEN 'household' WHEN user_id % 5 = 1 THEN 'individual' WHEN user_id % 5 = 2 THEN 'task' WHEN user_id % 5 = 3 THEN 'location' ELSE 'stock' END AS entity_type,
   CASE event_type WHEN 'signup' THEN 'create' WHEN 'click' THEN 'update' WHEN 'purchase' THEN 'single_update' WHEN 'error' THEN 'delete' ELSE 'update' END AS operation,

@@ -3,6 +3,7 @@
 import pytest
 
 from compare import connect, rows
+from fieldtally.plans import more  # noqa: F401
 from fieldtally.plans.queries import QUERIES, SQL
 
 
