@@ -30,9 +30,9 @@ def a6_user_actions(spark, d):
     return tables.parse_user_actions(table(spark, d, "events").select(line.alias("value"))).select(F.col("timestamp").alias("event_id"), "client_reference_id")
 
 
-@query("WITH u AS (SELECT o_custkey AS k, max(o_orderkey) AS ver FROM orders GROUP BY 1) SELECT coalesce(c_custkey, k) AS k, CASE WHEN ver IS NOT NULL AND ver >= coalesce(c_nationkey, -1) THEN ver ELSE c_nationkey END AS ver FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) c FULL JOIN u ON k = c_custkey")
+@query("WITH u AS (SELECT o_custkey AS k, max(o_orderkey) AS ver FROM orders GROUP BY 1) SELECT coalesce(c_custkey, k) AS k, CASE WHEN ver IS NOT NULL AND ver >= coalesce(c_nationkey, -1) THEN ver ELSE c_nationkey END AS ver FROM (SELECT * FROM customer WHERE c_acctbal > 0) c FULL JOIN u ON k = c_custkey")
 def a9_upsert(spark, d):
-    target = table(spark, d, "customer").where("c_custkey % 2 = 0").selectExpr("c_custkey AS k", "cast(c_nationkey as long) AS ver")
+    target = table(spark, d, "customer").where("c_acctbal > 0").selectExpr("c_custkey AS k", "cast(c_nationkey as long) AS ver")
     return changelog.upsert(target, table(spark, d, "orders").selectExpr("o_custkey AS k", "o_orderkey AS ver"), ["k"], "ver")
 
 

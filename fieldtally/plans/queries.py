@@ -119,9 +119,9 @@ def d11_expand_to_related(spark, d):
     return search.related(t, EDGES, "customer", t["customer"].where("c_nationkey = 7"), ["lineitem"])["lineitem"].groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NOT NULL THEN a.x ELSE b.x END AS x, a.y, b.z FROM (SELECT c_custkey AS k, c_nationkey AS x, c_acctbal AS y FROM customer WHERE c_custkey % 3 <> 0) a FULL JOIN (SELECT o_custkey AS k, CAST(max(o_orderkey) AS INTEGER) AS x, count(*) AS z FROM orders GROUP BY o_custkey) b ON a.k = b.k")
+@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NOT NULL THEN a.x ELSE b.x END AS x, a.y, b.z FROM (SELECT c_custkey AS k, c_nationkey AS x, c_acctbal AS y FROM customer WHERE c_acctbal > 0) a FULL JOIN (SELECT o_custkey AS k, CAST(max(o_orderkey) AS INTEGER) AS x, count(*) AS z FROM orders GROUP BY o_custkey) b ON a.k = b.k")
 def d16_outer_merge(spark, d):
-    a = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("x"), F.col("c_acctbal").alias("y"))
+    a = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("x"), F.col("c_acctbal").alias("y"))
     b = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").cast("int").alias("x"), F.count("*").alias("z"))
     return microplan.outer_merge([a, b], "k")
 
@@ -177,20 +177,20 @@ def d34_descendants(spark, d):
     return boundaries.descendants(boundaries.tree_paths(n), n.where("code IN ('N1', 'N2', 'N3')"))
 
 
-ISSUE_EDGES = "issue_edges AS (SELECT DISTINCT facility AS src, other_facility AS dst FROM stock WHERE entry_type = 'ISSUED' AND id % 40 = 1)"
+ISSUE_EDGES = "issue_edges AS (SELECT DISTINCT facility AS src, other_facility AS dst FROM stock WHERE entry_type = 'ISSUED')"
 
 
 @query(f"WITH RECURSIVE {v.STOCK}, {ISSUE_EDGES}, reach AS (SELECT 'F' || r.i AS root, 'F' || r.i AS node FROM range(0, 5) r(i) UNION SELECT reach.root, e.dst FROM reach JOIN issue_edges e ON e.src = reach.node) SELECT root, node FROM reach WHERE root <> node")
 def d35_downstream_facilities(spark, d):
-    e = v.stock(spark, d).where("entry_type = 'ISSUED' AND id % 40 = 1").select(F.col("facility").alias("src"), F.col("other_facility").alias("dst"))
+    e = v.stock(spark, d).where("entry_type = 'ISSUED'").select(F.col("facility").alias("src"), F.col("other_facility").alias("dst"))
     roots = spark.range(5).select(F.concat(F.lit("F"), F.col("id").cast("string")).alias("node"))
     return graph.reachable(e, roots)
 
 
-@query("WITH inst AS (SELECT o_orderkey AS business_id, o_orderkey AS m, 'u' || (o_orderkey % 7) AS owner, o_totalprice * 10000 AS sla FROM orders WHERE o_orderkey % 3 = 0) SELECT l_orderkey, l_linenumber, l_partkey, owner, CAST(floor(sla / 86400000 + 0.5) AS BIGINT) AS days_left FROM lineitem JOIN inst ON l_orderkey = business_id")
+@query("WITH inst AS (SELECT o_orderkey AS business_id, o_orderkey AS m, 'u' || (o_orderkey % 7) AS owner, o_totalprice * 10000 AS sla FROM orders WHERE o_orderstatus <> 'P') SELECT l_orderkey, l_linenumber, l_partkey, owner, CAST(floor(sla / 86400000 + 0.5) AS BIGINT) AS days_left FROM lineitem JOIN inst ON l_orderkey = business_id")
 def d39_complaint_inbox(spark, d):
     c = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_orderkey").alias("service_request_id"))
-    i = table(spark, d, "orders").where("o_orderkey % 3 = 0").selectExpr("o_orderkey AS business_id", "o_orderkey AS modified_at", "concat('u', cast(o_orderkey % 7 as string)) AS owner", "o_totalprice * 10000 AS sla_ms")
+    i = table(spark, d, "orders").where("o_orderstatus <> 'P'").selectExpr("o_orderkey AS business_id", "o_orderkey AS modified_at", "concat('u', cast(o_orderkey % 7 as string)) AS owner", "o_totalprice * 10000 AS sla_ms")
     return population.complaint_inbox(c, i).select("l_orderkey", "l_linenumber", "l_partkey", "owner", "days_left")
 
 
