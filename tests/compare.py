@@ -29,7 +29,7 @@ def norm(v):
     if isinstance(v, (int, float)):
         return f"{float(v):.6g}"
     if isinstance(v, (datetime.datetime, pd.Timestamp)):
-        return v.strftime("%F %T")
+        return v.strftime("%F %T").removesuffix(" 00:00:00")  # dates come as either
     return str(v)
 
 
