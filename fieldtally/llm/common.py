@@ -11,6 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_ACTIVE: list[dict] = []
+
+
+def claim(cache: dict) -> dict:
+    """``cache``, as the only one of this Python worker: workers serve many stages, so
+    the cache that another operator has left in it is emptied."""
+    if _ACTIVE and _ACTIVE[0] is not cache:
+        _ACTIVE[0].clear()
+    _ACTIVE[:] = [cache]
+    return cache
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldtally.llm.common import claim
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHE_CHUNKS = 600_000
@@ -291,6 +293,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 def _encoder(shared) -> Encoder:
     """One encoder, with its cache, per worker and broadcast."""
     key = id(shared.value)
+    claim(_ENCODERS)
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = Encoder(shared.value)

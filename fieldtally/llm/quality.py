@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import cut, semi_join
+from fieldtally.llm.common import claim, cut, semi_join
 
 VOCABULARY, PLACES = 500, 640
 BEGIN, END, REPEAT = 637, 638, 639
@@ -104,6 +104,17 @@ class Numbers:
         return out
 
 
+_NUMBERS: dict[str, Numbers] = {}
+
+
+def _task_numbers(vocabulary: dict[str, list[str]]) -> dict[str, Numbers]:
+    """Fresh ones for a task; those of the task before go."""
+    numbers = claim(_NUMBERS)
+    numbers.clear()
+    numbers |= {x: Numbers(v) for x, v in vocabulary.items()}
+    return numbers
+
+
 def bigrams(ids: np.ndarray) -> np.ndarray:
     """history * PLACES + word of a text's numbers, begin and end included."""
     plain = ids.astype(np.int64) & 1023
@@ -154,7 +165,7 @@ def pack(docs: DataFrame, vocabulary: dict[str, list[str]], id_col: str = "doc_i
     schema = rows.drop("text").schema.add("block", "long").add("n_words", "long").add("ids", "binary")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        as_numbers = {x: Numbers(v) for x, v in vocabulary.items()}
+        as_numbers = _task_numbers(vocabulary)
         block, docs_in, words_in = TaskContext.get().partitionId() << 32, 0, 0
         for b in batches:
             blocks, sizes, ids = [], [], []
@@ -333,7 +344,7 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, codes, counts = shared.value
-        as_numbers = {x: Numbers(vocabulary[x]) for x in number}
+        as_numbers = _task_numbers({x: vocabulary[x] for x in number})
         for b in batches:
             ok = []
             for x, t in zip(b[lang_col], b[text_col]):

@@ -11,6 +11,8 @@ import re
 import sys
 from array import array
 
+from fieldtally.llm.common import claim
+
 CACHE_CHUNKS, CACHE_WORDS = 700_000, 400_000
 #: Letters of the Latin alphabet and end marks: such a chunk is one word, which
 #: may be lower-cased first, and its marks. All else goes to the tokenizer as it is.
@@ -85,6 +87,7 @@ _ENCODERS: dict[str, _Encoder] = {}
 
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = _Encoder(path)
-    return [_ENCODERS[path].encode(t) for t in texts]
+    encoders = claim(_ENCODERS)
+    if path not in encoders:
+        encoders[path] = _Encoder(path)
+    return [encoders[path].encode(t) for t in texts]

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.llm import gru
+from fieldtally.llm.common import claim
 
 SAMPLE_DOCS = {0: 3000, 1: 1500}  # by label
 SAMPLE_WINDOWS = 12
@@ -85,6 +86,7 @@ _SCORERS: dict[int, gru.Scorer] = {}
 
 def _scorer(shared) -> gru.Scorer:
     key = id(shared.value)
+    claim(_SCORERS)
     if key not in _SCORERS:
         _SCORERS.clear()
         _SCORERS[key] = gru.Scorer(shared.value)
