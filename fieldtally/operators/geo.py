@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.functions.exprs import haversine_m
-from fieldtally.operators.graph import components
+from fieldtally.operators.graph import components, shared_checkpoint
 
 METRES_A_DEGREE = 111_194.9
 
@@ -54,22 +54,28 @@ def within_radius(df: DataFrame, lat: float, lon: float, metres: float, k: int =
 def nearest(points: DataFrame, centroids: DataFrame, degrees: float = 1.0) -> DataFrame:
     """``id, code, metres``: the nearest centroid of every point.
 
-    Centroids are bucketed into cells; a point looks at the cells around it first.
-    Points whose nearest centroid may lie further off (none within one cell's width)
-    are matched against all centroids, in blocks that Spark joins."""
+    A point looks at the centroids in the 3 x 3 cells around it. If the nearest of them
+    may lie further off than something outside, the point looks again in cells four
+    times as wide; the widest cells hold the whole globe."""
     c = centroids.select(F.col("code"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
-    near_c = c.select("*", F.inline(_around(F.col("c_lat"), F.col("c_lon"), degrees)))
-    x, y = cell(F.col("lat"), F.col("lon"), degrees)
-    p = points.select("id", "lat", "lon").withColumns({"cx": x, "cy": y})
     d = haversine_m(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))
-    best = F.min(F.struct(d.alias("metres"), "code"))
-    close = p.join(near_c, ["cx", "cy"]).groupBy("id").agg(best.alias("b"))
-    # One cell's width at the given latitude; nothing nearer can be outside 3 x 3.
-    safe = close.join(p.select("id", "lat"), "id").where(F.col("b.metres") <= degrees * METRES_A_DEGREE * F.cos(F.radians(F.least(F.abs("lat") + degrees, F.lit(89.0)))))
-    safe = safe.select("id", "b")
-    rest = p.join(safe, "id", "left_anti")
-    far = rest.join(c, F.lit(True)).groupBy("id").agg(best.alias("b"))
-    return safe.unionByName(far).select("id", "b.code", "b.metres")
+    rest, done = points.select("id", "lat", "lon"), None
+    while True:
+        near_c = c.select("*", F.inline(_around(F.col("c_lat"), F.col("c_lon"), degrees)))
+        x, y = cell(F.col("lat"), F.col("lon"), degrees)
+        best = rest.withColumns({"cx": x, "cy": y}).join(near_c, ["cx", "cy"]).groupBy("id", "lat", "lon").agg(F.min(F.struct(d.alias("metres"), "code")).alias("b"))
+        # Nothing nearer than a cell's width at this latitude lies outside 3 x 3.
+        width = degrees * METRES_A_DEGREE * F.cos(F.radians(F.least(F.abs("lat") + degrees, F.lit(89.0))))
+        sure = (F.col("b.metres") <= width) & (F.abs("lon") + degrees < 180)
+        found = best if degrees >= 360 else best.where(sure)
+        found = shared_checkpoint(found.select("id", "b.code", "b.metres"))
+        done = found if done is None else done.unionByName(found)
+        if degrees >= 360:
+            return done
+        rest = shared_checkpoint(rest.join(found, "id", "left_anti"))
+        if rest.isEmpty():
+            return done
+        degrees = min(360.0, degrees * 4)
 
 
 def centroids(df: DataFrame, by: str, name: str) -> DataFrame:

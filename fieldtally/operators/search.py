@@ -82,19 +82,23 @@ def resolve_filters(tables: dict[str, DataFrame], edges: list[Edge], root: str,
             related.setdefault(t, []).append(predicate(f, op, v))
     found = []
     for name, conditions in related.items():
-        found.append(semi_path(tables[name].where(all_of(conditions)), tables, path_between(edges, name, root)))
+        *steps, last = path_between(edges, name, root)
+        rows = semi_path(tables[name].where(all_of(conditions)), tables, steps)
+        found.append((rows.select(F.col(last.left_key).alias(f"__k{len(found)}")).dropna().distinct(), last.right_key))
     if not found:
         return base
     if logic == "and":
-        for f in found:
-            base = base.intersect(f) if set(base.columns) == set(f.columns) else base
+        for i, (keys, key) in enumerate(found):
+            base = base.join(keys, base[key] == keys[f"__k{i}"], "left_semi")
         return base
-    either = found[0]
-    for f in found[1:]:
-        either = either.union(f)
-    if not strict and own and either.isEmpty():
+    out = base
+    for i, (keys, key) in enumerate(found):
+        out = out.join(keys, out[key] == keys[f"__k{i}"], "left")
+    names = [f"__k{i}" for i in range(len(found))]
+    either = out.where(F.coalesce(*[F.col(n).cast("string") for n in names]).isNotNull()).drop(*names)
+    if not strict and own and all(keys.isEmpty() for keys, _ in found):
         return base
-    return base.intersect(either)
+    return either
 
 
 def related(tables: dict[str, DataFrame], edges: list[Edge], root: str, rows: DataFrame, models: list[str]) -> dict[str, DataFrame]:
