@@ -90,15 +90,12 @@ def segment_names(names: DataFrame, counts: DataFrame) -> DataFrame:
         "name", "at", F.explode(F.expr(f"sequence(1, least({MAX_WORD}, length(name) - at + 1))")).alias("len")
     )
     cuts = cuts.withColumn("word", F.expr("substring(name, at, len)"))
-    total = counts.agg(F.sum("n").alias("total"))
-    known = cuts.join(counts, "word").crossJoin(F.broadcast(total))  # one row
-    per_name = known.groupBy("name").agg(
-        F.collect_list(F.struct("at", "len", (F.log("n") - F.log("total")).alias("score"))).alias("known"),
-        F.first("total").alias("total"),
-    )
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    known = cuts.join(counts, "word").groupBy("name")
+    per_name = known.agg(F.collect_list(F.struct("at", "len", (F.log("n") - log(total)).alias("score"))).alias("known"))
     best = F.udf(_best_split, T.ArrayType(T.StringType()))
     joined = names.join(per_name, "name", "left")
-    return joined.select("name", best("name", F.coalesce("known", F.array().cast("array<struct<at:int,len:int,score:double>>")), F.coalesce("total", F.lit(1))).alias("words"))
+    return joined.select("name", best("name", F.coalesce("known", F.array().cast("array<struct<at:int,len:int,score:double>>")), F.lit(total)).alias("words"))
 
 
 def _best_split(name: str, known: list, total: int) -> list[str]:
@@ -126,6 +123,7 @@ def url_words(urls: DataFrame, corpus: DataFrame, corpus_col: str) -> DataFrame:
     parts = hosts.select("host", F.posexplode(labels).alias("pos", "name"))
     seeds = hosts.sparkSession.createDataFrame([(w, SEED_COUNT) for w in SEED_BLOCK], "word string, n long")
     counts = word_counts(corpus, corpus_col).unionByName(seeds).groupBy("word").agg(F.sum("n").alias("n"))
+    counts = cut(counts)  # read twice, as large as the vocabulary
     split = segment_names(cut(parts.select("name").distinct()), counts)
     joined = parts.join(split, "name").groupBy("host")
     ordered = F.sort_array(F.collect_list(F.struct("pos", "words")))
