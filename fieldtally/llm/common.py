@@ -53,19 +53,25 @@ def cut(df: DataFrame) -> DataFrame:
 FILTER_BITS, FILTER_PROBES = 1 << 24, 4
 
 
-def semi_join(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """``rows`` whose ``key`` is in ``keys``, where most rows are not and are wide.
-
-    A Bloom filter of fixed size, built by aggregation, first drops rows that surely
-    have no partner, so that they are not shuffled; the join is exact. With very many
-    keys the filter lets everything pass, which costs time only."""
+def _filter(keys: DataFrame, key: str) -> np.ndarray:
+    """The filter's words: built by aggregation, at most FILTER_BITS / 32 rows."""
     h = F.pmod(F.xxhash64(F.col(key), F.col("i")), F.lit(FILTER_BITS))
     probes = F.explode(F.array(*map(F.lit, range(FILTER_PROBES)))).alias("i")
     bits = keys.where(F.col(key).isNotNull()).select(key, probes).select(h.alias("at"))
     words = bits.groupBy(F.shiftright("at", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 32 as int)))").alias("bits"))
-    filled = words.toPandas()  # at most FILTER_BITS / 32 rows
+    filled = words.toPandas()
     table = np.zeros(FILTER_BITS // 32, np.int64)
     table[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64)
+    return table
+
+
+def semi_join(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is in ``keys``, where most rows are not and are wide.
+
+    A Bloom filter of fixed size, built by aggregation, first drops rows that surely
+    have no partner, so that they are not shuffled; the join is exact. With very many
+    keys the filter lets everything pass, which costs time only."""
+    table = _filter(keys, key)
     shared = rows.sparkSession.sparkContext.broadcast(table)
     at = [F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(FILTER_BITS)).alias(f"__{i}") for i in range(FILTER_PROBES)]
 
@@ -79,3 +85,21 @@ def semi_join(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
     few = rows.where(F.col(key).isNotNull()).select("*", *at).mapInPandas(drop, rows.schema)
     return few.join(keys, key, "left_semi")
+
+
+def anti_join(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` (never null) is not in ``keys``, where most are not and are
+    wide: only rows that the filter lets pass meet the keys."""
+    table = _filter(keys, key)
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+    at = [F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(FILTER_BITS)) for i in range(FILTER_PROBES)]
+
+    @F.pandas_udf("boolean")
+    def maybe(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        ok = np.ones(len(a), bool)
+        for place in (x.to_numpy(np.int64) for x in (a, b, c, d)):
+            ok &= (shared.value[place >> 5] >> (place & 31) & 1).astype(bool)
+        return pd.Series(ok)
+
+    told = rows.withColumn("__maybe", maybe(*at))
+    return told.where("NOT __maybe").drop("__maybe").unionByName(told.where("__maybe").drop("__maybe").join(keys, key, "left_anti").select(*rows.columns))

@@ -1,21 +1,22 @@
-"""Quality by the perplexity of an interpolated modified Kneser-Ney bigram model.
+"""Quality by the perplexity of an interpolated Kneser-Ney bigram model over real words.
 
-The model is trained on trusted documents, one per language. Words outside a
-language's ``VOCABULARY`` most frequent words become classes of their shape (case,
-length, marks, digits, symbols), so a history or a word is one of at most
-``PLACES`` numbers; a word that repeats the one before it in a line becomes the
-class "repeat", while it counts as itself for the word after it.
+The model is trained on trusted documents, one per language. Counts are kept for each
+word and each pair of words (keyed by hashes), however many trusted text holds. What a
+pair leaves over goes to a class model: a language's ``VOCABULARY`` most frequent words
+and classes of shape (case, length, marks, digits, symbols) of all others, at most
+``PLACES`` numbers; within a class of shape a word has its share of trusted words, and
+words that trusted text does not hold share what is left. A word that repeats the one
+before it in a line becomes "repeat", while it counts as itself for the word after it.
 
 * ``vocabularies`` finds the frequent words with a mergeable sketch over all text.
-* ``pack`` writes each text as packed numbers once, in blocks of documents.
-* ``train`` counts the bigrams of all trusted text by aggregation and derives the
-  discounts, contexts and continuation counts from the count table.
-* ``perplexities`` scores documents by sharded count joins: each block asks for its
-  distinct bigrams once; requests meet the count table in an equi-join on the
-  bigram; answers and block meet again.
+* ``pack`` writes each text as packed numbers and hashes once, in blocks of documents.
+* ``train`` makes the class model, ``train_words`` the tables of words and pairs.
+* ``word_costs`` scores documents by sharded count joins: each block asks for its distinct
+  words and pairs once, as sorted codes per shard; shards meet the tables in an
+  equi-join; answers and block meet again. A trusted text is scored without its own
+  counts. ``perplexities`` are those of the class model alone.
 * ``judge`` keeps a document unless its perplexity is over ``TIMES`` the ``QUANTILE``
-  of trusted documents of its language. It filters in place: the count table of a
-  language cannot exceed PLACES^2 rows, so it may be sent to the tasks.
+  of trusted documents of its language. Only texts that are likely to go are shuffled.
 
 Short texts are drawn towards the trusted mean by ``PRIOR_WORDS`` words of it.
 
@@ -35,18 +36,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import claim, cut, semi_join
+from fieldtally.llm.common import anti_join, claim, cut, semi_join
 
 VOCABULARY, PLACES = 500, 640
 BEGIN, END, REPEAT = 637, 638, 639
 QUANTILE, TIMES = 0.99, 2.0
 PRIOR_WORDS = 10
-BLOCK_DOCS, BLOCK_WORDS = 8192, 4_000_000
+BLOCK_DOCS, BLOCK_WORDS = 8192, 2_000_000
 CACHE_WORDS = 120_000
+HASH = (1 << 40) - 1  # bits of a rare word's identity
 TRACKED_WORDS = 20_000  # of the sketch that finds frequent words
 
 #: Shapes: what the word is made of x how long it is x the mark at its end.
@@ -115,6 +118,14 @@ def _task_numbers(vocabulary: dict[str, list[str]]) -> dict[str, Numbers]:
     return numbers
 
 
+def rare_hashes(text: str, ids: np.ndarray) -> bytes:
+    """Five bytes of hash for each word of the text that ``ids`` knows as a shape only."""
+    words = text.split()
+    rare = np.flatnonzero((ids & 1023) >= VOCABULARY)
+    h = np.fromiter((xxhash.xxh64_intdigest(words[i]) & HASH for i in rare.tolist()), np.int64, len(rare))
+    return h.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
 def bigrams(ids: np.ndarray) -> np.ndarray:
     """history * PLACES + word of a text's numbers, begin and end included."""
     plain = ids.astype(np.int64) & 1023
@@ -159,25 +170,35 @@ def vocabularies(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     return {r["lang"]: [x["item"] for x in sorted(r["top"], key=lambda x: (-x["count"], x["item"]))] for r in top.collect()}
 
 
+def content(id_col: str, text_col: str, lang_col: str) -> Column:
+    """What a row's score depends on, as a hash (of the id for whether it is trusted)."""
+    return F.xxhash64(F.col(id_col), _language(lang_col), F.coalesce(text_col, F.lit("")))
+
+
 def pack(docs: DataFrame, vocabulary: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """id, lang, block, n_words, ids (packed numbers), written to the shared folder."""
-    rows = docs.select(F.col(id_col).alias("id"), _language(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    schema = rows.drop("text").schema.add("block", "long").add("n_words", "long").add("ids", "binary")
+    """id, lang, content (a hash), block, row (in its block), n_words, ids (packed
+    numbers), words (hashes of those without a number), written to the shared folder."""
+    rows = docs.select(F.col(id_col).alias("id"), _language(lang_col).alias("lang"), content(id_col, text_col, lang_col).alias("content"), F.col(text_col).alias("text"))
+    schema = rows.drop("text").schema
+    for name, kind in (("block", "long"), ("row", "integer"), ("n_words", "long"), ("ids", "binary"), ("words", "binary")):
+        schema = schema.add(name, kind)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         as_numbers = _task_numbers(vocabulary)
         block, docs_in, words_in = TaskContext.get().partitionId() << 32, 0, 0
         for b in batches:
-            blocks, sizes, ids = [], [], []
+            blocks, rows_, sizes, ids, words = [], [], [], [], []
             for x, t in zip(b["lang"], b.pop("text")):
                 a = as_numbers[x](t) if t and x in as_numbers else np.zeros(0, np.int16)
                 if docs_in and (docs_in >= BLOCK_DOCS or words_in + len(a) > BLOCK_WORDS):
                     block, docs_in, words_in = block + 1, 0, 0
                 docs_in, words_in = docs_in + 1, words_in + len(a)
                 blocks.append(block)
+                rows_.append(docs_in - 1)
                 sizes.append(len(a))
                 ids.append(zlib.compress(a.tobytes(), 1))
-            yield b.assign(block=blocks, n_words=sizes, ids=ids)
+                words.append(rare_hashes(t, a) if len(a) else b"")
+            yield b.assign(block=blocks, row=rows_, n_words=sizes, ids=ids, words=words)
 
     return cut(rows.mapInPandas(run, schema))
 
@@ -302,6 +323,7 @@ def perplexities(packed: DataFrame, model: Model) -> DataFrame:
 
     asked = packed.select("block", "lang", "ids").mapInPandas(ask, "block long, code long")
     answers = asked.join(model.counts, "code").select("block", "code", "n")
+    packed = packed.select("id", "lang", "block", "n_words", "ids")
     out_schema = packed.drop("ids", "block").schema.add("nats", "double")
 
     def score(docs_: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
@@ -317,40 +339,260 @@ def _unzip(z: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(z), np.int16)
 
 
-def thresholds(trusted_scores: DataFrame, quantile: float = QUANTILE, times: float = TIMES) -> DataFrame:
-    """lang, threshold (nats a word) from scored trusted documents."""
-    q = F.percentile_approx("nats", quantile, 10_000)
-    return trusted_scores.where("nats IS NOT NULL").groupBy("lang").agg((q + F.log(F.lit(times))).alias("threshold"))
+# ---------------------------------------------------------------- real words
 
 
-def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rejected ones; no text is shuffled. ``trusted``: column
-    ``id``."""
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+SHARDS_OF = 16  # leading bits of a code that choose its shard
+SHARD_CODES = 1_500_000
+
+
+def mix(h: np.ndarray, w: np.ndarray | int) -> np.ndarray:
+    """A code for each pair of word keys (or of a key and -1: the word by itself)."""
+    x = h.astype(np.uint64) * _MIX[0]
+    x ^= x >> np.uint64(32)
+    x = (x + np.asarray(w, np.int64).astype(np.uint64)) * _MIX[1]
+    x ^= x >> np.uint64(29)
+    x *= _MIX[2]
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def word_keys(lang: int, ids: np.ndarray, words: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of histories and of words of one text, begin and end included: language,
+    class (10 bits) and hash (40 bits)."""
+    plain = ids.astype(np.int64) & 1023
+    h = np.zeros(len(ids), np.int64)
+    rare = plain >= VOCABULARY
+    wide = np.zeros((int(rare.sum()), 8), np.uint8)
+    wide[:, :5] = np.frombuffer(words, np.uint8).reshape(-1, 5)
+    h[rare] = wide.view(np.int64).ravel()
+    key = (np.int64(lang) << 50) | (plain << 40) | h
+    special = lambda c: (np.int64(lang) << 50) | (np.int64(c) << 40)
+    return np.append(special(BEGIN), key), np.append(np.where(ids >= 1024, special(REPEAT), key), special(END))
+
+
+@dataclass
+class WordModel:
+    """Tables keyed by real words and word pairs stay DataFrames and grow with the
+    trusted text; the rest is bounded by languages x PLACES."""
+
+    table: DataFrame  # code; a, b, g: a pair's count, or a word's count, its count as history, its discounts
+    shards: int
+    discount: np.ndarray
+    held: np.ndarray  # per language and class: words counted in trusted text
+    types: np.ndarray  # per language and class: different ones among them
+
+
+def train_words(packed: DataFrame, languages: list[str], trusted: DataFrame) -> WordModel:
+    number = {x: i for i, x in enumerate(languages)}
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def merged() -> tuple[np.ndarray, ...]:
+            h, w, n = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((w, h))
+            h, w, n = h[order], w[order], n[order]
+            first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])))
+            return h[first], w[first], np.add.reduceat(n, first)
+
+        fresh = 0
+        for b in batches:
+            for x, z, y in zip(b["lang"], b["ids"], b["words"]):
+                if x in number:
+                    h, w = word_keys(number[x], _unzip(z), y)
+                    held.append((h, w, np.ones(len(h), np.int64)))
+                    fresh += len(h)
+            if fresh > 1_000_000:
+                held, fresh = [merged()], 0
+                if len(held[0][0]) > 2_000_000:  # what is added up later anyway
+                    yield pd.DataFrame(dict(zip("hwn", held.pop())))
+        if held:
+            yield pd.DataFrame(dict(zip("hwn", merged())))
+
+    rows = semi_join(packed.select("id", "lang", "ids", "words"), trusted, "id").select("lang", "ids", "words")
+    pairs = cut(rows.mapInPandas(count, "h long, w long, n long").groupBy("h", "w").agg(F.sum("n").alias("n")))
+    k = len(languages)
+    seen = [F.sum((F.col("n") == j).cast("long")).alias(f"n{j}") for j in (1, 2, 3, 4)]
+    discount, size = np.zeros((max(k, 1), 4)), 0
+    for r in pairs.groupBy(F.shiftright("h", 50).alias("lang")).agg(*seen, F.count("*").alias("size")).collect():
+        discount[r["lang"]] = discounts([r["n1"], r["n2"], r["n3"], r["n4"]])
+        size += r["size"]
+    if k:
+        by_lang = F.array(*[F.array(*[F.lit(float(v)) for v in d]) for d in discount])
+        off = F.get(F.get(by_lang, F.shiftright("h", 50).cast("int")), F.least("n", F.lit(3)).cast("int"))
+    else:
+        off = F.lit(0.0)
+    zero = F.lit(0).cast("long")
+    words = pairs.select(F.inline(F.array(
+        F.struct(F.col("h").alias("key"), zero.alias("a"), F.col("n").alias("b"), off.alias("g")),
+        F.struct(F.col("w").alias("key"), F.col("n").alias("a"), zero.alias("b"), F.lit(0.0).alias("g")),
+    ))).groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("g").alias("g"))
+    words = cut(words)
+    held, types = np.zeros(max(k, 1) * PLACES), np.zeros(max(k, 1) * PLACES)
+    of = F.shiftright("key", 50) * PLACES + F.shiftright("key", 40).bitwiseAND(1023)
+    for r in words.where("a > 0").groupBy(of.alias("place")).agg(F.sum("a").alias("n"), F.count("*").alias("types")).collect():
+        held[r["place"]], types[r["place"]] = r["n"], r["types"]
+    shards = min(1 << SHARDS_OF, max(size // SHARD_CODES * 4, 4 * packed.sparkSession.sparkContext.defaultParallelism))
+
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            code = mix(b.pop("x").to_numpy(np.int64), b.pop("y").to_numpy(np.int64))
+            yield b.assign(code=code, shard=shard_of(code, shards))
+
+    both = pairs.select(F.col("h").alias("x"), F.col("w").alias("y"), F.col("n").alias("a"), zero.alias("b"), F.lit(0.0).alias("g"))
+    both = both.unionByName(words.select(F.col("key").alias("x"), F.lit(-1).cast("long").alias("y"), "a", "b", "g"))
+    table = both.mapInPandas(coded, "a long, b long, g double, code long, shard int")
+    return WordModel(table, shards, discount, held, types)
+
+
+def shard_of(code: np.ndarray, shards: int) -> np.ndarray:
+    return ((((code >> (64 - SHARDS_OF)) + (1 << SHARDS_OF >> 1)) * shards) >> SHARDS_OF).astype(np.int32)
+
+
+def _squeeze(x: np.ndarray) -> bytes:
+    """Numbers of 8 bytes, byte by byte: equal leading bytes take no room."""
+    return zlib.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _swell(z: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(z), np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def _block_codes(number: dict[str, int], part: pd.DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray] | None], np.ndarray]:
+    """Keys of each text, and the sorted codes that the block asks for."""
+    keys = [word_keys(number[x], _unzip(z), y) if x in number else None for x, z, y in zip(part["lang"], part["ids"], part["words"])]
+    some = [k for k in keys if k is not None]
+    if not some:
+        return keys, np.zeros(0, np.int64)
+    pairs = np.unique(np.concatenate([mix(h, w) for h, w in some]))
+    single = np.unique(np.concatenate([np.unique(np.append(h, w)) for h, w in some]))
+    return keys, np.unique(np.append(pairs, mix(single, -1)))
+
+
+def word_costs(packed: DataFrame, model: Model, words: WordModel, trusted: DataFrame) -> DataFrame:
+    """id, lang, content, n_words, good (is trusted), cost (nats of the text; null without
+    a model), size (words and the end). A trusted text is taken out of the counts
+    of words and pairs that score it."""
+    number = {x: i for i, x in enumerate(model.languages) if model.mean[i] > 0}
+    table = model.counts.toPandas().sort_values("code")  # at most languages x PLACES^2 rows
+    small = (model.small(), table["code"].to_numpy(np.int64), table["n"].to_numpy(np.int64))
+    shared = packed.sparkSession.sparkContext.broadcast(small)
+    shards, discount, held, types = words.shards, words.discount, words.held, words.types
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def asked(parts: list[pd.DataFrame]) -> pd.DataFrame:
+            part = pd.concat(parts)
+            _, codes = _block_codes(number, part)
+            s = shard_of(codes, shards)
+            at = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, int)
+            ends = np.append(at[1:], len(s))
+            blobs = [_squeeze(np.diff(codes[a:e], prepend=np.int64(0))) for a, e in zip(at, ends)]
+            return pd.DataFrame({"block": np.full(len(at), part["block"].iloc[0]), "shard": s[at], "codes": pd.Series(blobs, dtype=object)})
+
+        kept: list[pd.DataFrame] = []
+        for b in batches:  # blocks are whole and in order within a partition
+            for k, part in b.groupby("block", sort=True):
+                if kept and kept[0]["block"].iloc[0] != k:
+                    yield asked(kept)
+                    kept = []
+                kept.append(part)
+        if kept:
+            yield asked(kept)
+
+    def answer(asked: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        counts = counts.sort_values("code")
+        have = counts["code"].to_numpy(np.int64)
+        columns = [counts["a"].to_numpy(np.int64), counts["b"].to_numpy(np.int64), counts["g"].to_numpy(np.float64)]
+        out: list[list[bytes]] = [[], [], []]
+        for z in asked["codes"]:
+            codes = np.cumsum(_swell(z, np.int64))
+            at = np.minimum(np.searchsorted(have, codes), max(len(have) - 1, 0))
+            hit = have[at] == codes if len(have) else np.zeros(len(codes), bool)
+            for o, c in zip(out, columns):
+                o.append(_squeeze(np.where(hit, c[at], 0) if len(have) else np.zeros(len(codes), c.dtype)))
+        return pd.DataFrame({"block": asked["block"], "shard": asked["shard"], "a": out[0], "b": out[1], "g": out[2]})
+
+    requests = packed.select("block", "lang", "ids", "words").mapInPandas(ask, "block long, shard int, codes binary")
+    answers = requests.groupBy("shard").cogroup(words.table.groupBy("shard")).applyInPandas(answer, "block long, shard int, a binary, b binary, g binary")
+    good = packed.select("id", "block", "row").join(trusted, "id", "left_semi")
+    none = F.lit(None).cast("binary")
+    found = answers.withColumn("row", F.lit(None).cast("int")).unionByName(
+        good.select("block", F.lit(None).cast("int").alias("shard"), none.alias("a"), none.alias("b"), none.alias("g"), "row")
+    )
+
+    def price(lang: int, ids: np.ndarray, keys: tuple[np.ndarray, np.ndarray], codes: np.ndarray, a: np.ndarray, b: np.ndarray, g: np.ndarray, own: bool) -> float:
+        m, class_codes, class_n = shared.value
+        h, w = keys
+        pair = mix(h, w)
+        at, at_h, at_w = (np.searchsorted(codes, x) for x in (pair, mix(h, -1), mix(w, -1)))
+        n, total, spare, seen = a[at], b[at_h], g[at_h], a[at_w]
+        d = discount[lang, np.minimum(n, 3)]
+        if own:
+            for of, less in ((pair, n := n.copy()), (h, total := total.copy()), (w, seen := seen.copy())):
+                _, back, many = np.unique(of, return_inverse=True, return_counts=True)
+                less -= many[back]
+            d = discount[lang, np.clip(n, 0, 3)]
+        code = lang * PLACES**2 + bigrams(ids)
+        place = np.minimum(np.searchsorted(class_codes, code), max(len(class_codes) - 1, 0))
+        class_seen = np.where(class_codes[place] == code, class_n[place], 0)
+        low = np.exp(-nats(m, code, class_seen))
+        c = code % PLACES
+        shape_ = (c >= VOCABULARY) & (c < BEGIN)
+        at_c = lang * PLACES + c
+        size, kinds = held[at_c], types[at_c]
+        # Half a count of each word of a shape goes to the words of that shape that trusted
+        # text does not hold, which are taken to be as many as those it holds.
+        within = np.where(size > 0, (np.maximum(seen - 0.5, 0) + 0.5 * kinds / (kinds + 1)) / np.maximum(size, 1), 1 / (types.sum() + 1))
+        low = low * np.where(shape_, within, 1.0)
+        has = total > 0
+        high = np.where(has, np.maximum(n - d, 0) / np.maximum(total, 1), 0)
+        left = np.where(has, np.minimum(spare / np.maximum(total, 1), 1), 1)
+        return float(-np.log(np.maximum(high + left * low, 1e-300)).sum())
+
+    packed = packed.select("id", "lang", "content", "block", "row", "n_words", "ids", "words")
+    out_schema = packed.drop("ids", "words", "block", "row").schema.add("good", "boolean").add("cost", "double").add("size", "long")
+
+    def score(docs_: pd.DataFrame, found_: pd.DataFrame) -> pd.DataFrame:
+        docs_ = docs_.sort_values("row")  # as it was when the codes were asked for
+        known = set(found_.loc[found_["row"].notna(), "row"].astype(int))
+        parts = found_[found_["row"].isna()].sort_values("shard")
+        keys, codes = _block_codes(number, docs_)
+        join = lambda c, kind: np.concatenate([_swell(z, kind) for z in parts[c]]) if len(parts) else np.zeros(0, kind)
+        a, b, g = join("a", np.int64), join("b", np.int64), join("g", np.float64)
+        assert len(a) == len(codes)
+        good_ = [r in known for r in docs_["row"]]
+        cost = [None if k is None else price(number[x], _unzip(z), k, codes, a, b, g, own) for x, z, k, own in zip(docs_["lang"], docs_["ids"], keys, good_)]
+        out = docs_.drop(columns=["ids", "words", "block", "row"])
+        return out.assign(good=good_, cost=pd.Series(cost, index=out.index, dtype="float64"), size=out["n_words"] + 1)
+
+    return packed.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(score, out_schema)
+
+
+def score_words(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """id, lang, content, n_words, good, nats (a word; null without a model) per row."""
     vocabulary = vocabularies(docs, text_col, lang_col)
     packed = pack(docs, vocabulary, id_col, text_col, lang_col)
     model = train(packed, vocabulary, trusted)
-    table = model.counts.toPandas().sort_values("code")  # at most languages x PLACES^2 rows
-    shared = docs.sparkSession.sparkContext.broadcast((model.small(), table["code"].to_numpy(np.int64), table["n"].to_numpy(np.int64)))
-    number = {x: i for i, x in enumerate(model.languages) if model.mean[i] > 0}
+    costs = cut(word_costs(packed, model, train_words(packed, model.languages, trusted), trusted))
+    mean = costs.where("good").groupBy("lang").agg((F.sum("cost") / F.sum("size")).alias("mean"))
+    out = costs.join(F.broadcast(mean), "lang", "left")  # a row per language
+    nats_ = (F.col("cost") + PRIOR_WORDS * F.col("mean")) / (F.col("size") + PRIOR_WORDS)
+    return out.select("id", "lang", "content", "n_words", "good", nats_.alias("nats"))
 
-    def score_packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, codes, counts = shared.value
-        for b in batches:
-            price = [document_nats(m, number[x], _unzip(z), codes, counts) if x in number else None for x, z in zip(b["lang"], b["ids"])]
-            yield pd.DataFrame({"lang": b["lang"], "nats": pd.Series(price, index=b.index, dtype="float64")})
 
-    good = semi_join(packed.select("id", "lang", "ids"), trusted, "id").select("lang", "ids")
-    limit = {r["lang"]: r["threshold"] for r in thresholds(good.mapInPandas(score_packed, "lang string, nats double")).collect()}
+def thresholds(trusted_scores: DataFrame, quantile: float = QUANTILE, times: float = TIMES) -> DataFrame:
+    """lang, threshold (nats a word) from scored trusted documents."""
+    q = F.percentile_approx("nats", quantile, 10_000)
+    return trusted_scores.where("nats IS NOT NULL").groupBy("lang").agg((q + F.log(F.lit(times))).alias("threshold"))
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, codes, counts = shared.value
-        as_numbers = _task_numbers({x: vocabulary[x] for x in number})
-        for b in batches:
-            ok = []
-            for x, t in zip(b[lang_col], b[text_col]):
-                x = "" if x is None or x != x else str(x)
-                price = document_nats(m, number[x], as_numbers[x](t or ""), codes, counts) if x in number else 0.0
-                ok.append(x not in limit or price <= limit[x])
-            yield b[ok]
-
-    return docs.mapInPandas(keep, docs.schema)
+
+def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without the rejected ones. ``trusted``: column ``id``.
+
+    Rows are rejected by their ``content`` hash; texts that surely are not rejected are
+    not shuffled."""
+    scored = score_words(docs, trusted, id_col, text_col, lang_col)
+    bad = scored.join(F.broadcast(thresholds(scored.where("good"))), "lang").where("nats > threshold")
+    rows = docs.withColumn("__content", content(id_col, text_col, lang_col))
+    return anti_join(rows, cut(bad.select(F.col("content").alias("__content")).distinct()), "__content").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import cut, table
+from fieldtally.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,14 +79,11 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fieldtally.llm.quality import pack, perplexities, thresholds, train, vocabularies
+    from fieldtally.llm.quality import score_words, thresholds
 
     docs, good = table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir)
-    vocabulary = vocabularies(docs)
-    packed = pack(docs, vocabulary)
-    # Few bytes a row from here on; written because the limits come from all rows.
-    scored = cut(perplexities(packed, train(packed, vocabulary, good)))
-    limits = thresholds(scored.join(good, "id", "left_semi"))
+    scored = score_words(docs, good)
+    limits = thresholds(scored.where("good"))
     out = scored.join(F.broadcast(limits), "lang", "left")  # a row per language
     keep = F.coalesce(F.col("nats") <= F.col("threshold"), F.lit(True)).cast("int")
     return out.select(F.col("id").alias("doc_id"), "lang", "n_words", F.exp("nats").alias("perplexity"), F.exp("threshold").alias("threshold"), keep.alias("keep"))

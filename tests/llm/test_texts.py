@@ -393,6 +393,58 @@ def test_judge_odd_rows(spark, odd_docs, no_docs):
     assert untrained.count() == odd_docs.count()
 
 
+def test_word_costs_equal_brute_force(spark):
+    texts = ["the cat sat on the mat .", "the dog sat on the mat .", "a dog and a cat and a mat !", "the the end"]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(9, "the cat sat upon a mat", "en"), (9, "the cat sat upon a mat", "en"), (10, None, "en"), (11, "x", "zz"), (None, "the end", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted, vocabulary = spark.range(4).select("id"), {"en": ["the", "a"], "zz": ["x"]}
+    packed = quality.pack(docs, vocabulary)
+    model = quality.train(packed, vocabulary, trusted)
+    words = quality.train_words(packed, model.languages, trusted)
+    got = quality.word_costs(packed, model, words, trusted).collect()
+    assert len(got) == len(rows) and [r["cost"] for r in got if r["id"] == 11] == [None]
+    as_numbers, prob = plain_model(texts, vocabulary["en"])
+
+    def pairs(t):
+        w = t.split()
+        return list(zip(["<"] + w, ["again" if i and x == w[i - 1] else x for i, x in enumerate(w)] + [">"]))
+
+    from collections import Counter
+
+    n = Counter(p for t in texts for p in pairs(t))
+    d = quality.discounts([sum(1 for v in n.values() if v == j) for j in (1, 2, 3, 4)])
+    types = Counter(quality.shape(w) for w in {w for _, w in n} - {"the", "a", "again", ">"})
+
+    def cost(t, own):
+        k = n - Counter(pairs(t)) if own else n
+        out = 0.0
+        for (h, w), code in zip(pairs(t), quality.bigrams(as_numbers(t)).tolist()):
+            low = prob(code)
+            if w not in ("the", "a", "again", ">"):
+                s = quality.shape(w)
+                size = sum(v for (_, x), v in n.items() if x not in ("the", "a", "again", ">") and quality.shape(x) == s)
+                low *= (max(sum(v for (_, x), v in k.items() if x == w) - 0.5, 0) + 0.5 * types[s] / (types[s] + 1)) / size if size else 1 / (len({x for _, x in n}) + 1)
+            total = sum(v for (x, _), v in k.items() if x == h)
+            left = min(sum(d[min(v, 3)] for (x, _), v in n.items() if x == h) / total, 1) if total else 1
+            out -= np.log((max(k[h, w] - d[min(k[h, w], 3)], 0) / total if total else 0) + left * low)
+        return out
+
+    for r in got:
+        if r["id"] != 11:
+            text = {**dict(enumerate(texts)), 9: "the cat sat upon a mat", 10: "", None: "the end"}[r["id"]]
+            assert r["good"] == (r["id"] in range(4)) and r["cost"] == pytest.approx(cost(text, r["good"]), rel=1e-9), r
+
+
+def test_words_keep_their_identity(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    trusted = spark.read.parquet(f"{data}/labels.parquet").where("quality = 1").select(F.col("doc_id").alias("id")).distinct()
+    rng = random.Random(1)
+    junk = [(-1 - i, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(2, 9))) for _ in range(200)), "en") for i in range(20)]
+    kept = quality.judge(docs.union(spark.createDataFrame(junk, "doc_id long, text string, lang string")), trusted)
+    assert kept.where("doc_id < 0").count() == 0
+    assert kept.join(trusted, kept["doc_id"] == trusted["id"], "left_semi").count() == trusted.count()
+
+
 def test_semi_join_is_exact(spark):
     rows = spark.range(2000).withColumn("x", F.lit("y"))
     keys = spark.range(0, 4000, 7)
