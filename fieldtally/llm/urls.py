@@ -15,7 +15,7 @@ aggregates over the whole table. Both classes are smoothed towards the words' ov
 shares, so a rare word that neither class owns weighs nothing.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits
-no rule and is allowed; repeated rows and null ids are kept row by row; an empty
+no rule and is allowed; a host without words is scored by its path and the classes' odds; repeated rows and null ids are kept row by row; an empty
 table gives no rows. Other columns are ignored, whatever their names.
 """
 
@@ -160,12 +160,14 @@ def judge_urls(urls: DataFrame, rules: list[tuple[str, str]], corpus: DataFrame,
     block = F.exists("words", lambda w: w.isin(*SEED_BLOCK))
     path_tokens = F.transform(F.filter(F.split(F.lower("path"), "[^a-z]+"), lambda x: x != ""), lambda x: F.concat(F.lit("/"), x))
     distinct = rows.groupBy("host", path_tokens.alias("ptokens")).agg(F.count("*").alias("n"))
-    distinct = cut(distinct.join(words, "host"))
+    # A host without words of its own (an address, other letters) is judged by its path.
+    distinct = distinct.where("host <> ''").join(words, "host", "left")
+    distinct = cut(distinct.withColumn("words", F.coalesce("words", F.array().cast("array<string>"))))
     tokens = F.concat("words", "ptokens")
     weights, odds = naive_bayes(distinct.select(tokens.alias("tokens"), block.alias("block")))
     scored = distinct.select("host", "ptokens", F.explode_outer(tokens).alias("token")).join(weights, "token", "left")
     scored = scored.groupBy("host", "ptokens").agg((F.coalesce(F.sum("weight"), F.lit(0.0)) + odds).alias("score"))
-    scored = scored.join(words, "host").select("host", "ptokens", "words", "score")
+    scored = scored.join(words, "host", "left").select("host", "ptokens", "words", "score")
     out = rows.withColumn("ptokens", path_tokens).join(scored, ["host", "ptokens"], "left")
     guess = F.when(F.coalesce("score", F.lit(-1.0)) > 0, "block").otherwise("allow")
     return out.select(

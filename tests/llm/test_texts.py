@@ -266,6 +266,16 @@ def test_rules_and_model(spark):
     assert urls.judge_urls(df.limit(0), RULES, df.limit(0), "html").count() == 0
 
 
+def test_hosts_without_words_are_scored(spark):
+    rows = [(i, f"http://casino.{chr(97 + i)}.org/poker/slots") for i in range(20)] + [(100 + i, f"http://plain.{chr(97 + i)}.org/garden") for i in range(20)]
+    rows += [(200, "http://203.0.113.7/poker/slots"), (201, "http://203.0.113.7/garden"), (202, "http://203.0.113.7/"), (203, "http://имя/poker/slots"), (204, "no scheme")]
+    df = spark.createDataFrame([(i, u, "poker slots casino plain garden") for i, u in rows], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in urls.judge_urls(df, RULES, df, "html").collect()}
+    assert len(got) == len(rows) and got[200]["words"] == [] and got[204]["score"] is None
+    assert all(got[i]["score"] is not None for i in (200, 201, 202, 203))
+    assert [got[i]["verdict"] for i in (200, 201, 203, 204)] == ["block", "allow", "block", "allow"]
+
+
 def test_best_split_is_best():
     known = [{"at": 1, "len": 3, "score": -2.0}, {"at": 4, "len": 3, "score": -2.0}, {"at": 1, "len": 6, "score": -9.0}]
     assert urls._best_split("catdog", known, 100) == ["cat", "dog"]
