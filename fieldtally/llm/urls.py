@@ -135,10 +135,11 @@ def url_words(urls: DataFrame, corpus: DataFrame, corpus_col: str) -> DataFrame:
 
 def naive_bayes(examples: DataFrame) -> tuple[DataFrame, float]:
     """token, weight (log P(token | block) - log P(token | allow)), and the log odds of
-    the classes. ``examples``: tokens (array), block (boolean)."""
-    n = examples.agg(F.count_if("block").alias("b"), F.count_if(~F.col("block")).alias("a")).first()
-    tokens = examples.select("block", F.explode("tokens").alias("token"))
-    per = tokens.groupBy("token").agg(F.sum(F.col("block").cast("long")).alias("b"), F.sum((~F.col("block")).cast("long")).alias("a"))
+    the classes. ``examples``: tokens (array), block (boolean), n (how many rows are so)."""
+    of = lambda block: F.coalesce(F.sum(F.when(F.col("block") == block, F.col("n"))), F.lit(0))
+    n = examples.agg(of(True).alias("b"), of(False).alias("a")).first()
+    tokens = examples.select("block", "n", F.explode("tokens").alias("token"))
+    per = tokens.groupBy("token").agg(of(True).alias("b"), of(False).alias("a"))
     per = cut(per)
     sums = per.agg(F.sum("b").alias("b"), F.sum("a").alias("a")).first()
     sb, sa = float(sums["b"] or 0), float(sums["a"] or 0)
@@ -164,7 +165,7 @@ def judge_urls(urls: DataFrame, rules: list[tuple[str, str]], corpus: DataFrame,
     distinct = distinct.where("host <> ''").join(words, "host", "left")
     distinct = cut(distinct.withColumn("words", F.coalesce("words", F.array().cast("array<string>"))))
     tokens = F.concat("words", "ptokens")
-    weights, odds = naive_bayes(distinct.select(tokens.alias("tokens"), block.alias("block")))
+    weights, odds = naive_bayes(distinct.select(tokens.alias("tokens"), block.alias("block"), "n"))
     scored = distinct.select("host", "ptokens", F.explode_outer(tokens).alias("token")).join(weights, "token", "left")
     scored = scored.groupBy("host", "ptokens").agg((F.coalesce(F.sum("weight"), F.lit(0.0)) + odds).alias("score"))
     scored = scored.join(words, "host", "left").select("host", "ptokens", "words", "score")

@@ -276,6 +276,21 @@ def test_hosts_without_words_are_scored(spark):
     assert [got[i]["verdict"] for i in (200, 201, 203, 204)] == ["block", "allow", "block", "allow"]
 
 
+def test_url_model_counts_every_row(spark):
+    # Copies of a page are rows of the table like any other.
+    pages = [f"http://casino.org/topic/{i}" for i in range(30)] + [f"http://{x}.org/topic/1" for x in ("plain", "calm", "green")]
+    df = spark.createDataFrame([(i, u, "casino topic plain calm green") for i, u in enumerate([*pages, "http://203.0.113.7/topic/1"])], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in urls.judge_urls(df, RULES, df, "html").collect()}
+    total = {True: 30 * 3, False: 3 * 3 + 1}  # tokens of a class
+    share = 34 / 100
+
+    def p(n, block):
+        return (n + urls.PRIOR * share) / (total[block] + urls.PRIOR)
+
+    want = np.log(p(30, True) / p(4, False)) + np.log(31 / 5)
+    assert got[33]["score"] == pytest.approx(want) and got[33]["verdict"] == "block"
+
+
 def test_best_split_is_best():
     known = [{"at": 1, "len": 3, "score": -2.0}, {"at": 4, "len": 3, "score": -2.0}, {"at": 1, "len": 6, "score": -9.0}]
     assert urls._best_split("catdog", known, 100) == ["cat", "dog"]
