@@ -141,6 +141,20 @@ def test_linkage_finds_injected_copies(spark):
     assert clusters.groupBy("component").count().where("count > 1").count() >= 40
 
 
+def test_large_blocks_keep_every_pair(spark):
+    # 2,100 persons of one surname, and a noisy copy whose spelling and year of birth differ.
+    day = lambda i: f"{1930 + i % 80}-{1 + i % 12:02d}-{1 + i % 28:02d}"
+    rows = [(f"p{i:05d}", "Mahamat", "Deby", None, day(i), None, "M", None, None) for i in range(2100)]
+    rows.append(("q", "Muhamat", "Deby", None, "2010-01-05", None, "M", None, None))
+    rows[7] = ("p00007", "Mahamat", "Deby", None, "2009-12-20", None, "M", None, None)
+    df = spark.createDataFrame(rows, PEOPLE)
+    got = linkage.candidate_pairs(df)
+    assert got.where("id1 = 'p00007' AND id2 = 'q'").count() == 1
+    few = df.where("id < 'p00100' OR id = 'q'")
+    pairs = lambda n: {tuple(r) for r in linkage.candidate_pairs(few, split_rows=n).collect()}
+    assert pairs(7) == pairs(2000) and len(pairs(7)) == 101 * 100 // 2
+
+
 def test_filter_edges(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (3, "b%")], "id int, s string")
     ids = lambda c: [r["id"] for r in df.where(c).collect()]
