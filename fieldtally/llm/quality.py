@@ -1,590 +1,466 @@
-"""Quality by the perplexity of an interpolated Kneser-Ney bigram model over real words.
-
-The model is trained on trusted documents, one per language. Counts are kept for each
-word and each pair of words (keyed by hashes), however many trusted text holds. What a
-pair leaves over goes to a class model: a language's ``VOCABULARY`` most frequent words
-and classes of shape (case, length, marks, digits, symbols) of all others, at most
-``PLACES`` numbers; within a class of shape a word has its share of trusted words, and
-words that trusted text does not hold share what is left. A word that repeats the one
-before it in a line becomes "repeat", while it counts as itself for the word after it.
-
-* ``vocabularies`` finds the frequent words with a mergeable sketch over all text.
-* ``pack`` writes each text as packed numbers and hashes once, in blocks of documents.
-* ``train`` makes the class model, ``train_words`` the tables of words and pairs.
-* ``word_costs`` scores documents by sharded count joins: each block asks for its distinct
-  words and pairs once, as sorted codes per shard; shards meet the tables in an
-  equi-join; answers and block meet again. A trusted text is scored without its own
-  counts. ``perplexities`` are those of the class model alone.
-* ``judge`` keeps a document unless its perplexity is over ``TIMES`` the ``QUANTILE``
-  of trusted documents of its language. Only texts that are likely to go are shuffled.
-
-Short texts are drawn towards the trusted mean by ``PRIOR_WORDS`` words of it.
-
-Defined results: a null text counts as empty and an empty text scores the trusted
-mean; a null language is a language of its own (''); documents of a language
-without trusted text are kept, with null perplexity; null ids and repeated rows are
-scored row by row; an empty table gives no rows. Other columns are carried along
-by ``judge`` and ignored by the rest, whatever their names.
+"""Quality by the perplexity of an interpolated modified Kneser-Ney bigram model.
+
+The model counts real words (whatever stands between ASCII white space) and pairs of
+words of trusted documents, one model per language, however many there are. A text is
+read as a ring: a mark, its words, and the mark again. With ``n`` the count of a pair,
+``c`` that of its first word, ``N`` the number of different words before a word, ``T``
+that of all pairs and ``V`` that of all words,
+
+    p(w | h) = (n(h, w) - D(n)) / c(h) + spare(h) * p(w)
+    p(w)     = (N(w) - D'(N)) / T + spare' / (V + 1)
+
+with discounts from the counts of counts of each level; words that trusted text does
+not hold share one place. A second word that equals the first becomes one
+of three "repeats", by how many words before it are the same.
+
+The logarithm splits into a price of each word, log spare(w) + log p(w) (each word is
+once a first and once a second word, but for repeats, whose price is put right), and a
+bonus of each pair that trusted text holds.
+So a document's cost is a sum over its pairs, and comes from sharded joins of counts:
+
+1. ``pair_rows`` turns blocks of texts into sorted pair codes with their documents, and
+   trusted texts into pair counts, cut into shards by language and first word.
+2. ``_continuations`` adds up the counts of a shard and sends each second word's number
+   of first words to that word's own shard, which adds up and answers.
+3. ``_priced`` makes prices and bonuses of a shard, and sums of costs per document.
+4. ``_collected`` adds up the shards' sums of each block.
+
+Texts are neither shuffled nor sent to the driver, and no table is held as a whole. A
+word is known by 40 bits of hash, and after a given first word by 28: with 10^5
+different followers, one unseen pair in 2,700 is taken for a seen one. All pairs of one
+first word meet in one task, which holds each of them once and meets blocks one by one.
+
+A fifth of the trusted documents (``HELD_OUT``, by a hash of the id) is left out of the
+counts; a language's threshold is the ``QUANTILE`` of their perplexities. Short texts
+are drawn towards the held-out mean by ``PRIOR_WORDS`` words of it.
+
+Defined results: a null text counts as empty, and an empty text scores nearly the
+mean; a null language is a language of its own (''); documents of a language without
+held-out trusted text are kept, with null perplexity; null ids and repeated rows are
+scored row by row and null ids are never trusted; an empty table gives no rows. Other
+columns are carried along by ``judge`` and ignored by the rest, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import anti_join, claim, cut, semi_join
+from fieldtally.llm.common import anti_join, cut, semi_join
+from fieldtally.llm.wordhash import word_keys
 
-VOCABULARY, PLACES = 500, 640
-BEGIN, END, REPEAT = 637, 638, 639
-QUANTILE, TIMES = 0.99, 2.0
+QUANTILE = 0.999
+HELD_OUT = 5  # one in so many trusted documents
 PRIOR_WORDS = 10
-BLOCK_DOCS, BLOCK_WORDS = 8192, 2_000_000
-CACHE_WORDS = 120_000
-HASH = (1 << 40) - 1  # bits of a rare word's identity
-TRACKED_WORDS = 20_000  # of the sketch that finds frequent words
-
-#: Shapes: what the word is made of x how long it is x the mark at its end.
-KINDS = {k: i for i, k in enumerate(["none", "upper", "capital", "lower", "digits", "joined", "symbols"])}
-_BODY = re.compile(r"[\"'(\[]*(.*?)([.,;:!?]?)[\"')\]]*", re.S)
-
-
-def shape(word: str) -> int:
-    """A number below PLACES - VOCABULARY - 3."""
-    body, mark = _BODY.fullmatch(word).groups()
-    if not body:
-        kind = "none"
-    elif body.isalpha():
-        kind = "upper" if len(body) > 1 and body.isupper() else "capital" if body[0].isupper() else "lower"
-    elif any(c.isdigit() for c in body):
-        kind = "digits"
-    else:
-        kind = "joined" if all(c.isalpha() or c in "-'’" for c in body) else "symbols"
-    size = (len(body) >= 16) + (len(body) >= 24)
-    return (KINDS[kind] * 3 + size) * 3 + (0 if not mark else 1 if mark in ".!?" else 2)
-
-
-class Numbers:
-    """Texts of one language as numbers; a cache of words per worker."""
-
-    def __init__(self, vocabulary: list[str]):
-        self.known = {w: i for i, w in enumerate(vocabulary)}
-        self.cache = dict(self.known)
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.split()
-        cache = self.cache
-        try:
-            plain = [cache[w] for w in words]
-        except KeyError:
-            if len(cache) > CACHE_WORDS:
-                self.cache = cache = dict(self.known)
-            for w in words:
-                if w not in cache:
-                    cache[w] = VOCABULARY + shape(w)
-            plain = [cache[w] for w in words]
-        out = np.array(plain, np.int16)
-        again = np.fromiter(map(str.__eq__, words[1:], words[:-1]), bool, max(len(words) - 1, 0))
-        if again.any():
-            # Within a line only: a break between equal words is not a repeat.
-            at = 0
-            broken = []
-            for line in text.split("\n"):
-                at += len(line.split())
-                broken.append(at)
-            first = np.zeros(len(words) + 1, bool)
-            first[broken] = True
-            again &= ~first[1 : len(words)]
-            out[1:][again] += np.int16(1024)  # marks a repeat of this class
-        return out
-
-
-_NUMBERS: dict[str, Numbers] = {}
-
-
-def _task_numbers(vocabulary: dict[str, list[str]]) -> dict[str, Numbers]:
-    """Fresh ones for a task; those of the task before go."""
-    numbers = claim(_NUMBERS)
-    numbers.clear()
-    numbers |= {x: Numbers(v) for x, v in vocabulary.items()}
-    return numbers
-
-
-def rare_hashes(text: str, ids: np.ndarray) -> bytes:
-    """Five bytes of hash for each word of the text that ``ids`` knows as a shape only."""
-    words = text.split()
-    rare = np.flatnonzero((ids & 1023) >= VOCABULARY)
-    h = np.fromiter((xxhash.xxh64_intdigest(words[i]) & HASH for i in rare.tolist()), np.int64, len(rare))
-    return h.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def bigrams(ids: np.ndarray) -> np.ndarray:
-    """history * PLACES + word of a text's numbers, begin and end included."""
-    plain = ids.astype(np.int64) & 1023
-    history = np.append(BEGIN, plain)
-    word = np.append(np.where(ids >= 1024, REPEAT, plain), END)
-    return history * PLACES + word
-
-
-@dataclass
-class Model:
-    """What is bounded by languages x PLACES; the count table stays a DataFrame."""
-
-    languages: list[str]
-    vocabulary: dict[str, list[str]]
-    counts: DataFrame | None = None  # code (language * PLACES^2 + bigram), n
-    total: np.ndarray = field(default_factory=lambda: np.zeros(0))  # per language and history
-    spare: np.ndarray = field(default_factory=lambda: np.zeros(0))  # mass left for lower orders
-    lower: np.ndarray = field(default_factory=lambda: np.zeros(0))  # probability by continuation
-    discount: np.ndarray = field(default_factory=lambda: np.zeros((0, 4)))
-    mean: np.ndarray = field(default_factory=lambda: np.zeros(0))  # trusted nats a word
-
-    def small(self) -> Model:
-        return Model(self.languages, self.vocabulary, None, self.total, self.spare, self.lower, self.discount, self.mean)
+RING = 1  # the code of the mark
+REPEATS = (2, 3, 4)  # codes of a second word that equals the one, two, three or more before it
+WORD_BITS, NEXT_BITS, DOC_BITS = 40, 28, 13
+BLOCK_PAIRS, BLOCK_DOCS = 2_000_000, 1 << DOC_BITS
+SHARD_BYTES = 48 << 20  # of text
+BROADCAST_IDS = 1_000_000
+
+TRUSTED, ASKED, DOCS = 0, 1, 2
 
 
 def _language(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def discounts(n: list[float]) -> np.ndarray:
-    """D(0), D1, D2, D3+ from the numbers of bigrams seen once to four times."""
-    n1, n2, n3, n4 = (max(float(x), 1.0) for x in n)
-    y = n1 / (n1 + 2 * n2)
-    d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
-    return np.array([0.0] + [min(max(x, 0.1), k) for k, x in zip((0.9, 1.8, 2.7), d)])
-
-
-def vocabularies(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
-    """The ``VOCABULARY`` most frequent words of each language, in descending order."""
-    words = docs.select(_language(lang_col).alias("lang"), F.explode(F.split(text_col, r"\s+")).alias("word")).where("word <> ''")
-    top = words.groupBy("lang").agg(F.expr(f"approx_top_k(word, {VOCABULARY}, {TRACKED_WORDS})").alias("top"))
-    return {r["lang"]: [x["item"] for x in sorted(r["top"], key=lambda x: (-x["count"], x["item"]))] for r in top.collect()}
-
-
 def content(id_col: str, text_col: str, lang_col: str) -> Column:
-    """What a row's score depends on, as a hash (of the id for whether it is trusted)."""
+    """What a row's score depends on, as a hash."""
     return F.xxhash64(F.col(id_col), _language(lang_col), F.coalesce(text_col, F.lit("")))
 
 
-def pack(docs: DataFrame, vocabulary: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """id, lang, content (a hash), block, row (in its block), n_words, ids (packed
-    numbers), words (hashes of those without a number), written to the shared folder."""
-    rows = docs.select(F.col(id_col).alias("id"), _language(lang_col).alias("lang"), content(id_col, text_col, lang_col).alias("content"), F.col(text_col).alias("text"))
-    schema = rows.drop("text").schema
-    for name, kind in (("block", "long"), ("row", "integer"), ("n_words", "long"), ("ids", "binary"), ("words", "binary")):
-        schema = schema.add(name, kind)
+def held_out(id_col: str = "id") -> Column:
+    return F.pmod(F.xxhash64(F.lit("held out"), F.col(id_col).cast("string")), F.lit(HELD_OUT)) == 0
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        as_numbers = _task_numbers(vocabulary)
-        block, docs_in, words_in = TaskContext.get().partitionId() << 32, 0, 0
-        for b in batches:
-            blocks, rows_, sizes, ids, words = [], [], [], [], []
-            for x, t in zip(b["lang"], b.pop("text")):
-                a = as_numbers[x](t) if t and x in as_numbers else np.zeros(0, np.int16)
-                if docs_in and (docs_in >= BLOCK_DOCS or words_in + len(a) > BLOCK_WORDS):
-                    block, docs_in, words_in = block + 1, 0, 0
-                docs_in, words_in = docs_in + 1, words_in + len(a)
-                blocks.append(block)
-                rows_.append(docs_in - 1)
-                sizes.append(len(a))
-                ids.append(zlib.compress(a.tobytes(), 1))
-                words.append(rare_hashes(t, a) if len(a) else b"")
-            yield b.assign(block=blocks, row=rows_, n_words=sizes, ids=ids, words=words)
-
-    return cut(rows.mapInPandas(run, schema))
-
-
-def train(packed: DataFrame, vocabulary: dict[str, list[str]], trusted: DataFrame) -> Model:
-    """``trusted``: column ``id``, the ids of the documents to learn from."""
-    languages = sorted(vocabulary)
-    number = {x: i for i, x in enumerate(languages)}
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for b in batches:
-            codes = [number[x] * PLACES**2 + bigrams(_unzip(z)) for x, z in zip(b["lang"], b["ids"]) if x in number]
-            if codes:
-                held.append(np.unique(np.concatenate(codes), return_counts=True))
-            if len(held) > 8:
-                held = [_merge(held)]
-        if held:
-            code, n = _merge(held)
-            yield pd.DataFrame({"code": code, "n": n})
-
-    rows = semi_join(packed.select("id", "lang", "ids"), trusted, "id").select("lang", "ids")
-    counts = rows.mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    model = Model(languages, vocabulary, cut(counts))
-    _finish(model)
-    return model
-
-
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    code, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return code, np.bincount(at, np.concatenate([p[1] for p in parts]), len(code)).astype(np.int64)
-
-
-def _finish(model: Model) -> None:
-    """Aggregates of the count table, each of at most languages x PLACES rows."""
-    k = len(model.languages)
-    code = F.col("code")
-    lang = F.floor(code / PLACES**2).cast("int")
-    row = model.counts.select(
-        lang.alias("lang"), F.floor(F.pmod(code, F.lit(PLACES**2)) / PLACES).cast("int").alias("h"),
-        F.pmod(code, F.lit(PLACES)).cast("int").alias("w"), "n",
-    )
-    seen = lambda j: F.sum((F.col("n") == j).cast("long"))
-    of = row.groupBy("lang").agg(*[seen(j).alias(f"n{j}") for j in (1, 2, 3, 4)], F.count("*").alias("types")).collect()
-    model.discount, types = np.zeros((k, 4)), np.ones(k)
-    for r in of:
-        model.discount[r["lang"]] = discounts([r["n1"], r["n2"], r["n3"], r["n4"]])
-        types[r["lang"]] = r["types"]
-    total, spare, lower = np.zeros((k, PLACES)), np.ones((k, PLACES)), np.zeros((k, PLACES))
-    more = F.sum((F.col("n") >= 3).cast("long")).alias("n3")
-    for r in row.groupBy("lang", "h").agg(F.sum("n").alias("n"), seen(1).alias("n1"), seen(2).alias("n2"), more).collect():
-        d = model.discount[r["lang"]]
-        total[r["lang"], r["h"]] = r["n"]
-        spare[r["lang"], r["h"]] = (d[1] * r["n1"] + d[2] * r["n2"] + d[3] * r["n3"]) / r["n"]
-    cont = row.groupBy("lang", "w").agg(F.count("*").alias("c")).collect()
-    found = np.zeros((k, PLACES))
-    for r in cont:
-        found[r["lang"], r["w"]] = r["c"]
-    # Continuation counts are discounted the same way; what is left goes to all places.
-    for i in range(k):
-        d = discounts([(found[i] == j).sum() for j in (1, 2, 3, 4)])
-        off = d[np.minimum(found[i], 3).astype(int)]
-        lower[i] = (found[i] - off) / types[i] + off.sum() / types[i] / PLACES
-    model.total, model.spare, model.lower = total.ravel(), spare.ravel(), lower.ravel()
-    n = row.agg(F.sum("n")).first()[0]
-    model.mean = np.zeros(k)
-    if n:
-        lookup = row.groupBy("lang").agg(F.sum("n").alias("n")).collect()
-        size = {r["lang"]: r["n"] for r in lookup}
-        # The trusted text's own mean: each bigram's price times its count.
-        price = _prices_sql(model)
-        for r in price.groupBy("lang").agg(F.sum("cost").alias("cost")).collect():
-            model.mean[r["lang"]] = r["cost"] / size[r["lang"]]
-
-
-def _prices_sql(model: Model) -> DataFrame:
-    """lang, cost: count times price of each bigram (a pass over the count table)."""
-    small = model.small()
-
-    def price(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            code, n = b["code"].to_numpy(np.int64), b["n"].to_numpy(np.int64)
-            yield pd.DataFrame({"lang": (code // PLACES**2).astype(np.int32), "cost": nats(small, code, n) * n})
 
-    return model.counts.mapInPandas(price, "lang int, cost double")
-
-
-def nats(m: Model, code: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """-log P of bigrams that were seen ``n`` times in trusted text."""
-    lang, rest = code // PLACES**2, code % PLACES**2
-    h, w = lang * PLACES + rest // PLACES, lang * PLACES + rest % PLACES
-    d = m.discount[lang, np.minimum(n, 3)]
-    high = np.where(m.total[h] > 0, (n - d) / np.maximum(m.total[h], 1), 0)
-    return -np.log(np.maximum(high + m.spare[h] * m.lower[w], 1e-12))
-
-
-def document_nats(m: Model, lang: int, ids: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> float:
-    """Nats a word of one text, given the sorted table (or the part it asked for)."""
-    code = lang * PLACES**2 + bigrams(ids)
-    at = np.minimum(np.searchsorted(codes, code), max(len(codes) - 1, 0))
-    n = np.where(codes[at] == code, counts[at], 0) if len(codes) else np.zeros(len(code), np.int64)
-    return float((nats(m, code, n).sum() + PRIOR_WORDS * m.mean[lang]) / (len(code) + PRIOR_WORDS))
-
-
-# ---------------------------------------------------------------- scoring
-
-
-def perplexities(packed: DataFrame, model: Model) -> DataFrame:
-    """id, lang, n_words, nats (a word; null without a model) per row."""
-    number = {x: i for i, x in enumerate(model.languages) if model.mean[i] > 0}
-    small = model.small()
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[np.ndarray]] = {}
-        for b in batches:
-            for k, part in b.groupby("block"):
-                codes = [number[x] * PLACES**2 + bigrams(_unzip(z)) for x, z in zip(part["lang"], part["ids"]) if x in number]
-                if codes:
-                    held.setdefault(k, []).append(np.unique(np.concatenate(codes)))
-        for k, parts in held.items():  # a partition holds a few blocks
-            yield pd.DataFrame({"block": np.int64(k), "code": np.unique(np.concatenate(parts))})
-
-    asked = packed.select("block", "lang", "ids").mapInPandas(ask, "block long, code long")
-    answers = asked.join(model.counts, "code").select("block", "code", "n")
-    packed = packed.select("id", "lang", "block", "n_words", "ids")
-    out_schema = packed.drop("ids", "block").schema.add("nats", "double")
-
-    def score(docs_: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        found = found.sort_values("code")
-        codes, counts = found["code"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
-        price = [document_nats(small, number[x], _unzip(z), codes, counts) if x in number else None for x, z in zip(docs_["lang"], docs_["ids"])]
-        return docs_.drop(columns=["ids", "block"]).assign(nats=pd.Series(price, index=docs_.index, dtype="float64"))
+def discounts(n: list[float]) -> np.ndarray:
+    """D(0), D1, D2, D3+ from the numbers of what was seen once to four times."""
+    n1, n2, n3, n4 = (max(float(x), 1.0) for x in n)
+    y = n1 / (n1 + 2 * n2)
+    d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+    return np.array([0.0] + [min(max(x, 0.1), k) for k, x in zip((0.9, 1.8, 2.7), d)])
 
-    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, out_schema)
 
+# ------------------------------------------------------------- numbers as bytes
 
-def _unzip(z: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(z), np.int16)
 
+def squeeze(x: np.ndarray) -> bytes:
+    """Whole numbers, or floats of four bytes, byte by byte: leading bytes that are
+    alike take little room."""
+    x = np.ascontiguousarray(x)
+    planes = x.view(np.uint8).reshape(-1, x.itemsize).T
+    return bytes([x.itemsize]) + zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
-# ---------------------------------------------------------------- real words
 
+def swell(z: bytes, kind: type = np.int64) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(z[1:]), np.uint8).reshape(z[0], -1)
+    out = np.ascontiguousarray(planes.T)
+    if z[0] == np.dtype(kind).itemsize:
+        return out.view(kind).ravel()
+    return out.view(f"u{z[0]}").ravel().astype(kind)
 
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-SHARDS_OF = 16  # leading bits of a code that choose its shard
-SHARD_CODES = 1_500_000
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=x.dtype.type(0))
 
-def mix(h: np.ndarray, w: np.ndarray | int) -> np.ndarray:
-    """A code for each pair of word keys (or of a key and -1: the word by itself)."""
-    x = h.astype(np.uint64) * _MIX[0]
-    x ^= x >> np.uint64(32)
-    x = (x + np.asarray(w, np.int64).astype(np.uint64)) * _MIX[1]
-    x ^= x >> np.uint64(29)
-    x *= _MIX[2]
-    return (x ^ (x >> np.uint64(32))).view(np.int64)
 
+# ------------------------------------------------------------------- texts
 
-def word_keys(lang: int, ids: np.ndarray, words: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of histories and of words of one text, begin and end included: language,
-    class (10 bits) and hash (40 bits)."""
-    plain = ids.astype(np.int64) & 1023
-    h = np.zeros(len(ids), np.int64)
-    rare = plain >= VOCABULARY
-    wide = np.zeros((int(rare.sum()), 8), np.uint8)
-    wide[:, :5] = np.frombuffer(words, np.uint8).reshape(-1, 5)
-    h[rare] = wide.view(np.int64).ravel()
-    key = (np.int64(lang) << 50) | (plain << 40) | h
-    special = lambda c: (np.int64(lang) << 50) | (np.int64(c) << 40)
-    return np.append(special(BEGIN), key), np.append(np.where(ids >= 1024, special(REPEAT), key), special(END))
 
+def ring(keys: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, second word and document of each pair of some texts, given the words
+    in order and the number of each word's document."""
+    size = len(keys) + n_docs
+    first, second = np.full(size, RING, np.int64), np.full(size, RING, np.int64)
+    at = np.arange(len(keys)) + doc
+    second[at] = keys
+    again = np.append(False, (keys[1:] == keys[:-1]) & (doc[1:] == doc[:-1]))[: len(keys)]
+    for code in REPEATS:
+        second[at[again]] = code
+        again = again & np.append(False, again[:-1])[: len(keys)]
+    first[at + 1] = keys
+    owner = np.repeat(np.arange(n_docs), np.bincount(doc, minlength=n_docs) + 1)
+    return first, second, owner
 
-@dataclass
-class WordModel:
-    """Tables keyed by real words and word pairs stay DataFrames and grow with the
-    trusted text; the rest is bounded by languages x PLACES."""
 
-    table: DataFrame  # code; a, b, g: a pair's count, or a word's count, its count as history, its discounts
-    shards: int
-    discount: np.ndarray
-    held: np.ndarray  # per language and class: words counted in trusted text
-    types: np.ndarray  # per language and class: different ones among them
+def shard_of(first: np.ndarray, shards: int) -> np.ndarray:
+    return (first * shards) >> WORD_BITS
 
 
-def train_words(packed: DataFrame, languages: list[str], trusted: DataFrame) -> WordModel:
-    number = {x: i for i, x in enumerate(languages)}
+def _parts(first: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
+    """(shard, begin, end) of sorted words."""
+    s = shard_of(first, shards)
+    begin = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, int)
+    return [(int(s[a]), int(a), int(b)) for a, b in zip(begin, np.append(begin[1:], len(s)))]
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, ...]] = []
 
-        def merged() -> tuple[np.ndarray, ...]:
-            h, w, n = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((w, h))
-            h, w, n = h[order], w[order], n[order]
-            first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])))
-            return h[first], w[first], np.add.reduceat(n, first)
+def counted(first: np.ndarray, second: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Different first words, and of each different pair the place of its first word
+    among them, its second word and its count."""
+    words, place = _numbered(first)
+    key = (place << WORD_BITS) | second
+    if n is None:
+        key = np.sort(key)
+    else:
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
+    total = np.diff(np.append(start, len(key))) if n is None else np.add.reduceat(n, start) if len(start) else n
+    key = key[start]
+    return words, key >> WORD_BITS, key & ((1 << WORD_BITS) - 1), total
+
+
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    code, found = pd.factorize(x)
+    order = np.argsort(found)
+    rank = np.empty(len(found), np.int64)
+    rank[order] = np.arange(len(found))
+    return found[order], rank[code]
+
+
+def _trusted_blobs(first: np.ndarray, second: np.ndarray, shards: int) -> Iterator[tuple]:
+    words, place, second, n = counted(first, second)
+    begin = np.searchsorted(place, np.arange(len(words) + 1))
+    for s, a, b in _parts(words, shards):
+        i, j = begin[a], begin[b]
+        yield s, squeeze(_steps(words[a:b])), squeeze(_steps((place[i:j] - a) << WORD_BITS | second[i:j])), squeeze(n[i:j].astype(np.uint32)), None
+
+
+def _asked_blobs(first: np.ndarray, second: np.ndarray, doc: np.ndarray, shards: int) -> Iterator[tuple]:
+    words, place = _numbered(first)
+    key = np.sort((place << (NEXT_BITS + DOC_BITS)) | ((second & ((1 << NEXT_BITS) - 1)) << DOC_BITS) | doc)
+    pair, doc = key >> DOC_BITS, key & ((1 << DOC_BITS) - 1)
+    start = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+    many = np.diff(np.append(start, len(pair)))
+    near = doc.astype(np.int64)
+    near[1:] = np.where(pair[1:] == pair[:-1], doc[1:] - doc[:-1], doc[1:])
+    pair = pair[start]
+    begin = np.searchsorted(pair >> NEXT_BITS, np.arange(len(words) + 1))
+    place_in_all = np.append(start, len(doc))
+    for s, a, b in _parts(words, shards):
+        i, j = begin[a], begin[b]
+        yield (
+            s, squeeze(_steps(words[a:b])), squeeze(_steps(pair[i:j] - (a << NEXT_BITS))),
+            squeeze(many[i:j].astype(np.uint32)), squeeze(near[place_in_all[i] : place_in_all[j]].astype(np.uint16)),
+        )
+
+
+COLUMNS = "lang string, shard int, kind int, block long, n_docs int, a binary, b binary, c binary, d binary"
+
+
+def pair_rows(docs: DataFrame, trusted: bool, shards: int) -> DataFrame:
+    """Blobs of the pairs of texts: counts (``trusted``), or pairs with their documents
+    and, as rows of kind ``DOCS``, the documents. ``docs``: id (text), lang, content, text."""
+    names = [x.split()[0] for x in COLUMNS.split(", ")] + ["ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.string())]
+        block = TaskContext.get().partitionId() << 32
+        held: dict[str, list[tuple[np.ndarray, ...]]] = {}
+        known: dict[str, list[tuple]] = {}  # of the documents of this block
+        pairs = 0
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal pairs, block
+            for lang, parts in held.items():
+                first, second, doc = (np.concatenate(x) for x in zip(*parts))
+                n = 0 if trusted else len(known[lang])
+                for i in range(0, len(first), 2 * BLOCK_PAIRS):  # one long text may hold more than a block
+                    part = slice(i, i + 2 * BLOCK_PAIRS)
+                    blobs = _trusted_blobs(first[part], second[part], shards) if trusted else _asked_blobs(first[part], second[part], doc[part], shards)
+                    rows = [(lang, s, TRUSTED if trusted else ASKED, block, n, *blob, None) for s, *blob in blobs]
+                    for at in range(0, len(rows), 64):
+                        yield out(rows[at : at + 64])
+            held.clear()
+            pairs = 0
+            if last:
+                for lang, rows in known.items():
+                    ids, contents, sizes = zip(*rows)
+                    yield out([(lang, -1 - block % 65521, DOCS, block, len(ids), squeeze(np.array(contents, np.int64)), squeeze(np.array(sizes, np.int64)), None, None, list(ids))])
+                known.clear()
+                block += 1
 
-        fresh = 0
         for b in batches:
-            for x, z, y in zip(b["lang"], b["ids"], b["words"]):
-                if x in number:
-                    h, w = word_keys(number[x], _unzip(z), y)
-                    held.append((h, w, np.ones(len(h), np.int64)))
-                    fresh += len(h)
-            if fresh > 1_000_000:
-                held, fresh = [merged()], 0
-                if len(held[0][0]) > 2_000_000:  # what is added up later anyway
-                    yield pd.DataFrame(dict(zip("hwn", held.pop())))
+            text = b.column("text")
+            langs, contents = b.column("lang").to_pylist(), b.column("content").to_pylist()
+            ids = b.column("id").to_pylist()
+            for lo, hi, keys, doc in word_keys(text):  # documents lo .. hi - 1, in order
+                base = 0
+                begin = np.searchsorted(doc, np.arange(lo, hi + 1))
+                while lo + base < hi:
+                    # As many documents as the block still takes, one at least.
+                    room = BLOCK_DOCS - sum(map(len, known.values()))
+                    to = min(hi - lo, base + max(room, 1))
+                    if not trusted:
+                        stop = int(np.searchsorted(begin, begin[base] + max(BLOCK_PAIRS - pairs, 0), "right")) - 1
+                        to = max(base + 1, min(to, stop))
+                    by_lang: dict[str, list[int]] = {}
+                    for i in range(lo + base, lo + to):
+                        by_lang.setdefault(langs[i], []).append(i)
+                    for lang, which in by_lang.items():
+                        rows = known.setdefault(lang, [])
+                        at = len(rows)
+                        size = np.array([begin[i - lo + 1] - begin[i - lo] for i in which])
+                        take = np.concatenate([np.arange(begin[i - lo], begin[i - lo + 1]) for i in which])
+                        first, second, owner = ring(keys[take], np.repeat(np.arange(len(which)), size), len(which))
+                        held.setdefault(lang, []).append((first, second, owner + at))
+                        rows += [(ids[i], contents[i], int(m)) for i, m in zip(which, size)] if not trusted else [()] * len(which)
+                        pairs += len(first)
+                    base = to
+                    full = sum(map(len, known.values())) >= BLOCK_DOCS or pairs >= BLOCK_PAIRS
+                    if full:
+                        if trusted:
+                            known.clear()
+                        yield from flush(not trusted)
         if held:
-            yield pd.DataFrame(dict(zip("hwn", merged())))
-
-    rows = semi_join(packed.select("id", "lang", "ids", "words"), trusted, "id").select("lang", "ids", "words")
-    pairs = cut(rows.mapInPandas(count, "h long, w long, n long").groupBy("h", "w").agg(F.sum("n").alias("n")))
-    k = len(languages)
-    seen = [F.sum((F.col("n") == j).cast("long")).alias(f"n{j}") for j in (1, 2, 3, 4)]
-    discount, size = np.zeros((max(k, 1), 4)), 0
-    for r in pairs.groupBy(F.shiftright("h", 50).alias("lang")).agg(*seen, F.count("*").alias("size")).collect():
-        discount[r["lang"]] = discounts([r["n1"], r["n2"], r["n3"], r["n4"]])
-        size += r["size"]
-    if k:
-        by_lang = F.array(*[F.array(*[F.lit(float(v)) for v in d]) for d in discount])
-        off = F.get(F.get(by_lang, F.shiftright("h", 50).cast("int")), F.least("n", F.lit(3)).cast("int"))
+            if trusted:
+                known.clear()
+            yield from flush(not trusted)
+
+    return docs.select("id", "lang", "content", "text").mapInArrow(run, COLUMNS + ", ids array<string>")
+
+
+# ------------------------------------------------------------------- counts
+
+
+def _shard_counts(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """``counted`` of all trusted rows of a shard."""
+    parts = []
+    for a, b, c in zip(rows["a"], rows["b"], rows["c"]):
+        words, key = np.cumsum(swell(a)), np.cumsum(swell(b))
+        parts.append((words[key >> WORD_BITS], key & ((1 << WORD_BITS) - 1), swell(c)))
+    if not parts:
+        parts = [(np.zeros(0, np.int64),) * 3]
+    first, second, n = (np.concatenate(x) for x in zip(*parts))
+    return counted(first, second, n)
+
+
+STATS = ["n1", "n2", "n3", "n4", "m1", "m2", "m3", "m4", "types", "words", *[f"r{j}" for j in REPEATS]]
+
+
+def _continuations(pairs: DataFrame, shards: int) -> DataFrame:
+    """lang, shard, source, a, b: what each shard needs of the second words' numbers of
+    first words (``source`` says from which shard, -1 for its own words as first words),
+    and as source -2 the sums that ``STATS`` names."""
+
+    def partial(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        words, place, second, n = _shard_counts(rows[rows["kind"] == TRUSTED])
+        out = []
+        seen, many = np.unique(second, return_counts=True)
+        for s, a, b in _parts(seen, shards):
+            out.append((key[0], s, key[1], squeeze(_steps(seen[a:b])), squeeze(many[a:b].astype(np.uint32)), *[0] * 4))
+        if out:
+            out[0] = (*out[0][:5], *[int((n == j).sum()) for j in (1, 2, 3, 4)])
+        return pd.DataFrame(out, columns=["lang", "shard", "source", "a", "b", "n1", "n2", "n3", "n4"])
+
+    def total(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("source")
+        seen = [np.cumsum(swell(a)) for a in rows["a"]]
+        words, place = _numbered(np.concatenate(seen))
+        n = np.bincount(place, np.concatenate([swell(b) for b in rows["b"]]), len(words)).astype(np.int64)
+        ends = np.cumsum([len(x) for x in seen])
+        out = [(key[0], int(s), int(key[1]), squeeze(n[place[e - len(x) : e]].astype(np.uint32)), None) for s, x, e in zip(rows["source"], seen, ends)]
+        out.append((key[0], int(key[1]), -1, squeeze(n.astype(np.uint32)), squeeze(_steps(words))))
+        got = pd.DataFrame(out, columns=["lang", "shard", "source", "a", "b"])
+        sums = {f"n{j}": int(rows[f"n{j}"].sum()) for j in (1, 2, 3, 4)} | {f"m{j}": int((n == j).sum()) for j in (1, 2, 3, 4)}
+        sums |= {"types": int(n.sum()), "words": len(words)}
+        sums |= {f"r{j}": int(n[words == j].sum()) for j in REPEATS}
+        for k, v in sums.items():
+            got[k] = [v] + [0] * (len(got) - 1)
+        return got
+
+    sums_of = ", ".join(f"{k} long" for k in STATS)
+    asked = pairs.groupBy("lang", "shard").applyInPandas(partial, "lang string, shard int, source int, a binary, b binary, n1 long, n2 long, n3 long, n4 long")
+    told = asked.groupBy("lang", "shard").applyInPandas(total, f"lang string, shard int, source int, a binary, b binary, {sums_of}")
+    sums = told.groupBy("lang").agg(*[F.sum(k).alias(k) for k in STATS])
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    return told.drop(*STATS).unionByName(sums.select("*", every).withColumn("source", F.lit(-2)), allowMissingColumns=True)
+
+
+def level_discounts(stats: dict) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Discounts of pairs and of words, T, and the share of each of V + 1 places."""
+    d, e = discounts([stats[f"n{j}"] for j in (1, 2, 3, 4)]), discounts([stats[f"m{j}"] for j in (1, 2, 3, 4)])
+    many = stats["words"] - stats["m1"] - stats["m2"]
+    types = max(float(stats["types"]), 1.0)
+    spare = (e[1] * stats["m1"] + e[2] * stats["m2"] + e[3] * many) / types
+    return d, e, types, spare / (stats["words"] + 1)
+
+
+def _priced(pairs: DataFrame, told: DataFrame) -> DataFrame:
+    """lang, block, n_docs, ids, content, sizes, costs: documents of a block, and the
+    shards' sums of costs of its documents; costs are null in a language without model."""
+    names = ["lang", "block", "n_docs", "ids", "content", "sizes", "costs"]
+
+    def run(key: tuple, rows: pd.DataFrame, told_: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        known = rows[rows["kind"] == DOCS]
+        for x in known.itertuples():
+            out.append((x.lang, x.block, x.n_docs, x.ids, x.a, x.b, None))
+        asked = rows[rows["kind"] == ASKED]
+        words, place, second, n = _shard_counts(rows[rows["kind"] == TRUSTED])
+        if len(asked) and len(told_):
+            stats = told_[told_["source"] == -2].iloc[0].to_dict()
+            d, e, types, place_share = level_discounts(stats)
+            lower = lambda m: (m - e[np.minimum(m, 3)]) / types + place_share
+            # Second words' numbers of first words, in the order in which they were sent.
+            seen, at = np.unique(second, return_inverse=True)
+            sent = told_[told_["source"] >= 0].sort_values("source")
+            m = np.concatenate([swell(x) for x in sent["a"]]) if len(sent) else np.zeros(0, np.int64)
+            assert len(m) == len(seen)
+            p_second = lower(m)[at]
+            # Every word that follows another here, and every first word here.
+            own = told_[told_["source"] == -1]
+            own_words = np.cumsum(swell(own["b"].iloc[0])) if len(own) else np.zeros(0, np.int64)
+            own_m = swell(own["a"].iloc[0]) if len(own) else np.zeros(0, np.int64)
+            c = np.bincount(place, n, len(words))
+            spare = np.bincount(place, d[np.minimum(n, 3)], len(words)) / np.maximum(c, 1)
+            everything = np.union1d(words, own_words)
+            unknown = np.log(place_share)
+            alone = np.full(len(everything), unknown)
+            alone[np.searchsorted(everything, own_words)] = np.log(lower(own_m))
+            price = alone.copy()
+            price[np.searchsorted(everything, words)] += np.log(spare)
+            repeat = np.log(lower(np.array([int(stats[f"r{j}"]) for j in REPEATS])))
+            bonus = np.log1p((n - d[np.minimum(n, 3)]) / c[place] / (spare[place] * p_second)) if len(n) else np.zeros(0)
+            pair = (place << NEXT_BITS) | (second & ((1 << NEXT_BITS) - 1))
+            order = np.argsort(pair, kind="stable")
+            pair, bonus = pair[order], bonus[order]
+            for x in asked.itertuples():
+                first, code = np.cumsum(swell(x.a)), np.cumsum(swell(x.b))
+                many, near = swell(x.c), swell(x.d)
+                of = code >> NEXT_BITS
+                i = np.minimum(np.searchsorted(everything, first), max(len(everything) - 1, 0))
+                same = everything[i] == first if len(everything) else np.zeros(len(first), bool)
+                base = np.full(len(first), unknown)
+                base[same] = price[i[same]]
+                j = np.minimum(np.searchsorted(words, first), max(len(words) - 1, 0))
+                there = (words[j] == first) if len(words) else np.zeros(len(first), bool)
+                value = base[of]
+                follower = code & ((1 << NEXT_BITS) - 1)
+                again = np.flatnonzero((follower >= REPEATS[0]) & (follower <= REPEATS[-1]))
+                value[again] += repeat[follower[again] - REPEATS[0]] - np.where(same, alone[i] if len(alone) else unknown, unknown)[of[again]]
+                ask = np.flatnonzero(there[of])
+                want = (j[of[ask]] << NEXT_BITS) | follower[ask]
+                k = np.minimum(np.searchsorted(pair, want), max(len(pair) - 1, 0))
+                hit = pair[k] == want if len(pair) else np.zeros(len(want), bool)
+                value[ask[hit]] += bonus[k[hit]]
+                # Documents of a pair are told by their distances.
+                sums = np.cumsum(near)
+                start = np.cumsum(many) - many
+                doc = sums - np.repeat(sums[start] - near[start], many)
+                cost = np.bincount(doc, -np.repeat(value, many), x.n_docs)
+                out.append((x.lang, x.block, x.n_docs, None, None, None, squeeze(cost.astype(np.float32))))
+        return pd.DataFrame(out, columns=names)
+
+    schema = "lang string, block long, n_docs int, ids array<string>, content binary, sizes binary, costs binary"
+    return pairs.groupBy("lang", "shard").cogroup(told.groupBy("lang", "shard")).applyInPandas(run, schema)
+
+
+def _collected(priced: DataFrame) -> DataFrame:
+    """id (text), lang, content, n_words, cost (null without a model)."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        n = int(rows["n_docs"].max())
+        cost, found = np.zeros(n), False
+        known = rows[rows["ids"].notna()].iloc[0]
+        for z in rows["costs"].dropna():
+            part, found = swell(z, np.float32), True
+            cost[: len(part)] += part
+        return pd.DataFrame({
+            "id": pd.Series(list(known["ids"]), dtype=object), "lang": key[1], "content": swell(known["content"]), "n_words": swell(known["sizes"]),
+            "cost": cost if found else pd.Series([None] * n, dtype="float64"),
+        })
+
+    return priced.groupBy("block", "lang").applyInPandas(run, "id string, lang string, content long, n_words long, cost double")
+
+
+# ------------------------------------------------------------------ scores
+
+
+def costs(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """id, lang, content, n_words, cost (nats of the whole text and its end) of every
+    row. ``trusted``: column ``id``, all of them are learnt from."""
+    rows = docs.select(
+        F.col(id_col).cast("string").alias("id"), _language(lang_col).alias("lang"), content(id_col, text_col, lang_col).alias("content"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+    )
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(4, -(-size // SHARD_BYTES))
+    trusted = trusted.where("id IS NOT NULL").select(F.col("id").cast("string")).distinct()
+    if trusted.count() <= BROADCAST_IDS:
+        learnt = rows.join(F.broadcast(trusted), "id", "left_semi")
     else:
-        off = F.lit(0.0)
-    zero = F.lit(0).cast("long")
-    words = pairs.select(F.inline(F.array(
-        F.struct(F.col("h").alias("key"), zero.alias("a"), F.col("n").alias("b"), off.alias("g")),
-        F.struct(F.col("w").alias("key"), F.col("n").alias("a"), zero.alias("b"), F.lit(0.0).alias("g")),
-    ))).groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("g").alias("g"))
-    words = cut(words)
-    held, types = np.zeros(max(k, 1) * PLACES), np.zeros(max(k, 1) * PLACES)
-    of = F.shiftright("key", 50) * PLACES + F.shiftright("key", 40).bitwiseAND(1023)
-    for r in words.where("a > 0").groupBy(of.alias("place")).agg(F.sum("a").alias("n"), F.count("*").alias("types")).collect():
-        held[r["place"]], types[r["place"]] = r["n"], r["types"]
-    shards = min(1 << SHARDS_OF, max(size // SHARD_CODES * 4, 4 * packed.sparkSession.sparkContext.defaultParallelism))
-
-    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            code = mix(b.pop("x").to_numpy(np.int64), b.pop("y").to_numpy(np.int64))
-            yield b.assign(code=code, shard=shard_of(code, shards))
-
-    both = pairs.select(F.col("h").alias("x"), F.col("w").alias("y"), F.col("n").alias("a"), zero.alias("b"), F.lit(0.0).alias("g"))
-    both = both.unionByName(words.select(F.col("key").alias("x"), F.lit(-1).cast("long").alias("y"), "a", "b", "g"))
-    table = both.mapInPandas(coded, "a long, b long, g double, code long, shard int")
-    return WordModel(table, shards, discount, held, types)
-
-
-def shard_of(code: np.ndarray, shards: int) -> np.ndarray:
-    return ((((code >> (64 - SHARDS_OF)) + (1 << SHARDS_OF >> 1)) * shards) >> SHARDS_OF).astype(np.int32)
-
-
-def _squeeze(x: np.ndarray) -> bytes:
-    """Numbers of 8 bytes, byte by byte: equal leading bytes take no room."""
-    return zlib.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
-
-
-def _swell(z: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(z), np.uint8).reshape(8, -1).T).view(kind).ravel()
-
-
-def _block_codes(number: dict[str, int], part: pd.DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray] | None], np.ndarray]:
-    """Keys of each text, and the sorted codes that the block asks for."""
-    keys = [word_keys(number[x], _unzip(z), y) if x in number else None for x, z, y in zip(part["lang"], part["ids"], part["words"])]
-    some = [k for k in keys if k is not None]
-    if not some:
-        return keys, np.zeros(0, np.int64)
-    pairs = np.unique(np.concatenate([mix(h, w) for h, w in some]))
-    single = np.unique(np.concatenate([np.unique(np.append(h, w)) for h, w in some]))
-    return keys, np.unique(np.append(pairs, mix(single, -1)))
-
-
-def word_costs(packed: DataFrame, model: Model, words: WordModel, trusted: DataFrame) -> DataFrame:
-    """id, lang, content, n_words, good (is trusted), cost (nats of the text; null without
-    a model), size (words and the end). A trusted text is taken out of the counts
-    of words and pairs that score it."""
-    number = {x: i for i, x in enumerate(model.languages) if model.mean[i] > 0}
-    table = model.counts.toPandas().sort_values("code")  # at most languages x PLACES^2 rows
-    small = (model.small(), table["code"].to_numpy(np.int64), table["n"].to_numpy(np.int64))
-    shared = packed.sparkSession.sparkContext.broadcast(small)
-    shards, discount, held, types = words.shards, words.discount, words.held, words.types
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def asked(parts: list[pd.DataFrame]) -> pd.DataFrame:
-            part = pd.concat(parts)
-            _, codes = _block_codes(number, part)
-            s = shard_of(codes, shards)
-            at = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, int)
-            ends = np.append(at[1:], len(s))
-            blobs = [_squeeze(np.diff(codes[a:e], prepend=np.int64(0))) for a, e in zip(at, ends)]
-            return pd.DataFrame({"block": np.full(len(at), part["block"].iloc[0]), "shard": s[at], "codes": pd.Series(blobs, dtype=object)})
-
-        kept: list[pd.DataFrame] = []
-        for b in batches:  # blocks are whole and in order within a partition
-            for k, part in b.groupby("block", sort=True):
-                if kept and kept[0]["block"].iloc[0] != k:
-                    yield asked(kept)
-                    kept = []
-                kept.append(part)
-        if kept:
-            yield asked(kept)
-
-    def answer(asked: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        counts = counts.sort_values("code")
-        have = counts["code"].to_numpy(np.int64)
-        columns = [counts["a"].to_numpy(np.int64), counts["b"].to_numpy(np.int64), counts["g"].to_numpy(np.float64)]
-        out: list[list[bytes]] = [[], [], []]
-        for z in asked["codes"]:
-            codes = np.cumsum(_swell(z, np.int64))
-            at = np.minimum(np.searchsorted(have, codes), max(len(have) - 1, 0))
-            hit = have[at] == codes if len(have) else np.zeros(len(codes), bool)
-            for o, c in zip(out, columns):
-                o.append(_squeeze(np.where(hit, c[at], 0) if len(have) else np.zeros(len(codes), c.dtype)))
-        return pd.DataFrame({"block": asked["block"], "shard": asked["shard"], "a": out[0], "b": out[1], "g": out[2]})
-
-    requests = packed.select("block", "lang", "ids", "words").mapInPandas(ask, "block long, shard int, codes binary")
-    answers = requests.groupBy("shard").cogroup(words.table.groupBy("shard")).applyInPandas(answer, "block long, shard int, a binary, b binary, g binary")
-    good = packed.select("id", "block", "row").join(trusted, "id", "left_semi")
-    none = F.lit(None).cast("binary")
-    found = answers.withColumn("row", F.lit(None).cast("int")).unionByName(
-        good.select("block", F.lit(None).cast("int").alias("shard"), none.alias("a"), none.alias("b"), none.alias("g"), "row")
-    )
-
-    def price(lang: int, ids: np.ndarray, keys: tuple[np.ndarray, np.ndarray], codes: np.ndarray, a: np.ndarray, b: np.ndarray, g: np.ndarray, own: bool) -> float:
-        m, class_codes, class_n = shared.value
-        h, w = keys
-        pair = mix(h, w)
-        at, at_h, at_w = (np.searchsorted(codes, x) for x in (pair, mix(h, -1), mix(w, -1)))
-        n, total, spare, seen = a[at], b[at_h], g[at_h], a[at_w]
-        d = discount[lang, np.minimum(n, 3)]
-        if own:
-            for of, less in ((pair, n := n.copy()), (h, total := total.copy()), (w, seen := seen.copy())):
-                _, back, many = np.unique(of, return_inverse=True, return_counts=True)
-                less -= many[back]
-            d = discount[lang, np.clip(n, 0, 3)]
-        code = lang * PLACES**2 + bigrams(ids)
-        place = np.minimum(np.searchsorted(class_codes, code), max(len(class_codes) - 1, 0))
-        class_seen = np.where(class_codes[place] == code, class_n[place], 0)
-        low = np.exp(-nats(m, code, class_seen))
-        c = code % PLACES
-        shape_ = (c >= VOCABULARY) & (c < BEGIN)
-        at_c = lang * PLACES + c
-        size, kinds = held[at_c], types[at_c]
-        # Half a count of each word of a shape goes to the words of that shape that trusted
-        # text does not hold, which are taken to be as many as those it holds.
-        within = np.where(size > 0, (np.maximum(seen - 0.5, 0) + 0.5 * kinds / (kinds + 1)) / np.maximum(size, 1), 1 / (types.sum() + 1))
-        low = low * np.where(shape_, within, 1.0)
-        has = total > 0
-        high = np.where(has, np.maximum(n - d, 0) / np.maximum(total, 1), 0)
-        left = np.where(has, np.minimum(spare / np.maximum(total, 1), 1), 1)
-        return float(-np.log(np.maximum(high + left * low, 1e-300)).sum())
-
-    packed = packed.select("id", "lang", "content", "block", "row", "n_words", "ids", "words")
-    out_schema = packed.drop("ids", "words", "block", "row").schema.add("good", "boolean").add("cost", "double").add("size", "long")
-
-    def score(docs_: pd.DataFrame, found_: pd.DataFrame) -> pd.DataFrame:
-        docs_ = docs_.sort_values("row")  # as it was when the codes were asked for
-        known = set(found_.loc[found_["row"].notna(), "row"].astype(int))
-        parts = found_[found_["row"].isna()].sort_values("shard")
-        keys, codes = _block_codes(number, docs_)
-        join = lambda c, kind: np.concatenate([_swell(z, kind) for z in parts[c]]) if len(parts) else np.zeros(0, kind)
-        a, b, g = join("a", np.int64), join("b", np.int64), join("g", np.float64)
-        assert len(a) == len(codes)
-        good_ = [r in known for r in docs_["row"]]
-        cost = [None if k is None else price(number[x], _unzip(z), k, codes, a, b, g, own) for x, z, k, own in zip(docs_["lang"], docs_["ids"], keys, good_)]
-        out = docs_.drop(columns=["ids", "words", "block", "row"])
-        return out.assign(good=good_, cost=pd.Series(cost, index=out.index, dtype="float64"), size=out["n_words"] + 1)
-
-    return packed.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(score, out_schema)
-
-
-def score_words(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """id, lang, content, n_words, good, nats (a word; null without a model) per row."""
-    vocabulary = vocabularies(docs, text_col, lang_col)
-    packed = pack(docs, vocabulary, id_col, text_col, lang_col)
-    model = train(packed, vocabulary, trusted)
-    costs = cut(word_costs(packed, model, train_words(packed, model.languages, trusted), trusted))
-    mean = costs.where("good").groupBy("lang").agg((F.sum("cost") / F.sum("size")).alias("mean"))
-    out = costs.join(F.broadcast(mean), "lang", "left")  # a row per language
-    nats_ = (F.col("cost") + PRIOR_WORDS * F.col("mean")) / (F.col("size") + PRIOR_WORDS)
-    return out.select("id", "lang", "content", "n_words", "good", nats_.alias("nats"))
-
-
-def thresholds(trusted_scores: DataFrame, quantile: float = QUANTILE, times: float = TIMES) -> DataFrame:
-    """lang, threshold (nats a word) from scored trusted documents."""
-    q = F.percentile_approx("nats", quantile, 10_000)
-    return trusted_scores.where("nats IS NOT NULL").groupBy("lang").agg((q + F.log(F.lit(times))).alias("threshold"))
+        learnt = semi_join(rows, trusted, "id")
+    pairs = pair_rows(learnt, True, shards).unionByName(pair_rows(rows, False, shards))
+    found = _collected(_priced(pairs, _continuations(pairs, shards)))
+    return found.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
+
+
+def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
+    """Scores of every row (id, lang, content, n_words, nats: of a word; null without a
+    threshold) and the languages' thresholds (lang, mean, threshold)."""
+    ids = trusted.where("id IS NOT NULL").select("id").distinct()
+    every = cut(costs(docs, ids.where(~held_out()), id_col, text_col, lang_col))
+    mean_of = (F.sum("cost") / F.sum(F.col("n_words") + 1)).alias("mean")
+    apart = every.join(ids.where(held_out()), "id", "left_semi").where("cost IS NOT NULL")
+    mean = apart.groupBy("lang").agg(mean_of)
+    nats = (F.col("cost") + PRIOR_WORDS * F.col("mean")) / (F.col("n_words") + 1 + PRIOR_WORDS)
+    limits = apart.join(mean, "lang").groupBy("lang").agg(F.first("mean").alias("mean"), F.percentile_approx(nats, QUANTILE, 10_000).alias("threshold"))
+    limits = cut(limits)
+    return every.join(limits.select("lang", "mean"), "lang", "left").select("id", "lang", "content", "n_words", nats.alias("nats")), limits.select("lang", "threshold")
 
 
 def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -592,7 +468,7 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
 
     Rows are rejected by their ``content`` hash; texts that surely are not rejected are
     not shuffled."""
-    scored = score_words(docs, trusted, id_col, text_col, lang_col)
-    bad = scored.join(F.broadcast(thresholds(scored.where("good"))), "lang").where("nats > threshold")
+    scored, limits = score(docs, trusted, id_col, text_col, lang_col)
+    bad = scored.join(limits, "lang").where("nats > threshold")
     rows = docs.withColumn("__content", content(id_col, text_col, lang_col))
     return anti_join(rows, cut(bad.select(F.col("content").alias("__content")).distinct()), "__content").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from fieldtally.llm import gru, lines, packing, pieces, quality, secrets, simhash, tokens, toxicity, urls
+from fieldtally.llm import gru, lines, packing, pieces, secrets, simhash, tokens, toxicity, urls
 from fieldtally.llm.common import semi_join
 
 WORD, PIECE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -354,120 +354,7 @@ def test_toxicity_learns_and_survives_odd_rows(spark, odd_docs, no_docs):
     assert toxicity.fit(no_docs, df.select("doc_id", "toxic").limit(0), F.lit(True)) == 0.0
 
 
-# ---------------------------------------------------------------- quality
-
-
-def plain_model(texts, vocabulary):
-    """Interpolated modified Kneser-Ney in its textbook form."""
-    as_numbers = quality.Numbers(vocabulary)
-    counts = {}
-    for t in texts:
-        for c in quality.bigrams(as_numbers(t)).tolist():
-            counts[c] = counts.get(c, 0) + 1
-    P = quality.PLACES
-    d = quality.discounts([sum(1 for n in counts.values() if n == j) for j in (1, 2, 3, 4)])
-    cont = {}
-    for c in counts:
-        cont[c % P] = cont.get(c % P, 0) + 1
-    e = quality.discounts([sum(1 for n in cont.values() if n == j) for j in (1, 2, 3, 4)])
-    spare_low = sum(e[min(n, 3)] for n in cont.values()) / len(counts)
-
-    def prob(code):
-        h, w = divmod(code, P)
-        total = sum(n for c, n in counts.items() if c // P == h)
-        low = (cont.get(w, 0) - e[min(cont.get(w, 0), 3)]) / len(counts) + spare_low / P
-        if not total:
-            return low
-        spare = sum(d[min(n, 3)] for c, n in counts.items() if c // P == h) / total
-        n = counts.get(code, 0)
-        return (n - d[min(n, 3)]) / total + spare * low
-
-    return as_numbers, prob
-
-
-def test_probabilities_equal_the_textbook(spark):
-    texts = ["the cat sat on the mat .", "the dog sat on the cat .", "a dog and a cat and a mat !", "the the end"]
-    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(9, "an odd %%% text the", "en"), (10, None, "en"), (11, "x", "zz")], "doc_id long, text string, lang string")
-    vocabulary = {"en": ["the", "cat", "sat", "a"], "zz": ["x"]}
-    packed = quality.pack(docs, vocabulary)
-    model = quality.train(packed, vocabulary, spark.range(4).select("id"))
-    as_numbers, prob = plain_model(texts, vocabulary["en"])
-    assert sum(prob(quality.BEGIN * quality.PLACES + w) for w in range(quality.PLACES)) == pytest.approx(1.0)
-    trusted = [np.log(prob(c)) for t in texts for c in quality.bigrams(as_numbers(t)).tolist()]
-    mean = -float(np.mean(trusted))
-    got = {r["id"]: r["nats"] for r in quality.perplexities(packed, model).collect()}
-    for key, text in ((0, texts[0]), (9, "an odd %%% text the"), (10, "")):
-        logs = [-np.log(prob(c)) for c in quality.bigrams(as_numbers(text)).tolist()]
-        assert got[key] == pytest.approx((sum(logs) + quality.PRIOR_WORDS * mean) / (len(logs) + quality.PRIOR_WORDS), rel=1e-9)
-    assert got[11] is None
-
-
-def test_repeats_and_shapes():
-    n = quality.Numbers(["a"])
-    codes = quality.bigrams(n("b b b\nb"))
-    assert [c % quality.PLACES == quality.REPEAT for c in codes.tolist()] == [False, True, True, False, False]
-    shapes = [quality.shape(w) for w in ("Word", "word", "WORD", "word,", "w%%%", "12", "supercalifragilistic", "well-known", '"quoted."')]
-    assert len(set(shapes)) == len(shapes) and max(shapes) < quality.PLACES - quality.VOCABULARY - 3
-
-
-def test_judge_odd_rows(spark, odd_docs, no_docs):
-    kept = quality.judge(odd_docs, spark.createDataFrame([(1,), (2,)], "id long"))
-    assert kept.columns == odd_docs.columns and kept.count() >= 5
-    assert quality.judge(no_docs, spark.createDataFrame([], "id long")).count() == 0
-    untrained = quality.judge(odd_docs, spark.createDataFrame([], "id long"))
-    assert untrained.count() == odd_docs.count()
-
-
-def test_word_costs_equal_brute_force(spark):
-    texts = ["the cat sat on the mat .", "the dog sat on the mat .", "a dog and a cat and a mat !", "the the end"]
-    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(9, "the cat sat upon a mat", "en"), (9, "the cat sat upon a mat", "en"), (10, None, "en"), (11, "x", "zz"), (None, "the end", "en")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    trusted, vocabulary = spark.range(4).select("id"), {"en": ["the", "a"], "zz": ["x"]}
-    packed = quality.pack(docs, vocabulary)
-    model = quality.train(packed, vocabulary, trusted)
-    words = quality.train_words(packed, model.languages, trusted)
-    got = quality.word_costs(packed, model, words, trusted).collect()
-    assert len(got) == len(rows) and [r["cost"] for r in got if r["id"] == 11] == [None]
-    as_numbers, prob = plain_model(texts, vocabulary["en"])
-
-    def pairs(t):
-        w = t.split()
-        return list(zip(["<"] + w, ["again" if i and x == w[i - 1] else x for i, x in enumerate(w)] + [">"]))
-
-    from collections import Counter
-
-    n = Counter(p for t in texts for p in pairs(t))
-    d = quality.discounts([sum(1 for v in n.values() if v == j) for j in (1, 2, 3, 4)])
-    types = Counter(quality.shape(w) for w in {w for _, w in n} - {"the", "a", "again", ">"})
-
-    def cost(t, own):
-        k = n - Counter(pairs(t)) if own else n
-        out = 0.0
-        for (h, w), code in zip(pairs(t), quality.bigrams(as_numbers(t)).tolist()):
-            low = prob(code)
-            if w not in ("the", "a", "again", ">"):
-                s = quality.shape(w)
-                size = sum(v for (_, x), v in n.items() if x not in ("the", "a", "again", ">") and quality.shape(x) == s)
-                low *= (max(sum(v for (_, x), v in k.items() if x == w) - 0.5, 0) + 0.5 * types[s] / (types[s] + 1)) / size if size else 1 / (len({x for _, x in n}) + 1)
-            total = sum(v for (x, _), v in k.items() if x == h)
-            left = min(sum(d[min(v, 3)] for (x, _), v in n.items() if x == h) / total, 1) if total else 1
-            out -= np.log((max(k[h, w] - d[min(k[h, w], 3)], 0) / total if total else 0) + left * low)
-        return out
-
-    for r in got:
-        if r["id"] != 11:
-            text = {**dict(enumerate(texts)), 9: "the cat sat upon a mat", 10: "", None: "the end"}[r["id"]]
-            assert r["good"] == (r["id"] in range(4)) and r["cost"] == pytest.approx(cost(text, r["good"]), rel=1e-9), r
-
-
-def test_words_keep_their_identity(spark, data):
-    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
-    trusted = spark.read.parquet(f"{data}/labels.parquet").where("quality = 1").select(F.col("doc_id").alias("id")).distinct()
-    rng = random.Random(1)
-    junk = [(-1 - i, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(2, 9))) for _ in range(200)), "en") for i in range(20)]
-    kept = quality.judge(docs.union(spark.createDataFrame(junk, "doc_id long, text string, lang string")), trusted)
-    assert kept.where("doc_id < 0").count() == 0
-    assert kept.join(trusted, kept["doc_id"] == trusted["id"], "left_semi").count() == trusted.count()
+# ---------------------------------------------------------------- helpers
 
 
 def test_semi_join_is_exact(spark):
