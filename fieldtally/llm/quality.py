@@ -18,17 +18,19 @@ once a first and once a second word, but for repeats, whose price is put right),
 bonus of each pair that trusted text holds.
 So a document's cost is a sum over its pairs, and comes from sharded joins of counts:
 
-1. ``pair_rows`` turns blocks of texts into sorted pair codes with their documents, and
-   trusted texts into pair counts, cut into shards by language and first word.
-2. ``_continuations`` adds up the counts of a shard and sends each second word's number
-   of first words to that word's own shard, which adds up and answers.
+1. ``pair_rows`` turns blocks of texts into sorted pairs with their documents, cut into
+   shards by language and first word, and says which documents are learnt from.
+2. ``_continuations`` counts the learnt pairs of a shard and sends each second word's
+   number of first words to that word's own shard, which adds up and answers.
 3. ``_priced`` makes prices and bonuses of a shard, and sums of costs per document.
 4. ``_collected`` adds up the shards' sums of each block.
 
-Texts are neither shuffled nor sent to the driver, and no table is held as a whole. A
-word is known by 40 bits of hash, and after a given first word by 28: with 10^5
-different followers, one unseen pair in 2,700 is taken for a seen one. All pairs of one
-first word meet in one task, which holds each of them once and meets blocks one by one.
+Texts are not sent to the driver, and no table is held as a whole. The ids of trusted
+documents are broadcast up to ``BROADCAST_IDS``; beyond, trusted texts are found by a
+join that shuffles them, and go through step 1 once more. A word is known by 36 bits of
+hash, so of a million words one in 70,000 shares its number with another. All pairs of
+one first word meet in one task, which holds each learnt one once and meets blocks one
+by one.
 
 A fifth of the trusted documents (``HELD_OUT``, by a hash of the id) is left out of the
 counts; a language's threshold is the ``QUANTILE`` of their perplexities. Short texts
@@ -54,19 +56,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.llm.common import anti_join, cut, semi_join
-from fieldtally.llm.wordhash import word_keys
+from fieldtally.llm.wordhash import WORD_BITS, word_keys
 
 QUANTILE = 0.999
 HELD_OUT = 5  # one in so many trusted documents
 PRIOR_WORDS = 10
 RING = 1  # the code of the mark
 REPEATS = (2, 3, 4)  # codes of a second word that equals the one, two, three or more before it
-WORD_BITS, NEXT_BITS, DOC_BITS = 40, 28, 13
-BLOCK_PAIRS, BLOCK_DOCS = 2_000_000, 1 << DOC_BITS
+BLOCK_PAIRS, BLOCK_DOCS = 4_000_000, 1 << 14
 SHARD_BYTES = 48 << 20  # of text
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 2_000_000
+WORD_MASK = (1 << WORD_BITS) - 1
 
-TRUSTED, ASKED, DOCS = 0, 1, 2
+LEARNT, ASKED, DOCS = 0, 1, 2
 
 
 def _language(col: str) -> Column:
@@ -128,7 +130,7 @@ def ring(keys: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np
         second[at[again]] = code
         again = again & np.append(False, again[:-1])[: len(keys)]
     first[at + 1] = keys
-    owner = np.repeat(np.arange(n_docs), np.bincount(doc, minlength=n_docs) + 1)
+    owner = np.repeat(np.arange(n_docs, dtype=np.int32), np.bincount(doc, minlength=n_docs) + 1)
     return first, second, owner
 
 
@@ -143,22 +145,6 @@ def _parts(first: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
     return [(int(s[a]), int(a), int(b)) for a, b in zip(begin, np.append(begin[1:], len(s)))]
 
 
-def counted(first: np.ndarray, second: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Different first words, and of each different pair the place of its first word
-    among them, its second word and its count."""
-    words, place = _numbered(first)
-    key = (place << WORD_BITS) | second
-    if n is None:
-        key = np.sort(key)
-    else:
-        order = np.argsort(key, kind="stable")
-        key, n = key[order], n[order]
-    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
-    total = np.diff(np.append(start, len(key))) if n is None else np.add.reduceat(n, start) if len(start) else n
-    key = key[start]
-    return words, key >> WORD_BITS, key & ((1 << WORD_BITS) - 1), total
-
-
 def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     code, found = pd.factorize(x)
     order = np.argsort(found)
@@ -167,43 +153,49 @@ def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found[order], rank[code]
 
 
-def _trusted_blobs(first: np.ndarray, second: np.ndarray, shards: int) -> Iterator[tuple]:
-    words, place, second, n = counted(first, second)
-    begin = np.searchsorted(place, np.arange(len(words) + 1))
-    for s, a, b in _parts(words, shards):
-        i, j = begin[a], begin[b]
-        yield s, squeeze(_steps(words[a:b])), squeeze(_steps((place[i:j] - a) << WORD_BITS | second[i:j])), squeeze(n[i:j].astype(np.uint32)), None
-
-
-def _asked_blobs(first: np.ndarray, second: np.ndarray, doc: np.ndarray, shards: int) -> Iterator[tuple]:
-    words, place = _numbered(first)
-    key = np.sort((place << (NEXT_BITS + DOC_BITS)) | ((second & ((1 << NEXT_BITS) - 1)) << DOC_BITS) | doc)
-    pair, doc = key >> DOC_BITS, key & ((1 << DOC_BITS) - 1)
-    start = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-    many = np.diff(np.append(start, len(pair)))
-    near = doc.astype(np.int64)
-    near[1:] = np.where(pair[1:] == pair[:-1], doc[1:] - doc[:-1], doc[1:])
-    pair = pair[start]
-    begin = np.searchsorted(pair >> NEXT_BITS, np.arange(len(words) + 1))
-    place_in_all = np.append(start, len(doc))
+def _blobs(first: np.ndarray, second: np.ndarray, doc: np.ndarray, shards: int) -> Iterator[tuple]:
+    """shard, and of its pairs in order: first words; places of first words with second
+    words; numbers of documents (repeated as often as they hold the pair); documents."""
+    words, key = _numbered(first)
+    key = (key << WORD_BITS) | second
+    order = np.argsort(key, kind="stable")
+    key, doc = key[order], doc[order].astype(np.int64)
+    del order
+    new = np.append(True, key[1:] != key[:-1])
+    start = np.flatnonzero(new)
+    many = np.diff(np.append(start, len(key)))
+    doc[1:] -= np.where(new[1:], 0, doc[:-1])
+    key = key[start]
+    begin = np.searchsorted(key >> WORD_BITS, np.arange(len(words) + 1))
+    start = np.append(start, len(doc))
     for s, a, b in _parts(words, shards):
         i, j = begin[a], begin[b]
         yield (
-            s, squeeze(_steps(words[a:b])), squeeze(_steps(pair[i:j] - (a << NEXT_BITS))),
-            squeeze(many[i:j].astype(np.uint32)), squeeze(near[place_in_all[i] : place_in_all[j]].astype(np.uint16)),
+            s, squeeze(_steps(words[a:b])), squeeze(_steps(key[i:j] - (a << WORD_BITS))),
+            squeeze(many[i:j].astype(np.uint32)), squeeze(doc[start[i] : start[j]].astype(np.uint16)),
         )
 
 
-COLUMNS = "lang string, shard int, kind int, block long, n_docs int, a binary, b binary, c binary, d binary"
+def _pairs_of(x) -> tuple[np.ndarray, ...]:
+    """First words, places of first words, second words, numbers and documents."""
+    first, key, many, doc = np.cumsum(swell(x.a)), np.cumsum(swell(x.b)), swell(x.c), np.cumsum(swell(x.d))
+    start = np.cumsum(many) - many
+    if len(many):
+        before = np.append(0, doc)[start]
+        doc = doc - np.repeat(before, many)
+    return first, key >> WORD_BITS, key & WORD_MASK, many, doc
+
 
+COLUMNS = "lang string, shard int, kind int, block long, n_docs int, a binary, b binary, c binary, d binary, learnt binary"
 
-def pair_rows(docs: DataFrame, trusted: bool, shards: int) -> DataFrame:
-    """Blobs of the pairs of texts: counts (``trusted``), or pairs with their documents
-    and, as rows of kind ``DOCS``, the documents. ``docs``: id (text), lang, content, text."""
+
+def pair_rows(docs: DataFrame, scored: bool, shards: int) -> DataFrame:
+    """Blobs of the pairs of texts, and (if ``scored``) as rows of kind ``DOCS`` the
+    documents. ``docs``: id (text), lang, content, text, learnt."""
     names = [x.split()[0] for x in COLUMNS.split(", ")] + ["ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.string())]
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5, pa.list_(pa.string())]
         block = TaskContext.get().partitionId() << 32
         held: dict[str, list[tuple[np.ndarray, ...]]] = {}
         known: dict[str, list[tuple]] = {}  # of the documents of this block
@@ -213,40 +205,35 @@ def pair_rows(docs: DataFrame, trusted: bool, shards: int) -> DataFrame:
             columns = list(zip(*rows))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal pairs, block
-            for lang, parts in held.items():
-                first, second, doc = (np.concatenate(x) for x in zip(*parts))
-                n = 0 if trusted else len(known[lang])
+            for lang in list(held):
+                first, second, doc = (np.concatenate(x) for x in zip(*held.pop(lang)))
+                learnt = np.array([x[3] for x in known[lang]])
+                flags = squeeze(np.packbits(learnt)) if learnt.any() else None
                 for i in range(0, len(first), 2 * BLOCK_PAIRS):  # one long text may hold more than a block
                     part = slice(i, i + 2 * BLOCK_PAIRS)
-                    blobs = _trusted_blobs(first[part], second[part], shards) if trusted else _asked_blobs(first[part], second[part], doc[part], shards)
-                    rows = [(lang, s, TRUSTED if trusted else ASKED, block, n, *blob, None) for s, *blob in blobs]
-                    for at in range(0, len(rows), 64):
-                        yield out(rows[at : at + 64])
-            held.clear()
-            pairs = 0
-            if last:
-                for lang, rows in known.items():
-                    ids, contents, sizes = zip(*rows)
-                    yield out([(lang, -1 - block % 65521, DOCS, block, len(ids), squeeze(np.array(contents, np.int64)), squeeze(np.array(sizes, np.int64)), None, None, list(ids))])
-                known.clear()
-                block += 1
+                    rows = [(lang, s, ASKED if scored else LEARNT, block, len(learnt), *blob, flags, None) for s, *blob in _blobs(first[part], second[part], doc[part], shards)]
+                    for at in range(0, len(rows), 16):
+                        yield out(rows[at : at + 16])
+            for lang, rows in known.items() if scored else ():
+                ids, contents, sizes, _ = zip(*rows)
+                yield out([(lang, -1 - block % 65521, DOCS, block, len(ids), squeeze(np.array(contents, np.int64)), squeeze(np.array(sizes, np.int64)), None, None, None, list(ids))])
+            known.clear()
+            pairs, block = 0, block + 1
 
         for b in batches:
             text = b.column("text")
             langs, contents = b.column("lang").to_pylist(), b.column("content").to_pylist()
-            ids = b.column("id").to_pylist()
+            ids, learnt = b.column("id").to_pylist(), b.column("learnt").to_pylist()
             for lo, hi, keys, doc in word_keys(text):  # documents lo .. hi - 1, in order
                 base = 0
                 begin = np.searchsorted(doc, np.arange(lo, hi + 1))
                 while lo + base < hi:
                     # As many documents as the block still takes, one at least.
                     room = BLOCK_DOCS - sum(map(len, known.values()))
-                    to = min(hi - lo, base + max(room, 1))
-                    if not trusted:
-                        stop = int(np.searchsorted(begin, begin[base] + max(BLOCK_PAIRS - pairs, 0), "right")) - 1
-                        to = max(base + 1, min(to, stop))
+                    stop = int(np.searchsorted(begin, begin[base] + max(BLOCK_PAIRS - pairs, 0), "right")) - 1
+                    to = max(base + 1, min(hi - lo, base + room, stop))
                     by_lang: dict[str, list[int]] = {}
                     for i in range(lo + base, lo + to):
                         by_lang.setdefault(langs[i], []).append(i)
@@ -257,35 +244,38 @@ def pair_rows(docs: DataFrame, trusted: bool, shards: int) -> DataFrame:
                         take = np.concatenate([np.arange(begin[i - lo], begin[i - lo + 1]) for i in which])
                         first, second, owner = ring(keys[take], np.repeat(np.arange(len(which)), size), len(which))
                         held.setdefault(lang, []).append((first, second, owner + at))
-                        rows += [(ids[i], contents[i], int(m)) for i, m in zip(which, size)] if not trusted else [()] * len(which)
+                        rows += [(ids[i], contents[i], int(m), learnt[i]) for i, m in zip(which, size)]
                         pairs += len(first)
                     base = to
-                    full = sum(map(len, known.values())) >= BLOCK_DOCS or pairs >= BLOCK_PAIRS
-                    if full:
-                        if trusted:
-                            known.clear()
-                        yield from flush(not trusted)
-        if held:
-            if trusted:
-                known.clear()
-            yield from flush(not trusted)
+                    if sum(map(len, known.values())) >= BLOCK_DOCS or pairs >= BLOCK_PAIRS:
+                        yield from flush()
+        if known:
+            yield from flush()
 
-    return docs.select("id", "lang", "content", "text").mapInArrow(run, COLUMNS + ", ids array<string>")
+    return docs.select("id", "lang", "content", "text", "learnt").mapInArrow(run, COLUMNS + ", ids array<string>")
 
 
 # ------------------------------------------------------------------- counts
 
 
 def _shard_counts(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """``counted`` of all trusted rows of a shard."""
-    parts = []
-    for a, b, c in zip(rows["a"], rows["b"], rows["c"]):
-        words, key = np.cumsum(swell(a)), np.cumsum(swell(b))
-        parts.append((words[key >> WORD_BITS], key & ((1 << WORD_BITS) - 1), swell(c)))
-    if not parts:
-        parts = [(np.zeros(0, np.int64),) * 3]
+    """Different first words of a shard's learnt pairs, and of each different pair the
+    place of its first word among them, its second word and its count."""
+    parts = [(np.zeros(0, np.int64),) * 3]
+    for x in rows[rows["learnt"].notna()].itertuples():
+        first, place, second, many, doc = _pairs_of(x)
+        flags = np.unpackbits(swell(x.learnt, np.uint8), count=x.n_docs).astype(np.int64)
+        n = np.add.reduceat(flags[doc], np.cumsum(many) - many)
+        use = n > 0
+        parts.append((first[place[use]], second[use], n[use]))
     first, second, n = (np.concatenate(x) for x in zip(*parts))
-    return counted(first, second, n)
+    words, key = _numbered(first)
+    key = (key << WORD_BITS) | second
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
+    key = key[start]
+    return words, key >> WORD_BITS, key & WORD_MASK, np.add.reduceat(n, start) if len(start) else n
 
 
 STATS = ["n1", "n2", "n3", "n4", "m1", "m2", "m3", "m4", "types", "words", *[f"r{j}" for j in REPEATS]]
@@ -297,7 +287,7 @@ def _continuations(pairs: DataFrame, shards: int) -> DataFrame:
     and as source -2 the sums that ``STATS`` names."""
 
     def partial(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        words, place, second, n = _shard_counts(rows[rows["kind"] == TRUSTED])
+        words, place, second, n = _shard_counts(rows)
         out = []
         seen, many = np.unique(second, return_counts=True)
         for s, a, b in _parts(seen, shards):
@@ -350,7 +340,7 @@ def _priced(pairs: DataFrame, told: DataFrame) -> DataFrame:
         for x in known.itertuples():
             out.append((x.lang, x.block, x.n_docs, x.ids, x.a, x.b, None))
         asked = rows[rows["kind"] == ASKED]
-        words, place, second, n = _shard_counts(rows[rows["kind"] == TRUSTED])
+        words, place, second, n = _shard_counts(rows)
         if len(asked) and len(told_):
             stats = told_[told_["source"] == -2].iloc[0].to_dict()
             d, e, types, place_share = level_discounts(stats)
@@ -375,13 +365,9 @@ def _priced(pairs: DataFrame, told: DataFrame) -> DataFrame:
             price[np.searchsorted(everything, words)] += np.log(spare)
             repeat = np.log(lower(np.array([int(stats[f"r{j}"]) for j in REPEATS])))
             bonus = np.log1p((n - d[np.minimum(n, 3)]) / c[place] / (spare[place] * p_second)) if len(n) else np.zeros(0)
-            pair = (place << NEXT_BITS) | (second & ((1 << NEXT_BITS) - 1))
-            order = np.argsort(pair, kind="stable")
-            pair, bonus = pair[order], bonus[order]
+            pair = (place << WORD_BITS) | second
             for x in asked.itertuples():
-                first, code = np.cumsum(swell(x.a)), np.cumsum(swell(x.b))
-                many, near = swell(x.c), swell(x.d)
-                of = code >> NEXT_BITS
+                first, of, follower, many, doc = _pairs_of(x)
                 i = np.minimum(np.searchsorted(everything, first), max(len(everything) - 1, 0))
                 same = everything[i] == first if len(everything) else np.zeros(len(first), bool)
                 base = np.full(len(first), unknown)
@@ -389,18 +375,13 @@ def _priced(pairs: DataFrame, told: DataFrame) -> DataFrame:
                 j = np.minimum(np.searchsorted(words, first), max(len(words) - 1, 0))
                 there = (words[j] == first) if len(words) else np.zeros(len(first), bool)
                 value = base[of]
-                follower = code & ((1 << NEXT_BITS) - 1)
                 again = np.flatnonzero((follower >= REPEATS[0]) & (follower <= REPEATS[-1]))
                 value[again] += repeat[follower[again] - REPEATS[0]] - np.where(same, alone[i] if len(alone) else unknown, unknown)[of[again]]
                 ask = np.flatnonzero(there[of])
-                want = (j[of[ask]] << NEXT_BITS) | follower[ask]
+                want = (j[of[ask]] << WORD_BITS) | follower[ask]
                 k = np.minimum(np.searchsorted(pair, want), max(len(pair) - 1, 0))
                 hit = pair[k] == want if len(pair) else np.zeros(len(want), bool)
                 value[ask[hit]] += bonus[k[hit]]
-                # Documents of a pair are told by their distances.
-                sums = np.cumsum(near)
-                start = np.cumsum(many) - many
-                doc = sums - np.repeat(sums[start] - near[start], many)
                 cost = np.bincount(doc, -np.repeat(value, many), x.n_docs)
                 out.append((x.lang, x.block, x.n_docs, None, None, None, squeeze(cost.astype(np.float32))))
         return pd.DataFrame(out, columns=names)
@@ -441,10 +422,11 @@ def costs(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     shards = max(4, -(-size // SHARD_BYTES))
     trusted = trusted.where("id IS NOT NULL").select(F.col("id").cast("string")).distinct()
     if trusted.count() <= BROADCAST_IDS:
-        learnt = rows.join(F.broadcast(trusted), "id", "left_semi")
+        rows = rows.join(F.broadcast(trusted.withColumn("learnt", F.lit(True))), "id", "left")
+        pairs = pair_rows(rows.withColumn("learnt", F.coalesce("learnt", F.lit(False))), True, shards)
     else:
-        learnt = semi_join(rows, trusted, "id")
-    pairs = pair_rows(learnt, True, shards).unionByName(pair_rows(rows, False, shards))
+        learnt = semi_join(rows, trusted, "id").withColumn("learnt", F.lit(True))
+        pairs = pair_rows(rows.withColumn("learnt", F.lit(False)), True, shards).unionByName(pair_rows(learnt, False, shards))
     found = _collected(_priced(pairs, _continuations(pairs, shards)))
     return found.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
 

@@ -1,7 +1,7 @@
 """Words of texts as numbers, without a Python object per word.
 
 A word is whatever stands between ASCII white space (space, tab to carriage return). Its
-number is a hash of 40 bits, made from prefix sums of a polynomial over its bytes.
+number is a hash of ``WORD_BITS`` bits, made from prefix sums of a polynomial over its bytes.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+WORD_BITS = 36
 SLICE = 1 << 19  # bytes of text that are worked on at a time
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
@@ -40,7 +41,7 @@ def hash_words(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0x9E3779B97F4A7C15)
-    return np.maximum((h >> np.uint64(24)).astype(np.int64), 5)
+    return np.maximum((h >> np.uint64(64 - WORD_BITS)).astype(np.int64), 5)
 
 
 def word_keys(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -82,6 +82,8 @@ def test_costs_do_not_depend_on_blocks_and_shards(spark, monkeypatch):
     for name, value in (("BLOCK_PAIRS", 300), ("BLOCK_DOCS", 7), ("SHARD_BYTES", 2000)):
         monkeypatch.setattr(quality, name, value)
     check_costs(spark, rows, set(range(0, 90, 2)))
+    monkeypatch.setattr(quality, "BROADCAST_IDS", 0)  # ids of trusted texts go another way
+    check_costs(spark, rows, set(range(0, 90, 2)))
 
 
 def test_word_keys_equal_plain_words():
