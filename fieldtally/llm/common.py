@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; only where none is set
-    (tests on one machine) set a temporary one."""
+    """Use the shared folder that the cluster names in ``spark.checkpoint.dir``, or
+    what the session has set; where neither is there, the warehouse folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -87,19 +87,42 @@ def semi_join(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return few.join(keys, key, "left_semi")
 
 
-def anti_join(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """``rows`` whose ``key`` (never null) is not in ``keys``, where most are not and are
-    wide: only rows that the filter lets pass meet the keys."""
+def perhaps_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``perhaps``: false only where ``key`` (never null) surely is not in
+    ``keys``, by a filter of fixed size; only the key goes to Python."""
     table = _filter(keys, key)
     shared = rows.sparkSession.sparkContext.broadcast(table)
     at = [F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(FILTER_BITS)) for i in range(FILTER_PROBES)]
 
     @F.pandas_udf("boolean")
-    def maybe(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    def perhaps(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
         ok = np.ones(len(a), bool)
         for place in (x.to_numpy(np.int64) for x in (a, b, c, d)):
             ok &= (shared.value[place >> 5] >> (place & 31) & 1).astype(bool)
         return pd.Series(ok)
 
-    told = rows.withColumn("__maybe", maybe(*at))
-    return told.where("NOT __maybe").drop("__maybe").unionByName(told.where("__maybe").drop("__maybe").join(keys, key, "left_anti").select(*rows.columns))
+    return rows.withColumn("perhaps", perhaps(*at))
+
+
+def anti_join(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` (never null) is not in ``keys``, where most are not and are
+    wide: only rows that the filter lets pass meet the keys."""
+    told = perhaps_in(rows.select(F.struct("*").alias("row"), F.col(key)), keys, key)
+    left = told.where("NOT perhaps").select("row").unionByName(told.where("perhaps").join(keys, key, "left_anti").select("row"))
+    return left.select(*[F.col("row").getField(c).alias(c) for c in rows.columns])
+
+
+#: Rows of a join's small side that are broadcast (some 50 bytes each); beyond, it is
+#: repeated ``SALTS`` times and the large side's hot keys are spread.
+FEW_ROWS, SALTS = 500_000, 16
+
+
+def few_join(rows: DataFrame, few: DataFrame, on: list[str], spread: str, most: int = FEW_ROWS) -> DataFrame:
+    """Inner join with ``few``, which is counted first (write it before, it is read
+    twice). Its keys may be hot in ``rows``, whose column ``spread`` tells apart rows of
+    one key."""
+    if few.count() <= most:
+        return rows.join(F.broadcast(few), on)
+    salted = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, [*on, "__salt"]).drop("__salt")
