@@ -49,6 +49,8 @@ def char_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         inside = owner[: len(h)] == owner[k - 1 :]
         owners.append(owner[: len(h)][inside])
         buckets.append((h[inside] % np.uint64(CHAR_BUCKETS)).astype(np.int64))
+    if not owners:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(owners), np.concatenate(buckets)
 
 
@@ -182,21 +184,29 @@ def _sum_rows(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return rows[start], np.add.reduceat(values[order], start, axis=0)
 
 
-def train(windows: list[list[str]], docs: np.ndarray, labels: np.ndarray, seed: int = 7, epochs: int = 8, batch: int = 128, rate: float = 0.01) -> dict:
-    """Parameters from windows (word lists) of documents ``docs`` with ``labels``.
+def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document, and first word in it, of all windows of documents of ``sizes`` words."""
+    begins = [windows_of(int(n)) for n in sizes]
+    return np.repeat(np.arange(len(sizes)), [len(b) for b in begins]), np.array([x for b in begins for x in b], np.int64)
+
+
+def train(vocabulary: list[str], texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int = 8, batch: int = 128, rate: float = 0.01) -> dict:
+    """Parameters from documents (words as places in ``vocabulary``) and their labels.
 
     A document is toxic if one of its windows is. The first epoch takes windows of
-    short documents under their document's label; later ones take the most toxic
-    window of each toxic document and, of the others, the highest-scored windows and
-    as many more.
+    short documents under their document's label; later ones score all windows, and take
+    the most toxic one of each toxic document and, of the others, the highest-scored
+    windows and as many more.
     """
     p, rng = new_params(seed), np.random.default_rng(seed)
-    vocabulary = sorted({w for x in windows for w in x})
-    at = {w: i + 1 for i, w in enumerate(vocabulary)}
-    index = np.zeros((len(windows), WINDOW), np.int64)
-    for i, x in enumerate(windows):
-        index[i, : len(x)] = [at[w] for w in x]
-    length = np.array([len(x) for x in windows])
+    size = np.array([len(t) for t in texts])
+    docs, begin = windows(size)
+    length = np.minimum(size[docs], WINDOW)
+    flat = np.append(np.concatenate(texts), np.zeros(WINDOW, np.int64)).astype(np.int32)
+    index = np.zeros((len(docs), WINDOW), np.int32)  # row 0 is padding
+    base = (np.cumsum(size) - size)[docs] + begin
+    for i in range(WINDOW):
+        index[:, i] = np.where(i < length, flat[base + i] + 1, 0)
     n_words = len(vocabulary)
     owner, bucket = char_grams(vocabulary)
     order = np.argsort(owner, kind="stable")
@@ -204,12 +214,17 @@ def train(windows: list[list[str]], docs: np.ndarray, labels: np.ndarray, seed:
     count = np.bincount(owner, minlength=n_words)
     start = np.cumsum(count) - count
     w_bucket = word_buckets(vocabulary)
+
+    def grams_of(v: np.ndarray) -> np.ndarray:
+        c = count[v]
+        return bucket[np.repeat(start[v], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)]
+
     # What fewer than MIN_DOCS documents hold is left out: it could only be learnt by heart.
-    pairs = np.unique(np.stack([np.repeat(docs, WINDOW)[index.ravel() > 0], index[index > 0] - 1]), axis=1)
-    docs_of_word = np.bincount(np.unique(np.stack([pairs[0], w_bucket[pairs[1]]]), axis=1)[1], minlength=WORD_BUCKETS)
-    c = count[pairs[1]]
-    grams = bucket[np.repeat(start[pairs[1]], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)]
-    docs_of_gram = np.bincount(np.unique(np.repeat(pairs[0], c) * CHAR_BUCKETS + grams) % CHAR_BUCKETS, minlength=CHAR_BUCKETS)
+    docs_of_word, docs_of_gram = np.zeros(WORD_BUCKETS, np.int64), np.zeros(CHAR_BUCKETS, np.int64)
+    for t in texts:
+        v = np.unique(t)
+        docs_of_word[np.unique(w_bucket[v])] += 1
+        docs_of_gram[np.unique(grams_of(v))] += 1
     word_ok, gram_ok = docs_of_word >= MIN_DOCS, docs_of_gram >= MIN_DOCS
     p["word"][~word_ok] = 0
     p["char"][~gram_ok] = 0
@@ -222,7 +237,7 @@ def train(windows: list[list[str]], docs: np.ndarray, labels: np.ndarray, seed:
         learning single rare words by heart."""
         c = count[v]
         own = np.repeat(np.arange(len(v)), c)
-        grams = bucket[np.repeat(start[v], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)]
+        grams = grams_of(v)
         keep_w = (rng.random((len(v), 1)) >= (DROP_WORDS if drop else 0)).astype(np.float32)
         keep_g = (rng.random((len(grams), 1)) >= (DROP_GRAMS if drop else 0)).astype(np.float32)
         keep_w *= word_ok[w_bucket[v], None]
@@ -232,14 +247,18 @@ def train(windows: list[list[str]], docs: np.ndarray, labels: np.ndarray, seed:
         return np.hstack([p["word"][w_bucket[v]] * keep_w * scale[0], char * scale[1]]).astype(np.float32), grams, own, keep_w, keep_g
 
     def scores() -> np.ndarray:
-        x = np.vstack([np.zeros((1, WORD_DIM + CHAR_DIM), np.float32), inputs(np.arange(n_words))[0]])
-        gates = project(p, x)
+        gates = np.zeros((2, n_words + 1, 3 * HIDDEN), np.float32)
+        gates[:, 0] = p["bx"][:, 0]
+        for i in range(0, n_words, 50_000):
+            v = np.arange(i, min(i + 50_000, n_words))
+            gates[:, i + 1 : i + 1 + len(v)] = project(p, inputs(v)[0])
         return np.concatenate([forward(p, gates, index[i : i + 2048], length[i : i + 2048]) for i in range(0, len(index), 2048)])
 
     for epoch in range(epochs):
         adam.rate = rate * (1 if epoch < epochs - 3 else 0.3)
         if epoch < 1:
-            use = rng.permutation(np.flatnonzero(many[docs] <= 4))[:FIRST_WINDOWS]
+            short = np.flatnonzero(many[docs] <= 4)
+            use = rng.permutation(short if len(short) else len(docs))[:FIRST_WINDOWS]
             use = np.tile(use, -(-EPOCH_WINDOWS // max(1, len(use))))[: max(len(use), EPOCH_WINDOWS)]
             y = labels[docs[use]].astype(np.float32)
         else:
@@ -325,9 +344,7 @@ class Scorer:
         ids = np.fromiter((seen[w] for p in parts for w in p), np.int64)
         size = np.fromiter(map(len, parts), np.int64, len(parts))
         base = np.cumsum(size) - size
-        begins = [windows_of(int(n)) for n in size]
-        owner = np.repeat(np.arange(len(parts)), [len(b) for b in begins])
-        begin = np.array([x for b in begins for x in b], np.int64)
+        owner, begin = windows(size)
         length = np.minimum(size[owner], WINDOW)
         out = np.zeros(len(parts), np.float32)
         order = np.argsort(length, kind="stable")  # short texts together: only they need padding

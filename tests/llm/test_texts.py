@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from fieldtally.llm import gru, lines, packing, pieces, secrets, simhash, tokens, toxicity, urls
-from fieldtally.llm.common import semi_join
+from fieldtally.llm.common import few_join, semi_join
 
 WORD, PIECE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -233,6 +233,24 @@ def test_lines(spark, odd_docs, no_docs):
     assert odd.count() == odd_docs.count() and odd.where("doc_id = 3").first()["text"] is None
     assert odd.where("doc_id = 1").first()["n_removed"] == 0 and odd.where("doc_id = 2").first()["n_removed"] == 1
     assert lines.remove_boilerplate(no_docs).count() == 0
+    clash = docs.withColumns({c: F.lit("kept") for c in ("n_lines", "removed", "__removed", "row", "h", "doc", "perhaps")})
+    again = lines.remove_boilerplate(clash)
+    assert again.columns == [*[c for c in clash.columns if c != "n_lines"], "n_lines", "n_removed"]
+    assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in again.collect()} == got and again.where("removed <> 'kept'").count() == 0
+
+
+def test_lines_taken_out(spark):
+    text = "\n".join("abcdefg")
+    for gone in ([0], [6], [0, 1, 2], [2, 5], [1, 3, 5], list(range(7))):
+        row = spark.createDataFrame([(text, gone)], "text string, gone array<int>").select(lines.without_lines(F.col("text"), F.col("gone")).alias("t")).first()
+        assert row["t"] == "\n".join(x for i, x in enumerate("abcdefg") if i not in gone)
+
+
+def test_few_join(spark):
+    rows, few = spark.range(300).selectExpr("id", "id % 3 AS k"), spark.range(2).selectExpr("id AS k", "id * 7 AS v")
+    want = sorted(map(tuple, rows.join(few, "k").select("id", "v").collect()))
+    for most in (10, 1):
+        assert sorted(map(tuple, few_join(rows, few, ["k"], "id", most).select("id", "v").collect())) == want
 
 
 def test_exact_count_near_the_threshold(spark):
@@ -352,6 +370,46 @@ def test_toxicity_learns_and_survives_odd_rows(spark, odd_docs, no_docs):
     assert len(odd) == odd_docs.count() and all(0 <= r["score"] <= 1 for r in odd)
     assert toxicity.score_toxicity(no_docs, model).count() == 0
     assert toxicity.fit(no_docs, df.select("doc_id", "toxic").limit(0), F.lit(True)) == 0.0
+    blank = spark.createDataFrame([(1, None, 1), (2, "", 0), (3, " \n", 0)], "doc_id long, text string, toxic int")
+    assert toxicity.fit(blank, blank, F.lit(True)) == pytest.approx(1 / 3)
+    some = blank.union(spark.createDataFrame([(4, "a word", 1), (5, "the word", 0)], blank.schema))
+    assert all(0 <= r["score"] <= 1 for r in toxicity.score_toxicity(some, toxicity.fit(some, some, F.lit(True))).collect())
+
+
+def plain_score(p, text):
+    """The largest score of all windows, one word and one state at a time."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    words, h, best = gru.words_of(text), gru.HIDDEN, 0.0
+    for begin in gru.windows_of(len(words)):
+        inputs = []
+        for w in words[begin : begin + gru.WINDOW]:
+            _, grams = gru.char_grams([w])
+            inputs.append(np.append(p["word"][gru.word_buckets([w])[0]], p["char"][grams].mean(0)))
+        both = []
+        for d in (0, 1):
+            state, states = np.zeros(h), []
+            for x in inputs if d == 0 else inputs[::-1]:
+                a, b = x @ p["wx"][d] + p["bx"][d][0], state @ p["u"][d]
+                z, r = sigmoid(a[:h] + b[:h]), sigmoid(a[h : 2 * h] + b[h : 2 * h])
+                state = (1 - z) * np.tanh(a[2 * h :] + r * b[2 * h :]) + z * state
+                states.append(state)
+            both.append(states if d == 0 else states[::-1])
+        pooled = np.zeros(2 * h)
+        if inputs:
+            both = np.hstack(both)
+            e = np.exp(np.tanh(both @ p["att"] + p["att_b"]) @ p["att_v"])
+            pooled = (e / e.sum()) @ both
+        best = max(best, float(sigmoid(pooled @ p["out"] + p["out_b"][0])))
+    return best
+
+
+def test_scores_equal_a_plain_forward_pass():
+    rng = random.Random(2)
+    p = gru.new_params(4)
+    p["out_b"][:] = 0.3
+    texts = [None, "", "One word.", *[" ".join(rng.choice("ab é ñandú word WORD x1 y".split()) for _ in range(k)) for k in (3, 47, 48, 49, 84, 85, 200)]]
+    wide = {k: v.astype(np.float64) for k, v in p.items()}
+    assert gru.Scorer(p).score(texts).tolist() == pytest.approx([plain_score(wide, t) for t in texts], abs=1e-5)
 
 
 # ---------------------------------------------------------------- helpers
