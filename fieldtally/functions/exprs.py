@@ -7,6 +7,7 @@ code. Rounding follows the rule of the measure: ``jsround`` rounds halves up.
 from __future__ import annotations
 
 from functools import reduce
+from math import asin, cos, degrees, radians, sin
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,13 +42,22 @@ RULE_OPERATORS = {
     "RAISE_TO": lambda a, b: F.pow(a, b),
 }
 
-#: One-argument functions that formulas may call.
+#: One-argument functions that formulas may call (S2, S3): fixed values.
 MATH = {
     "exp": F.exp, "log": F.log, "sin": F.sin, "asin": F.asin, "cos": F.cos, "acos": F.acos, "tan": F.tan,
     "atan": F.atan, "sqrt": F.sqrt, "ceil": F.ceil, "floor": F.floor, "round": F.round, "abs": F.abs,
 }
 
 
+def increment(x: Column, by: float = 1) -> Column:
+    """One more than a number, or than a list's last number; NULL counts as 0."""
+    return F.coalesce(x, F.lit(0)) + by
+
+
+def increment_last(items: Column, by: float = 1) -> Column:
+    return increment(F.element_at(F.when(F.size(items) > 0, items), -1), by)
+
+
 def avg_of(*cols: Column) -> Column:
     return reduce(lambda a, b: a + b, cols) / len(cols)
 
@@ -159,7 +169,7 @@ def millis_text(x: Column, pattern: str = "dd MMM yyyy") -> Column:
 def cycle_of(ts: Column) -> Column:
     """Campaign cycle of a month: up to April 1, May 2, later 3."""
     m = F.month(ts)
-    return F.when(m <= 4, 1).when(m == 5, 2).otherwise(3)
+    return F.when(m <= 4, 1).when(m == 5, 2).when(m > 5, 3)
 
 
 def session_time(ts: Column, sessions: int, removal: bool = False) -> Column:
@@ -193,6 +203,29 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius:
     return 2 * radius * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
+def arc_cosine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6_371_393.0) -> Column:
+    """Great-circle distance by the cosine rule, on that rule's own radius."""
+    a1, a2 = F.radians(lat1), F.radians(lat2)
+    x = F.sin(a1) * F.sin(a2) + F.cos(a1) * F.cos(a2) * F.cos(F.radians(lon2 - lon1))
+    return radius * F.acos(F.greatest(F.least(x, F.lit(1.0)), F.lit(-1.0)))
+
+
+def box_around(lat: Column, lon: Column, lat0: float, lon0: float, metres: float) -> Column:
+    """A box in degrees that holds the circle; it may cross the 180th meridian or hold
+    a pole."""
+    angle = metres * (1 + 1e-9) / EARTH_M
+    d = degrees(angle)
+    box = lat.between(lat0 - d, lat0 + d)
+    if abs(lat0) + d >= 90:
+        return box
+    e = degrees(asin(min(1.0, sin(angle) / cos(radians(lat0)))))
+    if lon0 - e < -180:
+        return box & ((lon >= lon0 - e + 360) | (lon <= lon0 + e))
+    if lon0 + e > 180:
+        return box & ((lon >= lon0 - e) | (lon <= lon0 + e - 360))
+    return box & lon.between(lon0 - e, lon0 + e)
+
+
 def proximity(metres: Column, flat_m: float = 50.0, zero_m: float = 500.0) -> Column:
     """1 up to ``flat_m``, then linear to 0 at ``zero_m``."""
     return F.when(metres <= flat_m, 1.0).when(metres >= zero_m, 0.0).otherwise(1 - (metres - flat_m) / (zero_m - flat_m))

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.operators.graph import shared_checkpoint
 
 
-def tree_paths(nodes: DataFrame, code: str = "code", parent: str = "parent", max_depth: int = 32) -> DataFrame:
+def tree_paths(nodes: DataFrame, code: str = "code", parent: str = "parent") -> DataFrame:
     """code, path (from the root, the node itself last), level (0 at a root).
 
-    One round per level of the tree, whatever its size: the frontier joins its
-    children. Nodes on a cycle have no root above them and are left out."""
+    One round per level of the tree, whatever its size, until the frontier is empty:
+    it joins its children. Nodes on a cycle have no root above them and are left out."""
     n = nodes.select(F.col(code).alias("code"), F.col(parent).alias("parent")).dropDuplicates(["code"])
     level = n.where("parent IS NULL").select("code", F.array("code").alias("path"))
     done = None
-    for _ in range(max_depth):
+    while True:
         level = shared_checkpoint(level)
         if level.isEmpty():
             break
@@ -103,7 +103,3 @@ def level_up_to(df: DataFrame, level_col: str, wanted: str) -> DataFrame:
     """Rows up to the highest number of a named level."""
     top = df.where(F.col("type") == wanted).agg(F.max(level_col).alias("__top"))
     return df.join(F.broadcast(top), F.col(level_col) <= F.col("__top")).drop("__top")
-
-
-def siblings_rank(df: DataFrame, parent: str, code: str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(parent).orderBy(code)))

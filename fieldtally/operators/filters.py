@@ -7,13 +7,12 @@ Comparisons with NULL drop the row, text search is case-insensitive, and ``%`` a
 from __future__ import annotations
 
 from functools import reduce
-from math import cos, pi, radians
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.functions.exprs import haversine_m
+from fieldtally.functions.exprs import box_around, haversine_m
 
 
 def as_list(value) -> list:
@@ -71,10 +70,7 @@ def predicate(field: str, op: str, value=None, coordinates: tuple[float, float]
 
 def within_km(lat: Column, lon: Column, centre: tuple[float, float], km: float) -> Column:
     """A box in degrees, which reaches the scan, then the exact distance."""
-    d = km / 6371.0 * 180 / pi
-    e = d / max(cos(radians(centre[0])), 1e-6)
-    box = lat.between(centre[0] - d, centre[0] + d) & lon.between(centre[1] - e, centre[1] + e)
-    return box & (haversine_m(lat, lon, F.lit(centre[0]), F.lit(centre[1])) <= km * 1000)
+    return box_around(lat, lon, *centre, km * 1000) & (haversine_m(lat, lon, F.lit(centre[0]), F.lit(centre[1])) <= km * 1000)
 
 
 def all_of(conditions: list[Column | None]) -> Column:

@@ -5,14 +5,14 @@ Joins in space go over grid cells: an equi-join on the cell, then the exact test
 
 from __future__ import annotations
 
-from math import cos, radians
+from math import sin
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtally.functions.exprs import haversine_m
+from fieldtally.functions.exprs import EARTH_M, box_around, haversine_m
 from fieldtally.operators.graph import components, shared_checkpoint
 
 METRES_A_DEGREE = 111_194.9
@@ -29,14 +29,32 @@ def _around(lat: Column, lon: Column, degrees: float) -> Column:
     return F.array(*[F.struct((x + i).alias("cx"), (y + j).alias("cy")) for i, j in steps])
 
 
-def pairs_within(a: DataFrame, b: DataFrame, metres: float, max_lat: float = 60.0) -> DataFrame:
-    """``a_id, b_id, metres`` of points (id, lat, lon) at most ``metres`` apart, for
-    latitudes up to ``max_lat``. The smaller side is copied to nine cells."""
-    degrees = metres / METRES_A_DEGREE / cos(radians(max_lat))
-    x, y = cell(F.col("a_lat"), F.col("a_lon"), degrees)
-    left = a.select(F.col("id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon")).withColumns({"cx": x, "cy": y})
-    right = b.select(F.col("id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
-    right = right.select("*", F.inline(_around(F.col("b_lat"), F.col("b_lon"), degrees)))
+def _ring_cells(band: Column, height: float, metres: float) -> Column:
+    """How many cells go round the globe in a band of latitude, so that points within
+    ``metres`` of each other are at most one cell apart."""
+    edge = F.least((F.greatest(F.abs(band), F.abs(band + 1)) + 1) * height, F.lit(90.0))
+    reach = F.lit(sin(metres / (2 * EARTH_M))) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12))
+    wide = F.degrees(2 * F.asin(F.least(reach, F.lit(1.0))))
+    return F.greatest(F.floor(360 / wide), F.lit(1)).cast("long")
+
+
+def _ring_cell(lon: Column, cells: Column) -> Column:
+    return F.pmod(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * cells).cast("long"), cells)
+
+
+def pairs_within(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
+    """``a_id, b_id, metres`` of points (id, lat, lon) at most ``metres`` apart, anywhere
+    on the globe. Bands of latitude have as many cells as their length allows, and the
+    last cell of a band borders on its first. ``b`` is copied to nine cells."""
+    wide = metres * (1 + 1e-9)
+    height = max(wide / METRES_A_DEGREE, 1e-6)
+    band = lambda lat: F.floor(lat / height).cast("long")
+    left = a.select(F.col("id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), band(F.col("lat")).alias("cx"))
+    left = left.withColumn("cy", _ring_cell(F.col("a_lon"), _ring_cells(F.col("cx"), height, wide)))
+    right = b.select(F.col("id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), F.explode(F.sequence(band(F.col("lat")) - 1, band(F.col("lat")) + 1)).alias("cx"))
+    right = right.withColumn("n", _ring_cells(F.col("cx"), height, wide)).withColumn("c", _ring_cell(F.col("b_lon"), F.col("n")))
+    near = F.array_distinct(F.array(*[F.pmod(F.col("c") + i, F.col("n")) for i in (-1, 0, 1)]))
+    right = right.select("b_id", "b_lat", "b_lon", "cx", F.explode(near).alias("cy"))
     d = haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
     return left.join(right, ["cx", "cy"]).select("a_id", "b_id", d.alias("metres")).where(F.col("metres") <= metres)
 
@@ -44,10 +62,7 @@ def pairs_within(a: DataFrame, b: DataFrame, metres: float, max_lat: float = 60.
 def within_radius(df: DataFrame, lat: float, lon: float, metres: float, k: int = 50) -> DataFrame:
     """The k nearest within a radius of one point (D29, G3): a box that reaches the
     scan, then the exact distance."""
-    d = metres / METRES_A_DEGREE
-    e = d / max(cos(radians(lat)), 1e-6)
-    box = F.col("lat").between(lat - d, lat + d) & F.col("lon").between(lon - e, lon + e)
-    out = df.where(box).withColumn("metres", haversine_m(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon)))
+    out = df.where(box_around(F.col("lat"), F.col("lon"), lat, lon, metres)).withColumn("metres", haversine_m(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon)))
     return out.where(F.col("metres") <= metres).orderBy("metres", "id").limit(k)
 
 
@@ -189,7 +204,3 @@ def coordinates_ok(lat: Column, lon: Column) -> Column:
 def geometry_types(df: DataFrame, type_col: str = "type") -> DataFrame:
     """Whether a file has one geometry type only; missing types fail (Q4)."""
     return df.agg(F.count_distinct(type_col).alias("types"), F.count_if(F.col(type_col).isNull()).alias("missing")).withColumn("ok", F.expr("types = 1 AND missing = 0"))
-
-
-def nearest_rank(df: DataFrame, by: str, metres: str = "metres") -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(metres)))

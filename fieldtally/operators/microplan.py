@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.functions.exprs import RULE_OPERATORS, jsround
@@ -90,7 +90,7 @@ def eligible_doses(people: DataFrame, rules: DataFrame) -> DataFrame:
     a rule must hold. ``people``: id and a map ``attrs``."""
     need = rules.groupBy("rule_id").agg(F.count("*").alias("need"))
     long = people.select("id", F.explode("attrs").alias("attr", "v"))
-    met = long.join(F.broadcast(rules), "attr").where(F.col("v").between(F.col("lo"), F.col("hi")))  # rules are configuration
+    met = long.join(rules, "attr").where(F.col("v").between(F.col("lo"), F.col("hi")))
     hits = met.groupBy("id", "rule_id").agg(F.count("*").alias("n"), F.max("product").alias("product"), F.max("quantity").alias("quantity"))
     return hits.join(need, "rule_id").where("n = need").select("id", "rule_id", "product", "quantity")
 
@@ -105,8 +105,3 @@ def over_total(fields: DataFrame, id_col: str, prefix: str, total_key: str) -> D
     parts = F.sum(F.when(F.col("key").startswith(prefix), F.col("value").try_cast("double")))
     total = F.max(F.when(F.col("key") == total_key, F.col("value").try_cast("double")))
     return fields.groupBy(id_col).agg(parts.alias("parts"), total.alias("total")).where("parts > total")
-
-
-def coalesce_falsy(x: Column, y: Column) -> Column:
-    """``x`` unless it is NULL or 0."""
-    return F.coalesce(F.nullif(x, F.lit(0)), y)

@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from fieldtally.functions.exprs import cosine
 
 
+BUCKET_ROWS = 10_000
+
+
 def verification_pairs(df: DataFrame, n_same: int, n_diff: int, seed: int = 42) -> DataFrame:
     """id1, id2, same (D38): pairs with equal and with different labels, a sample by a
-    seeded order. Each row meets its successors in that order within its label, and
-    in the order of all rows within its bucket, so pairs grow with rows, not squared."""
+    seeded order. Rows are dealt into buckets of about ``BUCKET_ROWS`` by a hash; in a
+    bucket each row meets its successor in the seeded order, among the rows of its label
+    and among all, so pairs grow with rows, not squared, and are the same on any cluster."""
     h = F.xxhash64(F.lit(seed), "id")
-    in_label = Window.partitionBy("label").orderBy(h, "id")
+    bucket = F.pmod(h, F.lit(max(1, df.count() // BUCKET_ROWS)))
+    in_label = Window.partitionBy("label", bucket).orderBy(h, "id")
     same = df.select("id", F.lead("id").over(in_label).alias("id2")).where("id2 IS NOT NULL").select(F.col("id").alias("id1"), "id2", F.lit(True).alias("same"))
-    bucket = F.pmod(h, F.lit(max(1, df.sparkSession.sparkContext.defaultParallelism)))
     mixed = Window.partitionBy(bucket).orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id")
     other = df.select("id", "label", F.lead("id").over(mixed).alias("id2"), F.lead("label").over(mixed).alias("l2"))
     diff = other.where("id2 IS NOT NULL AND label <> l2").select(F.col("id").alias("id1"), "id2", F.lit(False).alias("same"))

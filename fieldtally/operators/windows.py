@@ -96,6 +96,11 @@ def nonzero_first(df: DataFrame, cols: list[str], name: str) -> DataFrame:
     return df.orderBy(zero, F.col(name))
 
 
+def newest_first(df: DataFrame, time: str, *ties: str) -> DataFrame:
+    """A missing time counts as 0."""
+    return df.orderBy(F.desc(F.coalesce(F.col(time), F.lit(0))), *ties)
+
+
 def by_rank(df: DataFrame, col: str, ranks: dict[str, int], default: int = 999_999) -> DataFrame:
     """A configured order as column ``rank``."""
     table = F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])

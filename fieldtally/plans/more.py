@@ -164,10 +164,10 @@ def e3_centroids(spark, d):
     return geo.centroids(v.points(spark, d), "boundary_code", "name")
 
 
-@query(f"WITH {v.STOCK}, {LEGS} SELECT facility, product, sum(signed) AS on_hand FROM (SELECT l.* FROM stock s, LATERAL (SELECT s.facility, s.product, CASE WHEN entry_type IN ('RECEIPT', 'EXCESS') THEN {QTY} WHEN entry_type = 'LESS' THEN -{QTY} WHEN entry_type IN ('ISSUED', 'RETURNED') AND status <> 'REJECTED' THEN -{QTY} ELSE 0 END AS signed UNION ALL SELECT s.other_facility, s.product, CASE WHEN entry_type IN ('RETURNED', 'ISSUED') AND status = 'ACCEPTED' THEN {QTY} ELSE 0 END) l WHERE s.facility IN ('F0', 'F1', 'F2')) GROUP BY 1, 2")
+@query(f"WITH {v.STOCK}, {LEGS} SELECT facility, product, sum(signed) AS on_hand FROM (SELECT l.* FROM stock s, LATERAL (SELECT s.facility, s.product, CASE WHEN entry_type IN ('RECEIPT', 'EXCESS') THEN {QTY} WHEN entry_type = 'LESS' THEN -{QTY} WHEN entry_type IN ('ISSUED', 'RETURNED') AND status <> 'REJECTED' THEN -{QTY} ELSE 0 END AS signed UNION ALL SELECT s.other_facility, s.product, CASE WHEN entry_type IN ('RETURNED', 'ISSUED') AND status = 'ACCEPTED' THEN {QTY} ELSE 0 END) l WHERE s.facility IN (SELECT 'F' || s_suppkey FROM supplier WHERE s_acctbal > 0)) GROUP BY 1, 2")
 def e9_facility_ledger(spark, d):
-    few = table(spark, d, "supplier").where("s_suppkey < 3").select(F.concat(F.lit("F"), F.col("s_suppkey").cast("string")).alias("facility"))
-    return stock.facility_ledger(v.stock(spark, d), few)
+    funded = table(spark, d, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("F"), F.col("s_suppkey").cast("string")).alias("facility"))
+    return stock.facility_ledger(v.stock(spark, d), funded)
 
 
 @query("WITH l(type) AS (VALUES ('region'), ('nation'), ('village'), ('camp')), " + v.NODES + " SELECT l.type, count(code) AS n FROM l LEFT JOIN nodes ON nodes.type = l.type GROUP BY 1")

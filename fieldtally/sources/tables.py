@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Columns of the entities that have a fixed schema.
 SCHEMAS = {
@@ -80,7 +79,3 @@ def search_source(df: DataFrame, tenant: str | None = None, campaign: str | None
         if v is not None:
             df = df.where(F.col(c) == v)
     return df.orderBy(order_by).offset(offset).limit(limit)
-
-
-def as_struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(ddl)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fieldtally.operators.linkage import block_keys, score_pairs
+from fieldtally.operators.linkage import keyed, prepared, score_pairs
 from fieldtally.operators.stock import legs
 from fieldtally.sources.tables import parse_location_lines
 
@@ -44,37 +44,38 @@ def late_rows(source: DataFrame, time: str, watermark: str = "2 days") -> DataFr
 
 
 def stream_gap(events: DataFrame, estimates: DataFrame, out: str, checkpoint: str, key: str = "boundary_code") -> StreamingQuery:
-    """Registrations recompute the gaps of the areas they touch."""
+    """Registrations recompute the gaps of the areas they touch (J4). A batch writes its
+    own folder, so that one that runs again replaces its rows; the latest batch of an
+    area holds."""
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, n: int) -> None:
         counts = df.groupBy(key).agg(F.sum("people").cast("double").alias("registered"))
         touched = estimates.join(counts, key)
-        touched.withColumn("gap", F.col("expected") - F.col("registered")).write.mode("append").parquet(out)
+        touched.withColumn("gap", F.col("expected") - F.col("registered")).write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     total = events.groupBy(key).agg(F.sum("people").alias("people"))
     return total.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 
 
 def stream_dedup(registrations: DataFrame, index_path: str, out: str, checkpoint: str, threshold: float = 0.85) -> StreamingQuery:
-    """Each batch is checked against the index by block key, then joins it."""
+    """Each batch is checked against the index by block key, then joins it (J6). Pairs
+    and index rows are in a folder per batch, so a batch that runs again replaces what it
+    wrote, and looks at the batches before it only."""
     spark = registrations.sparkSession
 
-    def keyed(df: DataFrame) -> DataFrame:
-        keys = F.array_distinct(F.array_compact(F.array(*[F.when(k.isNotNull(), F.concat(F.lit(f"{n}:"), k)) for n, k in block_keys().items()])))
-        return df.select("*", F.explode(keys).alias("block"))
-
     def batch(df: DataFrame, n: int) -> None:
         try:
-            known = spark.read.parquet(index_path)
+            known = spark.read.parquet(index_path).where(F.col("batch") < n).drop("batch")
         except Exception as e:  # the first batch has no index yet
-            if "PATH_NOT_FOUND" not in str(e):
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
-            known = df.limit(0)
+            known = prepared(df.limit(0))
+        df = prepared(df)
         both = known.unionByName(df)
         new = keyed(df).select(F.col("id").alias("id2"), "block")
         pairs = keyed(both).select(F.col("id").alias("id1"), "block").join(new, "block").where("id1 < id2 OR id1 > id2")
         pairs = pairs.select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).distinct()
-        score_pairs(pairs, both).where(F.col("score") >= threshold).withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
-        df.write.mode("append").parquet(index_path)
+        score_pairs(pairs, both).where(F.col("score") >= threshold).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        df.write.mode("overwrite").parquet(f"{index_path}/batch={n}")
 
     return registrations.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()

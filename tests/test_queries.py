@@ -4,6 +4,8 @@ import pytest
 
 from compare import connect, rows
 from fieldtally.plans import more  # noqa: F401
+from fieldtally.plans import rows as registered  # noqa: F401
+from fieldtally.plans import streams  # noqa: F401
 from fieldtally.plans.queries import QUERIES, SQL
 
 
