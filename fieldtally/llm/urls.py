@@ -4,29 +4,35 @@ Rules name a host (with its subdomains) and the start of a path; the longest rul
 that fits decides. For all other urls, host and path are turned into words and a
 multinomial naive Bayes model gives the verdict.
 
-Words of a host: labels are split at everything that is not a letter, then names
-are split by the most likely sequence of words (Viterbi over word counts of the
-corpus). Which stretches of a name are words is found by a join of all stretches
-with the counts, so no word list is sent to the tasks.
+Words of a host: labels are split at everything that is no letter (of any script), then
+names are split by the most likely sequence of words (Viterbi over word counts of the
+corpus). Which stretches of a
+name are words is found by a join of all stretches with the counts, so no word list is
+sent to the tasks. A word has up to ``MAX_WORD`` letters, as many as a label of a host
+name may have at all.
 
 The model learns from all urls: those whose host holds a word of ``SEED_BLOCK``
 (as a whole segment) are examples to block, the others to allow. Its counts are
 aggregates over the whole table. Both classes are smoothed towards the words' overall
-shares, so a rare word that neither class owns weighs nothing.
+shares, so a rare word that neither class owns weighs nothing. Words that often stand
+beside those of the list on other hosts or in paths get weights of their own, so hosts
+without a listed word can be blocked, and a listed word may be outweighed.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits
-no rule and is allowed; a host without words is scored by its path and the classes' odds; repeated rows and null ids are kept row by row; an empty
-table gives no rows. Other columns are ignored, whatever their names.
+no rule and is allowed; a host without words is scored by its path and the classes'
+odds; repeated rows and null ids are kept row by row; an empty table gives no rows.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from math import log
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fieldtally.llm.common import cut
 
@@ -38,7 +44,7 @@ SEED_BLOCK = (
 )
 #: Words of rules' top-level names and of hosts that say nothing by themselves.
 COMMON_LABELS = ("www", "m", "blog")
-MAX_WORD = 20
+MAX_WORD = 63
 PRIOR = 10.0  # tokens of the overall shares that each class gets besides its own
 SEED_COUNT = 1000  # what the word counts give a seed word at least
 
@@ -73,8 +79,8 @@ def rule_columns(rules: list[tuple[str, str]], host: Column, path: Column) -> tu
 
 
 def word_counts(texts: DataFrame, col: str) -> DataFrame:
-    """word, n over all texts: runs of the letters a-z outside of tags."""
-    words = F.split(F.lower(F.regexp_replace(col, r"<[^>]*>", " ")), "[^a-z]+")
+    """word, n over all texts: runs of letters outside of tags."""
+    words = F.split(F.lower(F.regexp_replace(col, r"<[^>]*>", " ")), r"\P{L}+")
     words = texts.select(F.explode(words).alias("word")).where(F.length("word").between(1, MAX_WORD))
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
@@ -93,9 +99,13 @@ def segment_names(names: DataFrame, counts: DataFrame) -> DataFrame:
     total = counts.agg(F.sum("n")).first()[0] or 1
     known = cuts.join(counts, "word").groupBy("name")
     per_name = known.agg(F.collect_list(F.struct("at", "len", (F.log("n") - log(total)).alias("score"))).alias("known"))
-    best = F.udf(_best_split, T.ArrayType(T.StringType()))
-    joined = names.join(per_name, "name", "left")
-    return joined.select("name", best("name", F.coalesce("known", F.array().cast("array<struct<at:int,len:int,score:double>>")), F.lit(total)).alias("words"))
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            words = [_best_split(name, [] if known is None else known, total) for name, known in zip(b["name"], b["known"])]
+            yield pd.DataFrame({"name": b["name"], "words": words})
+
+    return names.join(per_name, "name", "left").mapInPandas(split, "name string, words array<string>")
 
 
 def _best_split(name: str, known: list, total: int) -> list[str]:
@@ -119,7 +129,7 @@ def _best_split(name: str, known: list, total: int) -> list[str]:
 def url_words(urls: DataFrame, corpus: DataFrame, corpus_col: str) -> DataFrame:
     """host, words: the segmented words of each distinct ``host``."""
     hosts = cut(urls.select("host").where("host <> ''").distinct())
-    labels = F.filter(F.split("host", "[^a-z]+"), lambda x: (x != "") & ~x.isin(*COMMON_LABELS))
+    labels = F.filter(F.regexp_extract_all(F.lower("host"), F.lit(r"\p{L}+"), F.lit(0)), lambda x: ~x.isin(*COMMON_LABELS))
     parts = hosts.select("host", F.posexplode(labels).alias("pos", "name"))
     seeds = hosts.sparkSession.createDataFrame([(w, SEED_COUNT) for w in SEED_BLOCK], "word string, n long")
     counts = word_counts(corpus, corpus_col).unionByName(seeds).groupBy("word").agg(F.sum("n").alias("n"))
@@ -159,7 +169,8 @@ def judge_urls(urls: DataFrame, rules: list[tuple[str, str]], corpus: DataFrame,
     # Counted per distinct host and path: what repeats is scored once and joined back.
     words = cut(url_words(rows, corpus, corpus_col))
     block = F.exists("words", lambda w: w.isin(*SEED_BLOCK))
-    path_tokens = F.transform(F.filter(F.split(F.lower("path"), "[^a-z]+"), lambda x: x != ""), lambda x: F.concat(F.lit("/"), x))
+    path_words = F.regexp_extract_all(F.lower("path"), F.lit(r"\p{L}+"), F.lit(0))
+    path_tokens = F.transform(path_words, lambda x: F.concat(F.lit("/"), x))
     distinct = rows.groupBy("host", path_tokens.alias("ptokens")).agg(F.count("*").alias("n"))
     # A host without words of its own (an address, other letters) is judged by its path.
     distinct = distinct.where("host <> ''").join(words, "host", "left")

@@ -309,6 +309,56 @@ def test_url_model_counts_every_row(spark):
     assert got[33]["score"] == pytest.approx(want) and got[33]["verdict"] == "block"
 
 
+def test_url_model_goes_beyond_the_list(spark):
+    """A host without a listed word is blocked by the company its words keep, and one with
+    a listed word may be allowed."""
+    pages = [f"http://casino.{x}.org/jetons/bonus" for x in "abcdefgh"] + [f"http://garden.{x}.org/roses/soil" for x in "abcdefghijkl"]
+    pages += ["http://lucky.org/jetons/bonus", "http://farm.org/roses/soil/roses/soil/roses/soil"]
+    df = spark.createDataFrame([(i, u, "casino lucky garden jetons bonus roses soil farm") for i, u in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["host"]: r for r in urls.judge_urls(df, RULES, df, "html").collect()}
+    assert got["lucky.org"]["verdict"] == "block" and got["lucky.org"]["words"] == ["lucky", "org"]
+    assert got["farm.org"]["verdict"] == "allow" and got["casino.a.org"]["verdict"] == "block"
+
+
+def test_segmentation_and_bayes_equal_brute_force(spark, data):
+    """Every host of the given table, split by trying all splits, and every score."""
+    import itertools
+    from collections import Counter
+
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    counts = Counter()
+    for r in pages.collect():
+        counts.update(w for w in re.findall(r"[^\W\d_]+", re.sub(r"<[^>]*>", " ", r["html"]).lower()) if len(w) <= urls.MAX_WORD)
+    counts.update({w: urls.SEED_COUNT for w in urls.SEED_BLOCK})
+    total = sum(counts.values())
+    price = lambda w: np.log(counts[w] / total) if counts[w] else -np.log(total) - 3.0 * len(w)
+
+    def best(name):
+        cuts = [[name[a:b] for a, b in itertools.pairwise((0, *c, len(name)))] for k in range(len(name)) for c in itertools.combinations(range(1, len(name)), k)]
+        return max(sum(map(price, c)) for c in cuts)
+
+    got = urls.judge_urls(pages, RULES, pages, "html").collect()
+    examples, tokens = [], {}
+    for r in got:
+        t = tuple(r["words"]) + tuple("/" + w for w in re.findall(r"[^\W\d_]+", r["path"].lower()))
+        examples.append((t, any(w in urls.SEED_BLOCK for w in r["words"])))
+        tokens[r["page_id"]] = t
+    for host, words in {(r["host"], tuple(r["words"])) for r in got}:
+        runs = [x for x in re.findall(r"[^\W\d_]+", host) if x not in urls.COMMON_LABELS]
+        assert "".join(words) == "".join(runs)
+        if all(len(x) < 13 for x in runs):
+            assert sum(map(price, words)) == pytest.approx(sum(map(best, runs)))
+    n = {k: Counter(w for t, b in examples if b == k for w in t) for k in (True, False)}
+    size = {k: sum(n[k].values()) for k in n}
+    rows = Counter(b for _, b in examples)
+    share = lambda w: (n[True][w] + n[False][w]) / (size[True] + size[False])
+    p = lambda w, k: np.log((n[k][w] + urls.PRIOR * share(w)) / (size[k] + urls.PRIOR))
+    for r in got:
+        if r["score"] is not None:
+            want = np.log((rows[True] + 1) / (rows[False] + 1)) + sum(p(w, True) - p(w, False) for w in tokens[r["page_id"]])
+            assert r["score"] == pytest.approx(want) and r["verdict"] == ("block" if want > 0 else "allow")
+
+
 def test_best_split_is_best():
     known = [{"at": 1, "len": 3, "score": -2.0}, {"at": 4, "len": 3, "score": -2.0}, {"at": 1, "len": 6, "score": -9.0}]
     assert urls._best_split("catdog", known, 100) == ["cat", "dog"]
