@@ -55,7 +55,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import anti_join, cut, semi_join
+from fieldtally.llm.common import FEW_ROWS, anti_join, cut, semi_join
 from fieldtally.llm.wordhash import WORD_BITS, word_keys
 
 QUANTILE = 0.999
@@ -431,18 +431,24 @@ def costs(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     return found.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
 
 
-def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """Scores of every row (id, lang, content, n_words, nats: of a word; null without a
-    threshold) and the languages' thresholds (lang, mean, threshold)."""
+def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """id, lang, content, n_words, nats (of a word) and threshold (of the language) of
+    every row; both are null in a language without held-out trusted text."""
     ids = trusted.where("id IS NOT NULL").select("id").distinct()
     every = cut(costs(docs, ids.where(~held_out()), id_col, text_col, lang_col))
     mean_of = (F.sum("cost") / F.sum(F.col("n_words") + 1)).alias("mean")
     apart = every.join(ids.where(held_out()), "id", "left_semi").where("cost IS NOT NULL")
-    mean = apart.groupBy("lang").agg(mean_of)
+    mean = few_of_each(cut(apart.groupBy("lang").agg(mean_of)))
     nats = (F.col("cost") + PRIOR_WORDS * F.col("mean")) / (F.col("n_words") + 1 + PRIOR_WORDS)
     limits = apart.join(mean, "lang").groupBy("lang").agg(F.first("mean").alias("mean"), F.percentile_approx(nats, QUANTILE, 10_000).alias("threshold"))
-    limits = cut(limits)
-    return every.join(limits.select("lang", "mean"), "lang", "left").select("id", "lang", "content", "n_words", nats.alias("nats")), limits.select("lang", "threshold")
+    limits = few_of_each(cut(limits))
+    return every.join(limits, "lang", "left").select("id", "lang", "content", "n_words", nats.alias("nats"), "threshold")
+
+
+def few_of_each(by_language: DataFrame) -> DataFrame:
+    """A table with a row per language, to be broadcast if it is counted to be small: a
+    language may hold most of the rows it is joined with."""
+    return F.broadcast(by_language) if by_language.count() <= FEW_ROWS else by_language
 
 
 def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -450,7 +456,6 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
 
     Rows are rejected by their ``content`` hash; texts that surely are not rejected are
     not shuffled."""
-    scored, limits = score(docs, trusted, id_col, text_col, lang_col)
-    bad = scored.join(limits, "lang").where("nats > threshold")
+    bad = score(docs, trusted, id_col, text_col, lang_col).where("nats > threshold")
     rows = docs.withColumn("__content", content(id_col, text_col, lang_col))
     return anti_join(rows, cut(bad.select(F.col("content").alias("__content")).distinct()), "__content").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -81,8 +81,7 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldtally.llm.quality import score
 
-    scored, limits = score(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
-    out = scored.join(limits, "lang", "left")
+    out = score(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
     keep = F.coalesce(F.col("nats") <= F.col("threshold"), F.lit(True)).cast("int")
     return out.select(F.col("id").alias("doc_id"), "lang", "n_words", F.exp("nats").alias("perplexity"), F.exp("threshold").alias("threshold"), keep.alias("keep"))
 
