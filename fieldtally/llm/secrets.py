@@ -40,7 +40,7 @@ RANK = {k: i for i, k in enumerate(KINDS)}
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----((?:[^-]|-(?!----)){0,65536}?)-----END \1PRIVATE KEY-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[A-Za-z0-9_-]{9,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 B64_RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_RUN = re.compile(r"[0-9A-Fa-f]{64,}")
@@ -59,13 +59,18 @@ def _b64(text: str) -> bytes | None:
         return None
 
 
-def der_items(data: bytes, depth: int = 0) -> list | None:
+def der_items(data: bytes) -> list | None:
     """``[(tag, contents)]`` where the contents of a constructed value are such a
-    list again; None unless each nested length fills its parent exactly."""
-    items, at, end = [], 0, len(data)
-    if depth > 8:
-        return None
-    while at < end:
+    list again; None unless each nested length fills its parent exactly. However deep
+    values are nested, each level takes two bytes at least."""
+    top: list = []
+    open_: list[tuple[list, int]] = [(top, len(data))]  # values begun, and where they end
+    at = 0
+    while open_:
+        items, end = open_[-1]
+        if at == end:
+            open_.pop()
+            continue
         if at + 2 > end:
             return None
         tag, length = data[at], data[at + 1]
@@ -80,16 +85,14 @@ def der_items(data: bytes, depth: int = 0) -> list | None:
             at += n
         if at + length > end:
             return None
-        body = data[at : at + length]
         if tag & 0x20:
-            inner = der_items(body, depth + 1)
-            if inner is None:
-                return None
+            inner: list = []
             items.append((tag, inner))
+            open_.append((inner, at + length))
         else:
-            items.append((tag, body))
-        at += length
-    return items
+            items.append((tag, data[at : at + length]))
+            at += length
+    return top
 
 
 def is_der_private_key(data: bytes) -> bool:
@@ -145,6 +148,16 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def armoured(text: str) -> Iterator[tuple[int, int, str]]:
+    """Begin, end and body of armoured private keys, however long: a body ends where the
+    next five dashes stand, which must be its own end mark."""
+    for m in PEM.finditer(text):
+        at = text.find("-----", m.end())
+        mark = f"-----END {m[1]}PRIVATE KEY-----"
+        if at >= 0 and text.startswith(mark, at):
+            yield m.start(), at + len(mark), text[m.end() : at]
+
+
 def find_secrets(text: str | None) -> list[Span]:
     """All spans of a text by start, then kind as listed in ``KINDS``."""
     if not text:
@@ -159,13 +172,13 @@ def find_secrets(text: str | None) -> list[Span]:
         out += [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if is_signed_token(m[1], m[2])]
     taken: list[tuple[int, int]] = []
     if "PRIVATE KEY-----" in text:
-        for m in PEM.finditer(text):
+        for start, end, body in armoured(text):
             # Header lines (Proc-Type, DEK-Info) hold a colon; the rest is the key.
-            lines = [x for x in re.split(r"\s+|\\n|\\r", m[2]) if x and ":" not in x and "," not in x]
+            lines = [x for x in re.split(r"\s+|\\n|\\r", body) if x and ":" not in x and "," not in x]
             data = _b64("".join(lines))
-            if is_key(data) or ("ENCRYPTED" in m[2] and data and len(data) >= 64):
-                out.append(("pem", m.start(), m.end()))
-                taken.append((m.start(), m.end()))
+            if is_key(data) or ("ENCRYPTED" in body and data and len(data) >= 64):
+                out.append(("pem", start, end))
+                taken.append((start, end))
     if longest >= 40:
         for pattern, decode in ((B64_RUN, _b64), (HEX_RUN, _hex)):
             for m in pattern.finditer(text):
@@ -221,14 +234,13 @@ def redact(text: str | None) -> str | None:
 
 def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with secrets replaced in ``text_col``; other columns stay."""
-    schema = docs.schema
 
-    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b[text_col] = [redact(t) for t in b[text_col]]
-            yield b
 
-    return docs.mapInPandas(clean, schema)
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        return texts.map(redact)
+
+    return docs.withColumn(text_col, clean(text_col))
 
 
 def span_text(col) -> F.Column:
