@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.llm.common import cut
-from fieldtally.llm.vectors import pair_blocks, ranked, to_blocks, unpack, usable
+from fieldtally.llm.vectors import one_query_each, pair_blocks, ranked, to_blocks, unpack, usable
 
 SHARD_ROWS, QUERY_ROWS = 8192, 1024
 DEGREE = 16  # links a node makes; layer 0 keeps twice as many per node
@@ -229,10 +229,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+def near_one(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which is exact, so that no square over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 def search_index(index: DataFrame, vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding", ef: int = EF_SEARCH) -> DataFrame:
     """query_id, rank, vec_id, score (cosine in double) of the ``k`` nearest found."""
-    rows = usable(vectors, id_col, vec_col, nonzero=True).where(is_query).dropDuplicates(["id"])
-    queries = to_blocks(rows, QUERY_ROWS)
+    queries = to_blocks(one_query_each(usable(vectors, id_col, vec_col, nonzero=True).where(is_query)), QUERY_ROWS)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -246,8 +250,9 @@ def search_index(index: DataFrame, vectors: DataFrame, is_query: Column, k: int,
                     # The query's own node is one; float32 order is checked in double.
                     at = near[i, : 2 * k + 2]
                     at = at[at >= 0]
-                    score = (x[at] @ q[i]) / (np.linalg.norm(x[at], axis=1) * np.linalg.norm(q[i]))
+                    y, own = near_one(x[at]), near_one(q[i : i + 1])[0]
+                    score = (y @ own) / (np.linalg.norm(y, axis=1) * np.linalg.norm(own))
                     out += [(q_ids[i], m, s) for a, s in zip(at, score) for m in r.members[a] if m != q_ids[i]]
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    return ranked(pair_blocks(queries, index).mapInPandas(search, "query_id long, vec_id long, score double"), k)
+    return ranked(pair_blocks(queries, index).mapInPandas(search, "query_id long, vec_id long, score double"), k, "score")

@@ -68,8 +68,7 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldtally.llm.exact_topk import exact_topk
 
-    found = exact_topk(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10, scale=1024.0)
-    return found.withColumn("score", F.col("score").cast("long"))
+    return exact_topk(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10, scale=1024.0)
 
 
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = "block long, dim int, ids binary, vectors binary"
@@ -68,8 +68,15 @@ def unpack(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray
     return np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float64).reshape(-1, dim)
 
 
-def ranked(found: DataFrame, k: int, score: Column | str = "score") -> DataFrame:
-    """The ``k`` best of each query over all blocks, ties to the smaller id."""
-    by = Window.partitionBy("query_id").orderBy(F.desc(score), F.asc("vec_id"))
-    out = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+def one_query_each(rows: DataFrame) -> DataFrame:
+    """A row per id; of several vectors the least counts."""
+    return rows.groupBy("id").agg(F.min("vec").alias("vec"))
+
+
+def ranked(found: DataFrame, k: int, *score: str) -> DataFrame:
+    """The ``k`` best of each query over all blocks, ties to the smaller id; an id that
+    was found several times counts with its best score."""
+    best = found.groupBy("query_id", "vec_id").agg(F.max(F.struct(*score)).alias("s")).select("query_id", "vec_id", "s.*")
+    by = Window.partitionBy("query_id").orderBy(*[F.desc(s) for s in score], F.asc("vec_id"))
+    out = best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", *score)

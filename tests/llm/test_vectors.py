@@ -73,3 +73,22 @@ def test_graph_is_the_same_when_built_again():
 def test_graph_empty(spark):
     df, _ = vectors(spark)
     assert ann.search_index(ann.build_index(df.limit(0), 5), df.limit(0), F.col("id") == 0, 5).count() == 0
+
+
+def test_one_id_with_several_vectors(spark):
+    rows = [(0, [3.0, 4.0]), (0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [0.0, 9.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0]), (3, [0.5, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = exact_topk.exact_topk(df, F.col("id") == 0, k=3).collect()  # the least vector, (1, 0), asks
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 2.0), (2, 1.0), (3, 0.5)]
+    near = ann.search_index(ann.build_index(df, 3), df, F.col("id") == 0, 3).collect()
+    assert [r["vec_id"] for r in sorted(near, key=lambda r: r["rank"])] == [1, 3, 2]
+
+
+def test_huge_and_tiny_components(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [1e-200, 0.0]), (3, [-1e300, 1e300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    near = ann.search_index(ann.build_index(df, 3), df, F.col("id") == 0, 3).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(near, key=lambda r: r["rank"])] == [(2, 1.0), (1, pytest.approx(0.5**0.5)), (3, pytest.approx(-(0.5**0.5)))]
+    big = [(0, [2.0**31, 3.0]), (1, [2.0**30, 1.0]), (2, [2.0**30, 2.0]), (3, [1e200, 0.0]), (4, [-1.0, 0.0])]
+    got = exact_topk.exact_topk(spark.createDataFrame(big, df.schema), F.col("id") == 0, k=4, scale=1.0).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(3, None), (2, 2**61 + 6), (1, 2**61 + 3), (4, -(2**31))]
