@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import cut
+from fieldtally.llm.common import FEW_ROWS, cut
 from fieldtally.operators.graph import components
 
 BITS, RADIUS, SHINGLE = 64, 3, 3
@@ -310,28 +310,27 @@ def links(fps: DataFrame, radius: int = RADIUS, m: int | None = None) -> DataFra
     n, both = bit_counts(fps)
     parts = group_bits(n, both, m or choose_parts(n, radius))
     counts = value_counts(fps, parts)
-    rows = probes(fps, parts, counts, radius)
-    # Rows per value are known only by place; a place with few rows has no large value.
-    largest = int(counts.max(initial=0))
+    rows = cut(probes(fps, parts, counts, radius))  # filed and probing rows alike
     key = [F.col("part"), F.col("value")]
-    if largest > BLOCK // 2:
-        rows = cut(rows)
-        large = rows.groupBy(*key).count().where(F.col("count") > BLOCK)
-        large = large.select("part", "value", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-        rows = rows.join(large, ["part", "value"], "left")
-        block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        rows = rows.withColumn("own", F.when(F.col("blocks").isNotNull(), block))
-        # A row of block i goes to the pairs {i, j} for all j; within {i, i} all meet.
-        to = F.when(F.col("own").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-        rows = rows.withColumn("other", F.explode(to))
-        rows = rows.select(
-            *key, "fp", "filed", "probing",
-            F.xxhash64(*key, F.least("own", "other"), F.when(F.col("own").isNotNull(), F.greatest("own", "other"))).alias("meet"),
-            F.when(F.col("own").isNull() | (F.col("own") == F.col("other")), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
-        )
+    large = rows.groupBy(*key).count().where(F.col("count") > BLOCK)
+    large = cut(large.select("part", "value", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+    many = large.count()
+    if many:
+        rows = rows.join(F.broadcast(large) if many <= FEW_ROWS else large, ["part", "value"], "left")
     else:
-        rows = rows.withColumn("meet", F.xxhash64(*key)).withColumn("side", F.lit(0))
-    shards = max(1, round(n * len(parts) / SHARD_ROWS), rows.sparkSession.sparkContext.defaultParallelism)
+        rows = rows.withColumn("blocks", F.lit(None).cast("int"))
+    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("own", F.when(F.col("blocks").isNotNull(), block))
+    # A row of block i goes to the pairs {i, j} for all j; within {i, i} all meet.
+    to = F.when(F.col("own").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.withColumn("other", F.explode(to))
+    rows = rows.select(
+        *key, "fp", "filed", "probing",
+        F.xxhash64(*key, F.least("own", "other"), F.when(F.col("own").isNotNull(), F.greatest("own", "other"))).alias("meet"),
+        F.when(F.col("own").isNull() | (F.col("own") == F.col("other")), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
+    )
+    met = rows.agg(F.count("*")).first()[0]
+    shards = max(round(met / SHARD_ROWS), rows.sparkSession.sparkContext.defaultParallelism)
 
     def compare(_: tuple, b: pd.DataFrame) -> pd.DataFrame:
         # Rows of different values that share ``meet`` by chance are verified as well.
