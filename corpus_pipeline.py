@@ -7,7 +7,8 @@ columns of ``documents``.
 1. quality       rejects documents of high perplexity (op 6)
 2. line_dedup    removes lines that are on many sites, but for one copy; a document
                  that has no text left after it goes (op 9)
-3. simhash_dedup keeps the first document of each near-duplicate group (op 4)
+3. simhash_dedup keeps the first document of each near-duplicate group (op 4); rows that
+                 share an id and a text are one document
 4. secrets       replaces confirmed secrets in the text (op 7)
 5. packing       packs what is left into training sequences (op 8)
 """
@@ -20,8 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtally.llm import lines, packing, quality, secrets, simhash
-from fieldtally.llm.common import ensure_checkpoint_dir, small_batches, table
+from fieldtally.llm.common import cut, perhaps_in, small_batches, table
 from fieldtally.llm.queries import trusted_ids
+from fieldtally.operators.graph import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -47,8 +49,13 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     groups = simhash.near_duplicates(docs)
     # An id stays if one of its rows comes first in its group; rows without id stay.
-    later = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first")).where("NOT first")
-    return _columns(docs.join(later.select("doc_id"), "doc_id", "left_anti"))
+    ids = cut(groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("n")).where("NOT first OR n > 1 AND doc_id IS NOT NULL"))
+    # Only texts that are likely to go are shuffled.
+    told = perhaps_in(docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")), ids.select(F.col("doc_id").cast("string").alias("key")), "key")
+    same = told.where("NOT perhaps OR doc.doc_id IS NULL").select("doc.*")
+    some = told.where("perhaps AND doc.doc_id IS NOT NULL").select("doc.*")
+    some = some.join(ids.where("NOT first").select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    return _columns(same.unionByName(some))
 
 
 def clean_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,8 +82,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
