@@ -22,21 +22,27 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+FEW_NODES = 500_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``node, component``: the smallest node that each node of ``edges`` reaches.
 
     Every round hooks a node's parent under the least grandparent among its
     neighbours and then halves the paths, so rounds grow with the logarithm of the
     longest path. A round's work is a few equi-joins and minimum aggregates, which
-    combine before their shuffles. Edges with a null end are left out.
+    combine before their shuffles. A node with very many edges is a hot key of the joins:
+    up to ``FEW_NODES`` nodes their table is broadcast instead; beyond, adaptive execution
+    splits hot keys. Edges with a null end are left out.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     both = shared_checkpoint(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     parents = shared_checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p")))
+    few = F.broadcast if parents.count() <= FEW_NODES else lambda df: df
     for _ in range(max_rounds):
-        grand = parents.alias("x").join(parents.alias("y"), F.col("x.p") == F.col("y.u"))
+        grand = parents.alias("x").join(few(parents.alias("y")), F.col("x.p") == F.col("y.u"))
         grand = grand.select(F.col("x.u").alias("u"), F.col("x.p").alias("p"), F.col("y.p").alias("g"))
-        near = both.join(grand.select(F.col("u").alias("v"), F.col("g").alias("ng")), "v").groupBy("u").agg(F.min("ng").alias("ng"))
+        near = both.join(few(grand.select(F.col("u").alias("v"), F.col("g").alias("ng"))), "v").groupBy("u").agg(F.min("ng").alias("ng"))
         seen = grand.join(near, "u")
         # A node's parent, the node itself, and the node's grandparent all become candidates.
         moves = seen.select(F.col("p").alias("u"), F.col("ng").alias("c")).unionByName(

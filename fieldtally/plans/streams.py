@@ -17,7 +17,7 @@ from fieldtally.streaming import jobs
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parquet")
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")  # a pattern, so that a table may be one file
 
 
 class _Kept:

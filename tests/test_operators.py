@@ -193,6 +193,15 @@ def test_inject_by_number(spark):
     assert linkage.inject_duplicates(df, plan={})[0].count() == 150
 
 
+def test_components_of_a_star_and_a_chain(spark, monkeypatch):
+    star = spark.range(1, 100_001).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("a"))
+    chain = spark.range(200_000, 200_040).select((F.col("id") + 1).alias("b"), F.col("id").alias("a"))
+    for few in (graph.FEW_NODES, 0):
+        monkeypatch.setattr(graph, "FEW_NODES", few)
+        got = graph.components(star.unionByName(chain)).groupBy("component").count().collect()
+        assert {(r["component"], r["count"]) for r in got} == {(0, 100_001), (200_000, 41)}
+
+
 def test_deep_trees_keep_every_node(spark):
     chain = [("n0", None), *[(f"n{i}", f"n{i - 1}") for i in range(1, 41)], ("x", "y"), ("y", "x")]
     got = boundaries.tree_paths(spark.createDataFrame(chain, "code string, parent string")).collect()
