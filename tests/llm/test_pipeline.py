@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from compare import connect, rows
@@ -49,6 +50,77 @@ def test_all_tokens_are_packed(stages):
     assert after.groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").count() == 0
 
 
+def test_stages_equal_brute_force(spark, data, stages, tmp_path):
+    """Each stage on its own input: rejected documents, lines taken out, groups by all
+    pairs, redacted texts, and the tokens of every document."""
+    import itertools
+    import zlib
+
+    import duckdb
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from fieldtally.llm import quality, secrets, simhash
+    from fieldtally.llm.queries import OP9_SQL, op6_quality
+
+    rows_of = lambda df: {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
+    (_, docs, good), (_, _, lined), (_, _, single), (_, _, clean), (_, _, packed) = stages
+    # The query's scores are compared with the textbook's in test_quality.
+    assert set(rows_of(good)) == {r["doc_id"] for r in op6_quality(spark, data).where("keep = 1").collect()} and quality.QUANTILE < 1
+    good.toPandas().to_parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    import hashlib
+
+    want, before, got = {r[0]: r[3] for r in c.execute(OP9_SQL).fetchall()}, rows_of(good), rows_of(lined)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert all(sha(t) == want[i] for i, t in got.items())
+    assert all(want[i] != sha(before[i]) for i in set(before) - set(got))  # only what lost lines may go
+    prints = {i: simhash.fingerprint(t) for i, t in got.items()}
+    root = {i: i for i in prints}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(sorted(prints), 2):
+        if (prints[i] ^ prints[j]).bit_count() <= 3:
+            a, b = sorted((top(i), top(j)))
+            root[b] = a
+    kept = rows_of(single)
+    assert kept == {i: t for i, t in got.items() if top(i) == i}
+    assert rows_of(clean) == {i: secrets.redact(t) for i, t in kept.items()}
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = {}
+    for r in packed.collect():
+        pieces.setdefault(r["doc_id"], []).append(r)
+    for i, t in rows_of(clean).items():
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        at = 0
+        for r in sorted(pieces.pop(i), key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    assert not pieces
+
+
+def test_stages_survive_odd_rows(spark, data, odd_docs, no_docs):
+    import corpus_pipeline
+
+    for docs in (odd_docs, no_docs):
+        left = docs.count()
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, data).checkpoint()
+            assert docs.count() <= left or "sequence_id" in docs.columns
+            left = docs.count()
+        if left:
+            # The two rows of one id and text are one document, and so is their copy.
+            ids = [r["doc_id"] for r in docs.where("start = 0").collect()]
+            assert ids.count(1) == 1 and ids.count(2) == 0 and {None, 5, 7, 8} <= set(ids)
+
+
 def test_run_equals_stages(spark, data, stages):
     import corpus_pipeline
 
