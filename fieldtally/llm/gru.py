@@ -15,7 +15,7 @@ import numpy as np
 
 WORD_BUCKETS, CHAR_BUCKETS = 8192, 16384
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 8, 16, 8, 8
-WINDOW, STRIDE = 48, 36
+WINDOW, STRIDE = 48, 24
 DROP_WORDS, DROP_GRAMS, MIN_DOCS = 0.5, 0.3, 4
 FIRST_WINDOWS, EPOCH_WINDOWS = 6000, 1500
 _WORD = re.compile(r"\w+")
