@@ -75,7 +75,7 @@ def stream_dedup(registrations: DataFrame, index_path: str, out: str, checkpoint
         new = keyed(df).select(F.col("id").alias("id2"), "block")
         pairs = keyed(both).select(F.col("id").alias("id1"), "block").join(new, "block").where("id1 < id2 OR id1 > id2")
         pairs = pairs.select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).distinct()
-        score_pairs(pairs, both).where(F.col("score") >= threshold).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        score_pairs(pairs, both, least=threshold).write.mode("overwrite").parquet(f"{out}/batch={n}")
         df.write.mode("overwrite").parquet(f"{index_path}/batch={n}")
 
     return registrations.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
