@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.functions.exprs import jsround
+from fieldtally.operators.graph import shared_checkpoint
 
 
 def first_per_key(df: DataFrame, key: list[str], order_by: list[Column], drop_null_key: bool = True) -> DataFrame:
@@ -72,9 +73,16 @@ def bump_retry(df: DataFrame, limit: int, col: str = "retry_count") -> DataFrame
 
 
 def with_batch_no(df: DataFrame, group: list[str], order_by: list[Column], n: int) -> DataFrame:
-    """F12."""
-    by = Window.partitionBy(*group).orderBy(*order_by)
-    return df.withColumn("batch_no", F.floor((F.row_number().over(by) - 1) / n).cast("int"))
+    """F12. Groups may be few and large: rows are sorted over all partitions, numbered in
+    each, and the numbers of a group go on from one partition to the next."""
+    placed = shared_checkpoint(df.orderBy(*group, *order_by)).withColumn("__at", F.monotonically_increasing_id())
+    placed = placed.withColumn("__part", F.shiftright("__at", 33))
+    sizes = placed.groupBy(*[F.col(g).alias(f"__{g}") for g in group], F.col("__part").alias("__p")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*[f"__{g}" for g in group]).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*[f"__{g}" for g in group], "__p", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__start"))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group], F.col("__part") == F.col("__p"))
+    numbered = placed.join(starts, same)
+    return numbered.select(*df.columns, F.floor((F.col("__at") + F.col("__start")) / n).cast("int").alias("batch_no"))
 
 
 def carry_latest(df: DataFrame, key: str, order_by: list[Column], col: str, name: str) -> DataFrame:

@@ -193,6 +193,18 @@ def test_inject_by_number(spark):
     assert linkage.inject_duplicates(df, plan={})[0].count() == 150
 
 
+def test_batches_of_large_groups(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(("a", "a", "a", None, "b")), rng.randrange(50)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, g string, t int").repartition(7)
+    got = windows.with_batch_no(df, ["g"], [F.asc("t"), F.asc("id")], 30).collect()
+    want = {}
+    for g in ("a", "b", None):
+        own = sorted((t, i) for i, x, t in rows if x == g)
+        want |= {i: k // 30 for k, (_, i) in enumerate(own)}
+    assert {r["id"]: r["batch_no"] for r in got} == want
+
+
 def test_components_of_a_star_and_a_chain(spark, monkeypatch):
     star = spark.range(1, 100_001).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("a"))
     chain = spark.range(200_000, 200_040).select((F.col("id") + 1).alias("b"), F.col("id").alias("a"))
