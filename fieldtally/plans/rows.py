@@ -730,6 +730,11 @@ def s29_jaro(spark, d):
     return j.select("c_custkey", "s_suppkey", F.round(names.jaro_similarity("c_name", "s_name"), 9).alias("jaro"))
 
 
+@query("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'PLTN' WHEN 'AUTOMOBILE' THEN 'ATMP' WHEN 'MACHINERY' THEN 'MXNR,MKNR' WHEN 'HOUSEHOLD' THEN 'HSHL' WHEN 'FURNITURE' THEN 'FRNT' END AS keys FROM customer")
+def s30_double_metaphone(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.array_join(names.sound_keys("c_mktsegment"), ",").alias("keys"))
+
+
 @query("SELECT p_partkey, 1.0 AS swapped, 1.0 AS subset FROM part")
 def s31_token_set(spark, d):
     w = F.split("p_name", " ")

@@ -131,6 +131,36 @@ def test_hull_and_polygon(spark):
     assert [(r["id"], r["boundary_code"]) for r in inside.collect()] == [(1, "a")]
 
 
+def test_settlements_equal_brute_force(spark):
+    rng = random.Random(4)
+    pts = [(i, 10 + rng.random() / 100, 20 + rng.random() / 100) for i in range(160)]
+    metres = lambda a, b: 111_194.9 * math.hypot(a[1] - b[1], (a[2] - b[2]) * math.cos(math.radians(10)))
+    near = {a[0]: [b[0] for b in pts if metres(a, b) <= 90] for a in pts}
+    core = {i for i, n in near.items() if len(n) >= 4}
+    label = {i: i for i in core}
+    changed = True
+    while changed:
+        changed = False
+        for i in core:
+            least = min(label[j] for j in near[i] if j in core)
+            changed |= least < label[i]
+            label[i] = min(label[i], least)
+    label |= {i: min(label[j] for j in near[i] if j in core) for i in near if i not in core and set(near[i]) & core}
+    got = geo.settlement_clusters(spark.createDataFrame(pts, "id long, lat double, lon double"), 90, 4)
+    assert {r["id"]: r["cluster"] for r in got.collect()} == label and len(set(label.values())) > 1
+
+
+def test_hulls_equal_brute_force(spark):
+    rng = random.Random(6)
+    pts = [(g, rng.gauss(0, 1), rng.gauss(0, 1)) for g in "ab" for _ in range(60)]
+    for r in geo.boundary_hulls(spark.createDataFrame(pts, "boundary_code string, lon double, lat double")).collect():
+        own = [(x, y) for g, x, y in pts if g == r["boundary_code"]]
+        turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+        # A point is a corner if it ends an edge that has all points on one side.
+        want = {a for a, b in itertools.permutations(own, 2) if all(turn(a, b, c) >= 0 for c in own)}
+        assert {(p["lon"], p["lat"]) for p in r["ring"]} == want
+
+
 PEOPLE = "id string, given_name string, family_name string, father_name string, date_of_birth string, mobile_number string, gender string, latitude double, longitude double"
 
 
