@@ -106,6 +106,12 @@ def anti_join(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 FEW_ROWS, SALTS = 500_000, 16
 
 
+def hint_few(table: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """``table`` (written before, it is counted) to be broadcast if it has at most ``most``
+    rows: its keys may be hot in what it is joined with."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def few_join(rows: DataFrame, few: DataFrame, on: list[str], spread: str, most: int = FEW_ROWS) -> DataFrame:
     """Inner join with ``few``, which is counted first (write it before, it is read
     twice). Its keys may be hot in ``rows``, whose column ``spread`` tells apart rows of

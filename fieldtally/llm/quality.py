@@ -55,7 +55,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import FEW_ROWS, anti_join, cut, semi_join
+from fieldtally.llm.common import anti_join, cut, hint_few, semi_join
 from fieldtally.llm.wordhash import WORD_BITS, word_keys
 
 QUANTILE = 0.999
@@ -438,19 +438,14 @@ def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     every = cut(costs(docs, ids.where(~held_out()), id_col, text_col, lang_col))
     mean_of = (F.sum("cost") / F.sum(F.col("n_words") + 1)).alias("mean")
     apart = every.join(ids.where(held_out()), "id", "left_semi").where("cost IS NOT NULL")
-    mean = few_of_each(cut(apart.groupBy("lang").agg(mean_of)))
+    # A language may hold most of the rows.
+    mean = hint_few(cut(apart.groupBy("lang").agg(mean_of)))
     nats = (F.col("cost") + PRIOR_WORDS * F.col("mean")) / (F.col("n_words") + 1 + PRIOR_WORDS)
     limits = apart.join(mean, "lang").groupBy("lang").agg(F.first("mean").alias("mean"), F.percentile_approx(nats, QUANTILE, 10_000).alias("threshold"))
-    limits = few_of_each(cut(limits))
+    limits = hint_few(cut(limits))
     return every.join(limits, "lang", "left").select("id", "lang", "content", "n_words", nats.alias("nats"), "threshold")
 
 
-def few_of_each(by_language: DataFrame) -> DataFrame:
-    """A table with a row per language, to be broadcast if it is counted to be small: a
-    language may hold most of the rows it is joined with."""
-    return F.broadcast(by_language) if by_language.count() <= FEW_ROWS else by_language
-
-
 def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the rejected ones. ``trusted``: column ``id``.
 

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import cut
+from fieldtally.llm.common import cut, hint_few
 
 #: Words whose presence in a host marks an example to block: fixed values.
 SEED_BLOCK = (
@@ -46,6 +46,7 @@ SEED_BLOCK = (
 COMMON_LABELS = ("www", "m", "blog")
 MAX_WORD = 63
 PRIOR = 10.0  # tokens of the overall shares that each class gets besides its own
+FEW_PAGES = 50_000  # different pages whose scores are broadcast
 SEED_COUNT = 1000  # what the word counts give a seed word at least
 
 
@@ -177,10 +178,11 @@ def judge_urls(urls: DataFrame, rules: list[tuple[str, str]], corpus: DataFrame,
     distinct = cut(distinct.withColumn("words", F.coalesce("words", F.array().cast("array<string>"))))
     tokens = F.concat("words", "ptokens")
     weights, odds = naive_bayes(distinct.select(tokens.alias("tokens"), block.alias("block"), "n"))
-    scored = distinct.select("host", "ptokens", F.explode_outer(tokens).alias("token")).join(weights, "token", "left")
+    # Common words are hot keys of this join, common hosts of the last one.
+    scored = distinct.select("host", "ptokens", F.explode_outer(tokens).alias("token")).join(hint_few(weights), "token", "left")
     scored = scored.groupBy("host", "ptokens").agg((F.coalesce(F.sum("weight"), F.lit(0.0)) + odds).alias("score"))
     scored = scored.join(words, "host", "left").select("host", "ptokens", "words", "score")
-    out = rows.withColumn("ptokens", path_tokens).join(scored, ["host", "ptokens"], "left")
+    out = rows.withColumn("ptokens", path_tokens).join(hint_few(cut(scored), FEW_PAGES), ["host", "ptokens"], "left")
     guess = F.when(F.coalesce("score", F.lit(-1.0)) > 0, "block").otherwise("allow")
     return out.select(
         F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", guess).alias("verdict"),
