@@ -23,7 +23,7 @@ def _folder(spark, name: str) -> str:
 # ------------------------------------------------ sources, sinks, uploads (A)
 
 
-@query("SELECT 'p' || c_custkey AS individual_client_ref, c_name AS given_name, c_acctbal AS latitude, c_nationkey + 0.5 AS longitude, 'N' || c_nationkey AS boundary_code FROM customer")
+@query("SELECT 'p' || c_custkey AS individual_client_ref, c_name AS given_name, c_acctbal AS latitude, CAST(c_nationkey + 0.5 AS DOUBLE) AS longitude, 'N' || c_nationkey AS boundary_code FROM customer")
 def a1_read_individuals(spark, d):
     cols = [x.split()[0] for x in tables.SCHEMAS["individuals_flat"].split(", ")]
     c = table(spark, d, "customer").selectExpr("concat('p', c_custkey) AS individual_client_ref", "c_name AS given_name", "c_acctbal AS latitude", "c_nationkey + 0.5 AS longitude", "concat('N', c_nationkey) AS boundary_code")
@@ -161,9 +161,9 @@ def b19_merge_series(spark, d):
     return dashboards.pivot_series(counts, "x", "series", "value", ["F", "O"], fill=0)
 
 
-@query("SELECT p_brand AS x, coalesce(sum(p_retailprice) FILTER (WHERE p_size = 1), 0) AS s1, coalesce(sum(p_retailprice) FILTER (WHERE p_size = 2), 0) AS s2 FROM part GROUP BY 1")
+@query("SELECT p_brand AS x, round(coalesce(sum(p_retailprice) FILTER (WHERE p_size = 1), 0), 2) AS s1, round(coalesce(sum(p_retailprice) FILTER (WHERE p_size = 2), 0), 2) AS s2 FROM part GROUP BY 1")
 def b20_fill_missing(spark, d):
-    p = table(spark, d, "part").groupBy("p_brand", F.concat(F.lit("s"), "p_size").alias("series")).agg(F.sum("p_retailprice").alias("value"))
+    p = table(spark, d, "part").groupBy("p_brand", F.concat(F.lit("s"), "p_size").alias("series")).agg(F.round(F.sum("p_retailprice"), 2).alias("value"))
     return dashboards.pivot_series(p.withColumnRenamed("p_brand", "x"), "x", "series", "value", ["s1", "s2"])
 
 
@@ -389,7 +389,7 @@ def d24_members(spark, d):
     return attendance.register_members(a, _people(spark, d), F.lit("1997-01-01").cast("timestamp")).select("o_orderkey", "given_name", "skill")
 
 
-@query("SELECT s_suppkey AS code, CASE WHEN s_suppkey % 4 = 0 THEN 99.0 ELSE floor(s_nationkey * 2.0 + 0.5) END AS nets FROM supplier")
+@query("SELECT s_suppkey AS code, CAST(CASE WHEN s_suppkey % 4 = 0 THEN 99.0 ELSE floor(s_nationkey * 2.0 + 0.5) END AS DOUBLE) AS nets FROM supplier")
 def d26_user_edits(spark, d):
     s = table(spark, d, "supplier").selectExpr("s_suppkey AS code", "s_nationkey AS homes")
     edits = s.where("code % 4 = 0").select("code", F.lit("nets").alias("resource"), F.lit(99.0).alias("value"))
@@ -455,10 +455,11 @@ def _truth(spark, d):
     return truth, hit.unionByName(wrong)
 
 
-@query(f"WITH {TRUTH}, c AS (SELECT (SELECT count(*) FROM truth) AS positives, (SELECT count(*) FROM found) AS predicted, (SELECT count(*) FROM truth JOIN found USING (a, b)) AS tp) SELECT *, tp / predicted AS precision, tp / positives AS recall, 2.0 * tp / (positives + predicted) AS f1 FROM c")
+@query(f"WITH {TRUTH}, c AS (SELECT (SELECT count(*) FROM truth) AS positives, (SELECT count(*) FROM found) AS predicted, (SELECT count(*) FROM truth JOIN found USING (a, b)) AS tp) SELECT *, round(tp / predicted, 6) AS precision, round(tp / positives, 6) AS recall, round(2.0 * tp / (positives + predicted), 6) AS f1 FROM c")
 def e33_evaluate(spark, d):
     truth, found = _truth(spark, d)
-    return linkage.evaluate_duplicates(found, truth)
+    out = linkage.evaluate_duplicates(found, truth)
+    return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
 @query("SELECT o_orderpriority AS type, CASE WHEN o_orderstatus = 'F' THEN 'EASY' ELSE 'HARD' END AS difficulty, count(*) AS n FROM orders GROUP BY 1, 2")
@@ -634,7 +635,7 @@ def s7_contains(spark, d):
     return table(spark, d, "part").select("p_partkey", exprs.coerce_compare(F.col("p_name"), "contains", F.lit("RED")).alias("in_text"), exprs.list_contains(items, value).alias("in_list"), exprs.list_contains(items, value, negate=True).alias("not_in_list"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 5 <> 0 THEN CAST(p_partkey AS DOUBLE) / (p_size % 5) END AS a, p_size * 2.0 AS b, p_size + 2.0 AS c, p_size - 2.0 AS e, pow(p_size, 2.0) AS f FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 5 <> 0 THEN CAST(p_partkey AS DOUBLE) / (p_size % 5) END AS a, CAST(p_size * 2.0 AS DOUBLE) AS b, CAST(p_size + 2.0 AS DOUBLE) AS c, CAST(p_size - 2.0 AS DOUBLE) AS e, pow(p_size, 2.0) AS f FROM part")
 def s8_rule_operators(spark, d):
     s, ops = F.col("p_size").cast("double"), exprs.RULE_OPERATORS
     two = F.lit(2.0)
@@ -660,7 +661,7 @@ def s12_text_and_number(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.upper("o_orderpriority").alias("up"), F.lower("o_orderpriority").alias("low"), exprs.to_number(t).alias("num"), exprs.to_boolean(t).alias("yes"))
 
 
-@query("SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE -1 END AS INTEGER) AS whole, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey + 0.5 ELSE 9.0 END AS real_, o_orderkey % 2 = 1 AS strict FROM orders")
+@query("SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE -1 END AS INTEGER) AS whole, CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_custkey + 0.5 ELSE 9.0 END AS DOUBLE) AS real_, o_orderkey % 2 = 1 AS strict FROM orders")
 def s13_casts(spark, d):
     even = F.col("o_orderkey") % 2 == 0
     whole, real = F.when(even, F.col("o_custkey").cast("string")).otherwise("none"), F.when(even, F.concat("o_custkey", F.lit(".5"))).otherwise("none")
@@ -735,7 +736,7 @@ def s30_double_metaphone(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.array_join(names.sound_keys("c_mktsegment"), ",").alias("keys"))
 
 
-@query("SELECT p_partkey, 1.0 AS swapped, 1.0 AS subset FROM part")
+@query("SELECT p_partkey, CAST(1 AS DOUBLE) AS swapped, CAST(1 AS DOUBLE) AS subset FROM part")
 def s31_token_set(spark, d):
     w = F.split("p_name", " ")
     back = F.array_join(F.reverse(w), " ")
@@ -824,10 +825,10 @@ def p2_inject_duplicates(spark, d):
     return registered(spark, d)[1]
 
 
-@query("SELECT o_orderpriority AS type, count(*) AS positives, count(*) FILTER (WHERE o_orderkey % 3 <> 0) AS found, count(*) FILTER (WHERE o_orderkey % 3 <> 0) / count(*) AS recall FROM orders GROUP BY 1")
+@query("SELECT o_orderpriority AS type, count(*) AS positives, count(*) FILTER (WHERE o_orderkey % 3 <> 0) AS found, round(count(*) FILTER (WHERE o_orderkey % 3 <> 0) / count(*), 6) AS recall FROM orders GROUP BY 1")
 def p3_evaluate_by_type(spark, d):
     truth, found = _truth(spark, d)
-    return linkage.evaluate_duplicates(found, truth, ["type"])
+    return linkage.evaluate_duplicates(found, truth, ["type"]).withColumn("recall", F.round("recall", 6))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' OR month(o_orderdate) <= 4 THEN 1 WHEN month(o_orderdate) = 5 THEN 2 ELSE 3 END AS cycle FROM orders")
@@ -836,7 +837,7 @@ def p5_assign_cycle(spark, d):
     return linkage.assign_cycle(o).select("o_orderkey", "cycle")
 
 
-@query("WITH g AS (SELECT 'N' || c_nationkey AS boundary_code, count(*) * 1.0 AS expected, count(*) FILTER (WHERE c_acctbal > 0) * 1.0 AS registered FROM customer GROUP BY 1) SELECT CASE WHEN (expected - registered) / expected >= 0.25 THEN 'red' WHEN (expected - registered) / expected >= 0.1 THEN 'yellow' ELSE 'green' END AS colour, count(*) AS areas, sum(expected) AS people FROM g GROUP BY 1")
+@query("WITH g AS (SELECT 'N' || c_nationkey AS boundary_code, count(*) * 1.0 AS expected, count(*) FILTER (WHERE c_acctbal > 0) * 1.0 AS registered FROM customer GROUP BY 1) SELECT CASE WHEN (expected - registered) / expected >= 0.25 THEN 'red' WHEN (expected - registered) / expected >= 0.1 THEN 'yellow' ELSE 'green' END AS colour, count(*) AS areas, CAST(sum(expected) AS DOUBLE) AS people FROM g GROUP BY 1")
 def p10_gap_dashboard(spark, d):
     area = F.concat(F.lit("N"), "c_nationkey").alias("boundary_code")
     e = table(spark, d, "customer").groupBy(area).agg(F.count("*").cast("double").alias("expected"))
@@ -855,7 +856,7 @@ def p15_attendance_summary(spark, d):
     return out["members"].groupBy("register_id").agg(F.count("*").alias("members"))
 
 
-@query(f"WITH {YEARS} SELECT c.header, 'orders' AS plot, c.value * 1.0 AS shown, CASE WHEN p.value IS NULL THEN NULL WHEN c.value = p.value THEN 0 ELSE floor((c.value - p.value) * 1.0 / p.value * 100 + 0.5) END::BIGINT AS insight FROM yearly c LEFT JOIN yearly p ON p.header = c.header AND p.y = 1995 WHERE c.y = 1996")
+@query(f"WITH {YEARS} SELECT c.header, 'orders' AS plot, CAST(c.value AS DOUBLE) AS shown, CASE WHEN p.value IS NULL THEN NULL WHEN c.value = p.value THEN 0 ELSE floor((c.value - p.value) * 1.0 / p.value * 100 + 0.5) END::BIGINT AS insight FROM yearly c LEFT JOIN yearly p ON p.header = c.header AND p.y = 1995 WHERE c.y = 1996")
 def p17_kpi_table(spark, d):
     y = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("header"), F.year("o_orderdate").alias("y")).agg(F.count("*").alias("value"))
     of = lambda n: y.where(F.col("y") == n).select("header", F.lit("orders").alias("plot"), "value")
