@@ -63,7 +63,7 @@ HELD_OUT = 5  # one in so many trusted documents
 PRIOR_WORDS = 10
 RING = 1  # the code of the mark
 REPEATS = (2, 3, 4)  # codes of a second word that equals the one, two, three or more before it
-BLOCK_PAIRS, BLOCK_DOCS = 4_000_000, 1 << 14
+BLOCK_PAIRS, BLOCK_DOCS = 3_000_000, 1 << 14
 SHARD_BYTES = 48 << 20  # of text
 BROADCAST_IDS = 2_000_000
 WORD_MASK = (1 << WORD_BITS) - 1
@@ -157,9 +157,10 @@ def _blobs(first: np.ndarray, second: np.ndarray, doc: np.ndarray, shards: int)
     """shard, and of its pairs in order: first words; places of first words with second
     words; numbers of documents (repeated as often as they hold the pair); documents."""
     words, key = _numbered(first)
-    key = (key << WORD_BITS) | second
+    key <<= WORD_BITS
+    key |= second
     order = np.argsort(key, kind="stable")
-    key, doc = key[order], doc[order].astype(np.int64)
+    key, doc = key[order], doc[order].astype(np.int32)
     del order
     new = np.append(True, key[1:] != key[:-1])
     start = np.flatnonzero(new)
@@ -208,8 +209,8 @@ def pair_rows(docs: DataFrame, scored: bool, shards: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal pairs, block
             for lang in list(held):
-                first, second, doc = (np.concatenate(x) for x in zip(*held.pop(lang)))
                 learnt = np.array([x[3] for x in known[lang]])
+                first, second, doc = ring(*(np.concatenate(x) for x in zip(*held.pop(lang))), len(learnt))
                 flags = squeeze(np.packbits(learnt)) if learnt.any() else None
                 for i in range(0, len(first), 2 * BLOCK_PAIRS):  # one long text may hold more than a block
                     part = slice(i, i + 2 * BLOCK_PAIRS)
@@ -242,10 +243,9 @@ def pair_rows(docs: DataFrame, scored: bool, shards: int) -> DataFrame:
                         at = len(rows)
                         size = np.array([begin[i - lo + 1] - begin[i - lo] for i in which])
                         take = np.concatenate([np.arange(begin[i - lo], begin[i - lo + 1]) for i in which])
-                        first, second, owner = ring(keys[take], np.repeat(np.arange(len(which)), size), len(which))
-                        held.setdefault(lang, []).append((first, second, owner + at))
+                        held.setdefault(lang, []).append((keys[take], np.repeat(np.arange(at, at + len(which), dtype=np.int32), size)))
                         rows += [(ids[i], contents[i], int(m), learnt[i]) for i, m in zip(which, size)]
-                        pairs += len(first)
+                        pairs += len(take) + len(which)
                     base = to
                     if sum(map(len, known.values())) >= BLOCK_DOCS or pairs >= BLOCK_PAIRS:
                         yield from flush()
