@@ -62,9 +62,8 @@ def search_block(q, q_ids, x, ids, pivots, table, k: int, whole: bool = False):
     out = []
     norms = (x**2).sum(1)
     wide = whole and len(x) and len(q) and float(norms.max()) * float((q**2).sum(1).max()) >= 2.0**104
-    as_whole = x.astype(object) if wide else None
-    if wide:
-        as_whole = np.vectorize(int, otypes=[object])(as_whole)
+    as_whole = np.vectorize(int, otypes=[object])(x) if wide else None
+    repeated = len(np.unique(ids)) < len(ids)
     to_pivots = distances(q, pivots)
     for i, own in enumerate(q):
         bound = np.abs(table - to_pivots[i]).max(1)
@@ -82,8 +81,10 @@ def search_block(q, q_ids, x, ids, pivots, table, k: int, whole: bool = False):
             new = as_whole[part] @ np.array([int(c) for c in own], object) if wide else x[part] @ own
             best, scores = np.concatenate([best, part]), np.concatenate([scores, new])
             keep = np.array(sorted(range(len(best)), key=lambda j: (-scores[j], ids[best[j]])), int) if wide else np.lexsort((ids[best], -scores))
-            _, first = np.unique(ids[best[keep]], return_index=True)
-            keep = keep[np.sort(first)][:k]
+            if repeated:
+                _, first = np.unique(ids[best[keep]], return_index=True)
+                keep = keep[np.sort(first)]
+            keep = keep[:k]
             best, scores = best[keep], scores[keep]
             at, step = at + step, 2 * step
         out += [(i, c, s) for c, s in zip(best, scores)]
