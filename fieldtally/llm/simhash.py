@@ -263,10 +263,10 @@ def forest(key: np.ndarray, fp: np.ndarray, filed: np.ndarray, probing: np.ndarr
     left, right = [], []
     todo = np.flatnonzero(end - np.arange(len(key)) > 1)
     at = 0
-    # Row i meets rows i + 1 .. end of its key, some two million pairs at a time.
+    # Row i meets rows i + 1 .. end of its key, some half a million pairs at a time.
     reach = np.cumsum(end[todo] - todo - 1)
     while at < len(todo):
-        to = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + 2_000_000)))
+        to = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + 500_000)))
         rows = todo[at:to]
         many = end[rows] - rows - 1
         i = np.repeat(rows, many)
