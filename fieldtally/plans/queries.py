@@ -573,6 +573,34 @@ def p4_duplicate_clusters(spark, d):
     return linkage.duplicate_clusters(linkage.find_duplicates(people(spark, d)))
 
 
+#: Customers in chains of seven with a score between neighbours; every fifth chain is linked
+#: by hand with the next one, some links are decided twice, and in every third chain two
+#: persons are kept apart.
+CHAIN_SCORE = "0.85 + c_custkey * 7919 % 100 / 1000.0"
+DECISIONS = """SELECT c_custkey AS id1, c_custkey + 1 AS id2, 'LINK' AS decision, c_custkey AS decided_at FROM {c} WHERE c_custkey % 35 = 6 AND c_custkey < (SELECT max(c_custkey) FROM {c})
+UNION ALL SELECT c_custkey + 1, c_custkey, 'OVERRIDE', 1 FROM {c} WHERE c_custkey % 28 = 9 AND c_custkey < (SELECT max(c_custkey) FROM {c})
+UNION ALL SELECT c_custkey, c_custkey + 1, 'LINK', 2 FROM {c} WHERE c_custkey % 28 = 9 AND c_custkey < (SELECT max(c_custkey) FROM {c})
+UNION ALL SELECT c_custkey + 4, c_custkey, 'OVERRIDE', 3 FROM {c} WHERE c_custkey % 21 = 1"""
+
+
+@query(f"""WITH said AS ({DECISIONS.format(c="customer")}), links AS (
+  SELECT c_custkey AS a, {CHAIN_SCORE} AS score, d.decided_at AS at FROM customer LEFT JOIN (SELECT id1, decided_at FROM said WHERE decision = 'LINK') d ON d.id1 = c_custkey
+  WHERE (c_custkey % 7 <> 6 OR d.decided_at IS NOT NULL) AND c_custkey < (SELECT max(c_custkey) FROM customer)
+), weakest AS (
+  SELECT a FROM (SELECT a, row_number() OVER (PARTITION BY u ORDER BY at IS NOT NULL, at, score, a) AS r
+    FROM (SELECT id2 AS u, id1 AS v FROM said WHERE decided_at = 3 AND id1 <= (SELECT max(c_custkey) FROM customer)) JOIN links ON a >= u AND a < v) WHERE r = 1
+), kept AS (SELECT a FROM links WHERE a NOT IN (SELECT a FROM weakest)
+), nodes AS (SELECT a AS node FROM links UNION SELECT a + 1 FROM links
+), firsts AS (SELECT node, CASE WHEN node - 1 IN (SELECT a FROM kept) THEN NULL ELSE node END AS first FROM nodes)
+SELECT node, max(first) OVER (ORDER BY node) AS component FROM firsts""")
+def p4_decided_clusters(spark, d):
+    """Clusters under a log of decisions, on chains, where SQL can tell them."""
+    c = table(spark, d, "customer")
+    last = c.agg(F.max("c_custkey")).first()[0]
+    pairs = c.where(f"c_custkey % 7 <> 6 AND c_custkey < {last}").selectExpr("c_custkey AS id1", "c_custkey + 1 AS id2", f"CAST({CHAIN_SCORE} AS DOUBLE) AS score", "true AS is_duplicate")
+    return linkage.duplicate_clusters(pairs, spark.sql(DECISIONS, c=c))
+
+
 @query()
 def p6_boundary_hulls(spark, d):
     return geo.boundary_hulls(v.points(spark, d))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,13 +59,46 @@ def j2_live_balance(spark, d):
 
 @query("SELECT event_id, CAST((user_id % 90) * 0.5 AS DOUBLE) AS latitude FROM events WHERE event_type <> 'error'")
 def j3_location_capture(spark, d):
+    """Logs that grow between batches, and over a restart of the query."""
     kept = _Kept(spark, "locations")
     line = F.expr("if(event_type = 'error', 'noise', concat('Latitude: ', (user_id % 90) * 0.5, ', Longitude: 15.5, Accuracy: 3.0, isSync: false at ', event_id))")
-    table(spark, d, "events").select(line.alias("value")).write.text(f"{kept.folder}/in")
-    _finish(jobs.stream_locations(spark, f"{kept.folder}/in").writeStream.foreachBatch(kept).option("checkpointLocation", f"{kept.folder}/state").start())
+    table(spark, d, "events").select(line.alias("value"), (F.col("event_id") % 3).alias("part")).write.partitionBy("part").text(f"{kept.folder}/parts")
+    for part in range(3):
+        _append(f"{kept.folder}/parts/part={part}", f"{kept.folder}/in")
+        _finish(jobs.stream_locations(spark, f"{kept.folder}/in").writeStream.foreachBatch(kept).option("checkpointLocation", f"{kept.folder}/state").start())
     return spark.read.parquet(f"{kept.folder}/out").select(F.unix_millis("ts").alias("event_id"), "latitude")
 
 
+def _append(parts: str, folder: str) -> None:
+    """Appends each file of ``parts`` to a log in ``folder``, in pieces."""
+    store, source = fs.FileSystem.from_uri(parts)
+    _, target = fs.FileSystem.from_uri(folder)
+    store.create_dir(target)
+    for i, f in enumerate(sorted(x.path for x in store.get_file_info(fs.FileSelector(source)) if x.base_name.startswith("part-"))):
+        with store.open_input_stream(f) as read, store.open_append_stream(f"{target}/device-{i}.log") as write:
+            while chunk := read.read(1 << 20):
+                write.write(chunk)
+
+
+#: Events in five arrivals; each seventeenth one is three days older than it says.
+ARRIVALS = "SELECT event_id, ts - (CASE WHEN event_id % 17 = 0 THEN INTERVAL '3' DAY ELSE INTERVAL '0' DAY END) AS t, CAST(floor(event_id * 5 / (SELECT max(event_id) + 1 FROM {events})) AS INT) AS arrival FROM {events}"
+
+
+@query(f"""WITH a AS ({ARRIVALS.format(events="events")}), m AS (SELECT arrival, max(max(t)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL '2' DAY AS mark FROM a GROUP BY arrival)
+SELECT event_id, arrival, coalesce(t < mark, false) AS late FROM a JOIN m USING (arrival)""")
+def j7_late_table(spark, d):
+    """Rows in time and those of the late table are all rows."""
+    kept = _Kept(spark, "late")
+    rows = spark.sql(ARRIVALS, events=table(spark, d, "events"))
+    source = spark.readStream.schema(rows.schema).parquet(f"{kept.folder}/in")
+    rows.limit(0).write.parquet(f"{kept.folder}/in")
+    for arrival in range(5):
+        rows.where(F.col("arrival") == arrival).write.mode("append").parquet(f"{kept.folder}/in")
+        _finish(jobs.stream_on_time(source, "t", f"{kept.folder}/out", f"{kept.folder}/state"))
+    both = [jobs.rows_on_time(spark, f"{kept.folder}/out", late).select("event_id", "arrival", F.lit(late).alias("late")) for late in (False, True)]
+    return both[0].unionByName(both[1])
+
+
 @query("SELECT 'N' || c_nationkey AS boundary_code, 100.0 * c_nationkey AS expected, CAST(sum(c_custkey % 9) AS DOUBLE) AS registered, 100.0 * c_nationkey - sum(c_custkey % 9) AS gap FROM customer WHERE c_nationkey < 20 GROUP BY c_nationkey")
 def j4_live_gap(spark, d):
     kept = _Kept(spark, "gap")
