@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.operators.filters import active_members
+from fieldtally.operators.intervals import interval_join
 
 
 def register_members(attendees: DataFrame, people: DataFrame, as_of: Column) -> DataFrame:
@@ -60,6 +61,15 @@ def overlapping(periods: DataFrame, start, end, ps: str = "period_start", pe: st
     return periods.where(~((F.lit(end) < F.col(ps)) | (F.lit(start) > F.col(pe))))
 
 
+def overlapping_ranges(periods: DataFrame, ranges: DataFrame, on: list[str] | None = None, p: tuple[str, str] = ("period_start", "period_end"), r: tuple[str, str] = ("start", "end")) -> DataFrame:
+    """Every period with every range of a table that it overlaps (D27), both ends included.
+    Ends are dates or times; other columns of both have different names."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    a = periods.withColumns({"p_lo": micros(p[0]), "p_hi": micros(p[1])})
+    b = ranges.withColumns({"r_lo": micros(r[0]), "r_hi": micros(r[1])})
+    return interval_join(a, b, ("p_lo", "p_hi"), ("r_lo", "r_hi"), on).drop("p_lo", "p_hi", "r_lo", "r_hi")
+
+
 def range_lookup(df: DataFrame, ranges: DataFrame, col: str, value: str) -> DataFrame:
     """The range table's value, clamped at both ends (D28). ``ranges``: lo, hi, value;
     its rows become one array, so each row of ``df`` looks it up in place. The table

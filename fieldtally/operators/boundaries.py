@@ -7,23 +7,30 @@ from pyspark.sql import functions as F
 
 from fieldtally.operators.graph import shared_checkpoint
 
+#: Nodes with their pieces of path that are sent to all tasks at most.
+FEW_ABOVE = 100_000
+
 
 def tree_paths(nodes: DataFrame, code: str = "code", parent: str = "parent") -> DataFrame:
     """code, path (from the root, the node itself last), level (0 at a root).
 
-    One round per level of the tree, whatever its size, until the frontier is empty:
-    it joins its children. Nodes on a cycle have no root above them and are left out."""
-    n = nodes.select(F.col(code).alias("code"), F.col(parent).alias("parent")).dropDuplicates(["code"])
-    level = n.where("parent IS NULL").select("code", F.array("code").alias("path"))
-    done = None
-    while True:
-        level = shared_checkpoint(level)
-        if level.isEmpty():
-            break
-        done = level if done is None else done.unionByName(level)
-        above = level.select(F.col("code").alias("parent"), F.col("path").alias("above"))
-        level = n.join(above, "parent").select("code", F.concat("above", F.array("code")).alias("path"))
-    done = done if done is not None else level
+    Every node holds a piece of its path and the node above that piece; each round puts
+    the piece of the node above in front, so that rounds grow with the logarithm of the
+    depth. Nodes above others are few beside their children; they are counted, and sent
+    to all tasks while they are few, since all children of one ask for the same row. Nodes
+    on or below a cycle, or below a node that is not there, have no root and are left out."""
+    n = nodes.select(F.col(code).alias("code"), F.col(parent).alias("up")).dropDuplicates(["code"])
+    rest = shared_checkpoint(n.withColumn("path", F.array("code")).where("up IS NULL OR up <> code"))
+    done = rest.where("up IS NULL")
+    rest = rest.where("up IS NOT NULL")
+    while not rest.isEmpty():
+        asked = rest.select(F.col("up").alias("code")).distinct()
+        above = shared_checkpoint(done.unionByName(rest).join(asked, "code", "left_semi").select(F.col("code").alias("up"), F.col("up").alias("next"), F.col("path").alias("above")))
+        above = F.broadcast(above) if above.count() <= FEW_ABOVE else above
+        longer = rest.join(above, "up").select("code", F.col("next").alias("up"), F.concat("above", "path").alias("path"))
+        # A path that holds the node above it goes round in a cycle.
+        longer = shared_checkpoint(longer.where("up IS NULL OR NOT array_contains(path, up)"))
+        done, rest = done.unionByName(longer.where("up IS NULL")), longer.where("up IS NOT NULL")
     return done.select("code", "path", (F.size("path") - 1).alias("level"))
 
 

@@ -9,10 +9,12 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldtally.operators.graph import shared_checkpoint
 from fieldtally.operators.windows import by_rank, first_per_key, with_batch_no
+from fieldtally.sources.stored import exists
 
 CREATES, CHANGES = ("create", "single_create"), ("update", "delete", "single_update")
 RETRY_LIMIT = 3
@@ -78,7 +80,18 @@ def upsert(target: DataFrame, updates: DataFrame, key: list[str], version: str)
     return first_per_key(both, key, [F.desc(version), F.desc("__s")]).drop("__s")
 
 
-def apply_changes(table: DataFrame, log: DataFrame, key: str = "client_id", version: str = "row_version", time: str = "modified_at", cascade: dict | None = None) -> DataFrame:
+def upsert_into(spark: SparkSession, path: str, updates: DataFrame, key: list[str], version: str, buckets: int = 64) -> None:
+    """``upsert`` into a table that is kept in ``path``, in a folder per bucket of the key
+    (A9). Only folders that the updates touch are read and written anew; files of others
+    stay. Updates that come again change nothing, as the newest version is there."""
+    new = shared_checkpoint(updates.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")))
+    touched = sorted(r[0] for r in new.select("bucket").distinct().collect())  # numbers below ``buckets``
+    old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched)) if exists(spark, path) else new.limit(0)
+    merged = shared_checkpoint(upsert(old, new, key, version))  # written before its folders are replaced
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def apply_changes(table: DataFrame, log: DataFrame, key: str = "client_id", version: str = "row_version", time: str = "modified_at") -> DataFrame:
     """The table after creates, updates and soft deletes (L7): the latest entry per key
     by version, then time; a delete adds one to the version."""
     last = first_per_key(log, [key], [F.desc(version), F.desc(time)])
@@ -87,10 +100,35 @@ def apply_changes(table: DataFrame, log: DataFrame, key: str = "client_id", vers
     return upsert(table, rows.select(*table.columns), [key], version)
 
 
-def cascade_delete(child: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
-    """Children of deleted parents become deleted."""
-    gone = parents.where("is_deleted").select(F.col(parent_key).alias("__p")).distinct()
-    return child.join(gone, child[child_key] == gone["__p"], "left").withColumn("is_deleted", F.coalesce(F.col("is_deleted"), F.lit(False)) | F.col("__p").isNotNull()).drop("__p")
+def cascade_delete(child: DataFrame, parents: DataFrame, child_key: str, parent_key: str, version: str | None = None, time: str | None = None) -> DataFrame:
+    """Children of deleted parents become deleted (L7). With ``version``, theirs goes up by
+    one as they do; with ``time``, theirs becomes the parent's."""
+    when = F.max(time) if time else F.lit(None)
+    gone = parents.where("is_deleted").groupBy(F.col(parent_key).alias("__p")).agg(when.alias("__t"))
+    was = F.coalesce(F.col("is_deleted"), F.lit(False))
+    now = F.col("__p").isNotNull() & ~was
+    changed = {"is_deleted": was | now}
+    if version:
+        changed[version] = F.col(version) + now.cast("int")
+    if time:
+        changed[time] = F.when(now, F.greatest(time, "__t")).otherwise(F.col(time))
+    return child.join(gone, child[child_key] == gone["__p"], "left").withColumns(changed).drop("__p", "__t")
+
+
+def apply_to_relations(tables: dict[str, DataFrame], log: DataFrame, relations: list[tuple[str, str, str, str]], key: str = "client_id", version: str = "row_version", time: str = "modified_at") -> dict[str, DataFrame]:
+    """All tables after a log whose column ``entity`` names them (L7): each table's own
+    changes, then deletes handed down the ``relations`` (parent, its key, child, its key
+    to the parent), which may be in any order but form no cycle."""
+    out = {name: apply_changes(t, log.where(F.col("entity") == name).drop("entity"), key, version, time) for name, t in tables.items()}
+    left = list(relations)
+    while left:
+        ready = [r for r in left if not any(other[2] == r[0] for other in left)]
+        if not ready:
+            raise ValueError("relations form a cycle")
+        for parent, parent_key, child, child_key in ready:
+            out[child] = cascade_delete(out[child], out[parent], child_key, parent_key, version, time)
+        left = [r for r in left if r not in ready]
+    return out
 
 
 def insert_new(target: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.functions.exprs import RULE_OPERATORS, jsround
+from fieldtally.operators.graph import FEW_NODES
+from fieldtally.operators.intervals import interval_join
 
 
 def outer_merge(sheets: list[DataFrame], key: str) -> DataFrame:
@@ -90,9 +92,10 @@ def eligible_doses(people: DataFrame, rules: DataFrame) -> DataFrame:
     a rule must hold. ``people``: id and a map ``attrs``."""
     need = rules.groupBy("rule_id").agg(F.count("*").alias("need"))
     long = people.select("id", F.explode("attrs").alias("attr", "v"))
-    met = long.join(rules, "attr").where(F.col("v").between(F.col("lo"), F.col("hi")))
+    # All persons have the same attributes: values meet conditions in bins, not by name alone.
+    met = interval_join(long, rules, ("v", "v"), ("lo", "hi"), ["attr"])
     hits = met.groupBy("id", "rule_id").agg(F.count("*").alias("n"), F.max("product").alias("product"), F.max("quantity").alias("quantity"))
-    return hits.join(need, "rule_id").where("n = need").select("id", "rule_id", "product", "quantity")
+    return hits.join(F.broadcast(need) if need.count() <= FEW_NODES else need, "rule_id").where("n = need").select("id", "rule_id", "product", "quantity")
 
 
 def check_plan(plan: DataFrame, allowed: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldtally.functions.exprs import gap_class, jsround
 from fieldtally.operators.geo import points_in_polygons, zonal_sum
+from fieldtally.operators.graph import FEW_NODES, shared_checkpoint
 from fieldtally.operators.windows import latest_per_key
 
 
@@ -80,6 +81,37 @@ def complaint_hotspots(df: DataFrame, cell: float = 0.01, since: Column | None =
     return g.withColumn("severity", F.when(F.col("complaints") >= alert, "alert").when(F.col("complaints") >= alert / 2, "watch").otherwise("normal"))
 
 
+#: Standard deviations beyond which a cell's neighbourhood is called unusual: two-sided
+#: probabilities of 0.05 and 0.01 under the normal law.
+WATCH_Z, ALERT_Z = 1.959964, 2.575829
+
+
+def local_hotspots(df: DataFrame, cell: float = 0.01, by: str = "service_code") -> DataFrame:
+    """Getis and Ord's local statistic of complaints per grid cell and type (E38, P19): cx,
+    cy, ``by``, complaints, around (those of the 3 x 3 cells), z, severity.
+
+    The study area of a type is the rectangle of cells that holds its complaints; cells
+    without any count as 0. z compares the sum of a cell's neighbourhood with what as many
+    cells have on average. Cells whose neighbourhood has no complaint are left out, and z is
+    null where all cells have the same number."""
+    x, y = (F.floor(F.col(c) / cell).cast("long") for c in ("lat", "lon"))
+    counts = df.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy(x.alias("cx"), y.alias("cy"), by).agg(F.count("*").alias("complaints"))
+    whole = counts.groupBy(by).agg(*[f(c).alias(f"{n}_{c}") for c in ("cx", "cy") for n, f in (("least", F.min), ("most", F.max))], F.sum("complaints").alias("sum"), F.sum(F.col("complaints").cast("double") ** 2).alias("squares"))
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    near = counts.withColumn("s", F.explode(steps)).groupBy((F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), by).agg(F.sum(F.when((F.col("s.i") == 0) & (F.col("s.j") == 0), F.col("complaints")).otherwise(0)).alias("complaints"), F.sum("complaints").alias("around"))
+    whole = shared_checkpoint(whole)
+    j = near.join(F.broadcast(whole) if whole.count() <= FEW_NODES else whole, by)
+    j = j.where(F.col("cx").between(F.col("least_cx"), F.col("most_cx")) & F.col("cy").between(F.col("least_cy"), F.col("most_cy")))
+    side = lambda c: F.least(F.col(c) + 1, F.col(f"most_{c}")) - F.greatest(F.col(c) - 1, F.col(f"least_{c}")) + 1
+    n = ((F.col("most_cx") - F.col("least_cx") + 1) * (F.col("most_cy") - F.col("least_cy") + 1)).cast("double")
+    weight = (side("cx") * side("cy")).cast("double")
+    mean = F.col("sum") / n
+    spread_ = F.sqrt(F.greatest(F.col("squares") / n - mean * mean, F.lit(0.0)) * (n * weight - weight * weight) / (n - 1))
+    z = F.when(spread_ > 0, (F.col("around") - mean * weight) / spread_)
+    severity = F.when(F.col("z") >= ALERT_Z, "alert").when(F.col("z") >= WATCH_Z, "watch").otherwise("normal")
+    return j.select("cx", "cy", by, "complaints", "around", z.alias("z")).withColumn("severity", severity)
+
+
 def gap_dashboard(expected: DataFrame, registered: DataFrame, key: str = "boundary_code") -> dict[str, DataFrame]:
     """P10."""
     g = population_gap(expected, registered, key)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fieldtally.functions import exprs
 from fieldtally.operators import attendance, boundaries, changelog, dashboards, filters, geo, linkage, microplan, population, reports, reshape, search, stock, verification, windows
+from fieldtally.operators.graph import shared_folder
 from fieldtally.plans import views as v
 from fieldtally.plans.queries import LEGS, QTY, query
 from fieldtally.plans.views import table
@@ -141,6 +144,70 @@ def d27_overlapping(spark, d):
     return attendance.overlapping(p, F.lit("1996-05-15").cast("date"), F.lit("1996-06-30").cast("date")).select("o_orderkey")
 
 
+#: A campaign round of each supplier, of up to nine days.
+ROUNDS = "SELECT s_suppkey, CAST(DATE '1992-01-01' + CAST(s_suppkey * 23 % 2400 AS INT) AS DATE) AS start, CAST(DATE '1992-01-01' + CAST(s_suppkey * 23 % 2400 + s_suppkey % 9 AS INT) AS DATE) AS \"end\" FROM supplier"
+
+
+@query(f"WITH rounds AS ({ROUNDS}) SELECT o_orderkey, s_suppkey FROM orders JOIN rounds ON NOT (\"end\" < CAST(o_orderdate AS DATE) OR start > CAST(o_orderdate AS DATE) + 10)")
+def d27_overlapping_ranges(spark, d):
+    periods = table(spark, d, "orders").selectExpr("o_orderkey", "to_date(o_orderdate) AS period_start", "date_add(to_date(o_orderdate), 10) AS period_end")
+    rounds = table(spark, d, "supplier").selectExpr("s_suppkey", "date_add(DATE '1992-01-01', cast(s_suppkey * 23 % 2400 AS int)) AS start", "date_add(DATE '1992-01-01', cast(s_suppkey * 23 % 2400 + s_suppkey % 9 AS int)) AS end")
+    return attendance.overlapping_ranges(periods, rounds).select("o_orderkey", "s_suppkey")
+
+
+@query("SELECT c_custkey AS id, p_partkey AS rule_id, p_brand AS product, CAST(p_partkey % 5 AS DOUBLE) AS quantity FROM customer JOIN part ON c_custkey % 60 BETWEEN p_size AND p_size + p_partkey % 7 AND c_acctbal BETWEEN p_partkey * 37 % 11000 - 1000 AND p_partkey * 37 % 11000 - 980")
+def p12_many_rules(spark, d):
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.expr("map('age', cast(c_custkey % 60 as double), 'weight', cast(c_acctbal as double))").alias("attrs"))
+    p = table(spark, d, "part").selectExpr("p_partkey AS rule_id", "p_brand AS product", "cast(p_partkey % 5 as double) AS quantity", "p_size", "p_partkey")
+    rules = p.selectExpr("rule_id", "'age' AS attr", "cast(p_size as double) AS lo", "cast(p_size + p_partkey % 7 as double) AS hi", "product", "quantity").unionByName(
+        p.selectExpr("rule_id", "'weight' AS attr", "cast(p_partkey * 37 % 11000 - 1000 as double) AS lo", "cast(p_partkey * 37 % 11000 - 980 as double) AS hi", "product", "quantity"))
+    return microplan.eligible_doses(people, rules)
+
+
+@query("SELECT coalesce(c_custkey, k) AS k, CASE WHEN ver IS NOT NULL AND ver >= coalesce(c_nationkey, -1) THEN ver ELSE c_nationkey END AS ver FROM (SELECT * FROM customer WHERE c_acctbal > 0) c FULL JOIN (SELECT o_custkey AS k, max(o_orderkey) AS ver FROM orders GROUP BY 1) u ON k = c_custkey")
+def a9_upsert_into(spark, d):
+    """Three rounds of updates into a table that is kept; the last one comes twice."""
+    folder = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    changelog.upsert_into(spark, folder, table(spark, d, "customer").where("c_acctbal > 0").selectExpr("c_custkey AS k", "cast(c_nationkey as long) AS ver"), ["k"], "ver", 16)
+    updates = table(spark, d, "orders").selectExpr("o_custkey AS k", "o_orderkey AS ver")
+    for part in (0, 1, 1):
+        changelog.upsert_into(spark, folder, updates.where(F.col("ver") % 2 == part), ["k"], "ver", 16)
+    return spark.read.parquet(folder).select("k", "ver")
+
+
+#: Deletes of nations' households, orders as their members, lines as members' tasks.
+@query("""WITH gone AS (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 3), m AS (SELECT o_orderkey, 1 + CASE WHEN o_custkey IN (SELECT c_custkey FROM gone) OR o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS row_version, o_custkey IN (SELECT c_custkey FROM gone) OR o_orderkey % 11 = 0 AS is_deleted FROM orders)
+SELECT DISTINCT 'task' AS entity, CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS client_id, 1 + CASE WHEN m.is_deleted THEN 1 ELSE 0 END AS row_version, m.is_deleted FROM lineitem JOIN m ON l_orderkey = o_orderkey
+UNION ALL SELECT 'member', CAST(o_orderkey AS VARCHAR), row_version, is_deleted FROM m
+UNION ALL SELECT 'household', CAST(c_custkey AS VARCHAR), 1 + CASE WHEN c_custkey % 10 = 3 THEN 1 ELSE 0 END, c_custkey % 10 = 3 FROM customer""")
+def l7_cascade(spark, d):
+    made = ["1 AS row_version", "0L AS modified_at", "false AS is_deleted"]
+    tables_ = {
+        "household": table(spark, d, "customer").selectExpr("cast(c_custkey as string) AS client_id", *made),
+        "member": table(spark, d, "orders").selectExpr("cast(o_orderkey as string) AS client_id", "cast(o_custkey as string) AS household_id", *made),
+        "task": table(spark, d, "lineitem").selectExpr("cast(l_orderkey * 10 + l_linenumber as string) AS client_id", "cast(l_orderkey as string) AS member_id", *made),
+    }
+    entry = lambda t, k, where, *more: t.where(where).selectExpr(f"'{k}' AS entity", "client_id", "'delete' AS operation", "1 AS row_version", "5L AS modified_at", *more)
+    log = entry(tables_["household"], "household", "cast(client_id as long) % 10 = 3").unionByName(entry(tables_["member"], "member", "cast(client_id as long) % 11 = 0", "household_id"), allowMissingColumns=True)
+    log = log.withColumn("member_id", F.lit(None).cast("string"))
+    out = changelog.apply_to_relations(tables_, log, [("member", "client_id", "task", "member_id"), ("household", "client_id", "member", "household_id")])
+    every = [t.select(F.lit(k).alias("entity"), "client_id", "row_version", "is_deleted") for k, t in out.items()]
+    return every[0].unionByName(every[1]).unionByName(every[2])
+
+
+@query(f"""WITH {v.POINTS}, g AS (SELECT CAST(floor(lat / 0.1) AS BIGINT) AS cx, CAST(floor(lon / 0.1) AS BIGINT) AS cy, 'S' || (id % 3) AS service_code, count(*) AS n FROM points GROUP BY 1, 2, 3),
+a AS (SELECT service_code, min(cx) AS x0, max(cx) AS x1, min(cy) AS y0, max(cy) AS y1, sum(n) AS s, sum(n * n) AS q, (max(cx) - min(cx) + 1) * (max(cy) - min(cy) + 1) * 1.0 AS cells FROM g GROUP BY 1),
+f AS (SELECT a.*, x.x AS cx, y.y AS cy FROM a, LATERAL (SELECT unnest(generate_series(x0, x1)) AS x) x, LATERAL (SELECT unnest(generate_series(y0, y1)) AS y) y),
+z AS (SELECT f.service_code, f.cx, f.cy, coalesce(sum(n) FILTER (g.cx = f.cx AND g.cy = f.cy), 0) AS complaints, sum(n) AS around, any_value(s / cells) AS mean, any_value(sqrt(q / cells - (s / cells) * (s / cells))) AS sd, any_value(cells) AS cells,
+  any_value((least(f.cx + 1, x1) - greatest(f.cx - 1, x0) + 1) * (least(f.cy + 1, y1) - greatest(f.cy - 1, y0) + 1) * 1.0) AS w
+  FROM f JOIN g ON g.service_code = f.service_code AND abs(g.cx - f.cx) <= 1 AND abs(g.cy - f.cy) <= 1 GROUP BY 1, 2, 3),
+r AS (SELECT *, (around - mean * w) / (sd * sqrt((cells * w - w * w) / (cells - 1))) AS score FROM z)
+SELECT cx, cy, service_code, CAST(complaints AS BIGINT) AS complaints, CAST(around AS BIGINT) AS around, round(score, 6) AS z, CASE WHEN score >= 2.575829 THEN 'alert' WHEN score >= 1.959964 THEN 'watch' ELSE 'normal' END AS severity FROM r""")
+def e38_local_hotspots(spark, d):
+    p = v.points(spark, d).withColumn("service_code", F.expr("concat('S', cast(id % 3 as string))"))
+    return population.local_hotspots(p, 0.1).withColumn("z", F.round("z", 6))
+
+
 @query("SELECT p_partkey, CASE WHEN p_size <= 10 THEN 5 WHEN p_size <= 20 THEN 10 ELSE 20 END AS batch FROM part")
 def d28_range_lookup(spark, d):
     ranges = spark.createDataFrame([(3, 10, 5), (11, 20, 10), (21, 40, 20)], "lo int, hi int, batch int")

@@ -583,12 +583,12 @@ UNION ALL SELECT c_custkey, c_custkey + 1, 'LINK', 2 FROM {c} WHERE c_custkey %
 UNION ALL SELECT c_custkey + 4, c_custkey, 'OVERRIDE', 3 FROM {c} WHERE c_custkey % 21 = 1"""
 
 
-@query(f"""WITH said AS ({DECISIONS.format(c="customer")}), links AS (
-  SELECT c_custkey AS a, {CHAIN_SCORE} AS score, d.decided_at AS at FROM customer LEFT JOIN (SELECT id1, decided_at FROM said WHERE decision = 'LINK') d ON d.id1 = c_custkey
+@query(f"""WITH log AS ({DECISIONS.format(c="customer")}), links AS (
+  SELECT c_custkey AS a, {CHAIN_SCORE} AS score, d.decided_at AS said FROM customer LEFT JOIN (SELECT id1, decided_at FROM log WHERE decision = 'LINK') d ON d.id1 = c_custkey
   WHERE (c_custkey % 7 <> 6 OR d.decided_at IS NOT NULL) AND c_custkey < (SELECT max(c_custkey) FROM customer)
 ), weakest AS (
-  SELECT a FROM (SELECT a, row_number() OVER (PARTITION BY u ORDER BY at IS NOT NULL, at, score, a) AS r
-    FROM (SELECT id2 AS u, id1 AS v FROM said WHERE decided_at = 3 AND id1 <= (SELECT max(c_custkey) FROM customer)) JOIN links ON a >= u AND a < v) WHERE r = 1
+  SELECT a FROM (SELECT a, row_number() OVER (PARTITION BY u ORDER BY links.said IS NOT NULL, links.said, score, a) AS r
+    FROM (SELECT id2 AS u, id1 AS v FROM log WHERE decided_at = 3 AND id1 <= (SELECT max(c_custkey) FROM customer)) JOIN links ON a >= u AND a < v) WHERE r = 1
 ), kept AS (SELECT a FROM links WHERE a NOT IN (SELECT a FROM weakest)
 ), nodes AS (SELECT a AS node FROM links UNION SELECT a + 1 FROM links
 ), firsts AS (SELECT node, CASE WHEN node - 1 IN (SELECT a FROM kept) THEN NULL ELSE node END AS first FROM nodes)

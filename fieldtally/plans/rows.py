@@ -13,7 +13,7 @@ from fieldtally.operators.graph import shared_folder
 from fieldtally.plans import views as v
 from fieldtally.plans.queries import QTY, people, query, registered
 from fieldtally.plans.views import table
-from fieldtally.sources import tables
+from fieldtally.sources import geojson, tables
 
 
 def _folder(spark, name: str) -> str:
@@ -35,10 +35,9 @@ def a1_read_individuals(spark, d):
 @query("SELECT 'N' || n_nationkey AS code, n_name AS name, 'Point' AS geometry_type FROM nation")
 def a4_read_geojson(spark, d):
     n = table(spark, d, "nation").selectExpr("concat('N', n_nationkey) AS code", "n_name AS name", "n_nationkey * 0.5 AS lat", "10.0 AS lon")
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct("code", "name").alias("properties"), F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"))
     folder = _folder(spark, "geojson")
-    n.groupBy(F.lit(1).alias("one")).agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("value")).select("value").write.text(folder)
-    return tables.read_geojson(spark, folder, "code string, name string").select("code", "name", "geometry_type")
+    geojson.write_features(n, folder)
+    return geojson.read_features(spark, folder).select("code", "name", "geometry_type")
 
 
 @query("SELECT c_custkey AS key, c_name AS name FROM customer")
@@ -55,10 +54,10 @@ def a8_drop_empty_rows(spark, d):
 @query(f"WITH {v.POINTS} SELECT id, name, lat, lon FROM points")
 def a10_write_geojson(spark, d):
     folder = _folder(spark, "geojson")
-    tables.write_geojson(v.points(spark, d).select("id", "name", "lat", "lon"), folder, "id")
-    row = F.from_json("value", "type string, properties struct<id:long,name:string>, geometry struct<type:string,coordinates:array<double>>")
-    back = spark.read.text(f"{folder}/features").select(row.alias("r"))
-    return back.selectExpr("r.properties.id", "r.properties.name", "r.geometry.coordinates[1] AS lat", "r.geometry.coordinates[0] AS lon")
+    geojson.write_features(v.points(spark, d).select("id", "name", "lat", "lon"), folder, "id")
+    back = geojson.read_features(spark, folder, "id long, name string", range_bytes=1 << 16)
+    spot = F.from_json("coordinates", "array<double>")
+    return back.select("id", "name", spot[1].alias("lat"), spot[0].alias("lon"))
 
 
 @query("SELECT p_brand AS type, CASE WHEN p_size > 25 THEN 'HARD' ELSE 'EASY' END AS difficulty, count(*) AS n FROM part GROUP BY 1, 2")

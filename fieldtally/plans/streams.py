@@ -14,6 +14,7 @@ from fieldtally.operators.windows import latest_per_key
 from fieldtally.plans import views as v
 from fieldtally.plans.queries import LEGS, people, query
 from fieldtally.plans.views import table
+from fieldtally.sources.pulls import stream_pulls
 from fieldtally.streaming import jobs
 
 
@@ -80,6 +81,19 @@ def _append(parts: str, folder: str) -> None:
                 write.write(chunk)
 
 
+@query("SELECT user_id % 12 AS boundary, count(*) AS pulled, CAST(sum(event_id) AS BIGINT) AS ids, count(DISTINCT event_id) AS different FROM events GROUP BY 1")
+def l8_stream_pulls(spark, d):
+    """A table that grows in three steps is pulled by boundary; the stream stops between."""
+    kept = _Kept(spark, "pulls")
+    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_id").alias("modified_at"), (F.col("user_id") % 12).cast("string").alias("boundary"))
+    third = rows.agg(F.max("id")).first()[0] // 3 + 1
+    for step in range(3):
+        rows.where(F.floor(F.col("id") / third) == step).repartition("boundary").write.mode("append").partitionBy("boundary").parquet(f"{kept.folder}/in")
+        _finish(stream_pulls(spark, f"{kept.folder}/in", rows.schema).writeStream.foreachBatch(kept).option("checkpointLocation", f"{kept.folder}/state").start())
+    got = spark.read.schema(rows.schema).parquet(f"{kept.folder}/out/*")
+    return got.groupBy(F.col("boundary").cast("long").alias("boundary")).agg(F.count("*").alias("pulled"), F.sum("id").alias("ids"), F.count_distinct("id").alias("different"))
+
+
 #: Events in five arrivals; each seventeenth one is three days older than it says.
 ARRIVALS = "SELECT event_id, ts - (CASE WHEN event_id % 17 = 0 THEN INTERVAL '3' DAY ELSE INTERVAL '0' DAY END) AS t, CAST(floor(event_id * 5 / (SELECT max(event_id) + 1 FROM {events})) AS INT) AS arrival FROM {events}"
 
@@ -90,8 +104,8 @@ def j7_late_table(spark, d):
     """Rows in time and those of the late table are all rows."""
     kept = _Kept(spark, "late")
     rows = spark.sql(ARRIVALS, events=table(spark, d, "events"))
-    source = spark.readStream.schema(rows.schema).parquet(f"{kept.folder}/in")
     rows.limit(0).write.parquet(f"{kept.folder}/in")
+    source = spark.readStream.schema(rows.schema).parquet(f"{kept.folder}/in")
     for arrival in range(5):
         rows.where(F.col("arrival") == arrival).write.mode("append").parquet(f"{kept.folder}/in")
         _finish(jobs.stream_on_time(source, "t", f"{kept.folder}/out", f"{kept.folder}/state"))

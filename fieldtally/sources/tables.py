@@ -1,4 +1,4 @@
-"""Readers and writers."""
+"""Readers and writers."""
 
 from __future__ import annotations
 
@@ -32,13 +32,6 @@ def broken_references(child: DataFrame, key: str, parent: DataFrame, parent_key:
     return child.where(F.col(key).isNotNull()).join(keys, F.col(key) == F.col("__k"), "left_anti")
 
 
-def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """A row per feature: its properties and geometry (A4). ``properties``: DDL."""
-    point = "struct<type:string,coordinates:string>"
-    df = spark.read.schema(f"features array<struct<properties:struct<{properties}>,geometry:{point}>>").json(path, multiLine=True)
-    return df.select(F.inline("features")).select("properties.*", F.col("geometry.type").alias("geometry_type"), F.col("geometry.coordinates").alias("coordinates"))
-
-
 _LINE = r"Latitude:\s*(-?[\d.]+),\s*Longitude:\s*(-?[\d.]+),\s*Accuracy:\s*([\d.]+),\s*isSync:\s*(\w+)\D+(\d+)"
 
 
@@ -57,15 +50,6 @@ def parse_user_actions(df: DataFrame, col: str = "value") -> DataFrame:
     return df.select(row.alias("r")).where("r.client_reference_id IS NOT NULL").select("r.*")
 
 
-def write_geojson(df: DataFrame, path: str, code: str = "code") -> None:
-    """A feature per row (``lat``, ``lon`` as a point), sorted by code, and a metadata
-    file with the centre and the count (A10)."""
-    props = F.struct(*[c for c in df.columns if c not in ("lat", "lon")])
-    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), props.alias("properties"), F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry")))
-    df.orderBy(code).select(feature.alias("value")).write.mode("overwrite").text(f"{path}/features")
-    df.agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count("*").alias("n")).write.mode("overwrite").json(f"{path}/metadata")
-
-
 def write_labelled(records: DataFrame, truth: DataFrame, path: str) -> None:
     """Records, labels and a summary."""
     records.write.mode("overwrite").csv(f"{path}/records", header=True)

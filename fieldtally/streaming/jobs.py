@@ -14,6 +14,7 @@ from fieldtally.operators.graph import shared_checkpoint
 from fieldtally.operators.linkage import block_list, compared_columns, large_blocks, prepared, score_joined, with_parts
 from fieldtally.operators.stock import legs
 from fieldtally.sources.growing import stream_lines
+from fieldtally.sources.stored import exists
 from fieldtally.sources.tables import parse_location_lines
 
 
@@ -100,9 +101,7 @@ def _with_batch(schema: StructType) -> StructType:
 def read_index(spark: SparkSession, path: str, buckets: list[int], before: int, schema: StructType) -> DataFrame:
     """Rows of the index in ``buckets`` that batches before ``before`` wrote: no other
     folder is listed or read."""
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    there = [f"{path}/bucket={b}" for b in buckets if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}"))]
+    there = [f"{path}/bucket={b}" for b in buckets if exists(spark, f"{path}/bucket={b}")]
     if not there:
         return spark.createDataFrame([], schema)
     # Folder names add the columns bucket and batch.

@@ -150,6 +150,73 @@ def test_settlements_equal_brute_force(spark):
     assert {r["id"]: r["cluster"] for r in got.collect()} == label and len(set(label.values())) > 1
 
 
+def test_settlements_of_dense_cells_and_gaps(spark):
+    """Crowded cells, equal points, gaps just above and below the distance, the pole and
+    the date line, against the definition."""
+    rng = random.Random(8)
+    pts = [(10 + rng.random() * 4e-4, 20 + rng.random() * 4e-4) for _ in range(250)]  # a few cells hold all
+    pts += [(10.01, 20.01)] * 6 + [(10.01 + 90.5 / 111_194.9, 20.01)] * 6 + [(10.01, 20.02)] * 5 + [(10.01 + 89.5 / 111_194.9, 20.02)] * 5
+    pts += [(-5 + rng.random() * 2e-3, 179.999 + rng.random() * 2e-3) for _ in range(60)]
+    pts += [(30.0, 30.0), (30.0005, 30.0), (89.9995 + rng.random() * 4e-4, 60.0)] + [(89.9995 + rng.random() * 4e-4, rng.random() * 360 - 180) for _ in range(60)]
+    pts = [(i, lat, lon - 360 if lon > 180 else lon) for i, (lat, lon) in enumerate(pts)]
+    df = spark.createDataFrame(pts, "id long, lat double, lon double")
+    a, b = (df.select(*[F.col(c).alias(f"{t}_{c}") for c in df.columns]) for t in "ab")
+    pairs = a.join(b, exprs.haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) <= 90).select("a_id", "b_id").collect()
+    near = {}
+    for x, y in pairs:
+        near.setdefault(x, set()).add(y)
+    core = {i for i, n in near.items() if len(n) >= 5}
+    label, changed = {i: i for i in core}, True
+    while changed:
+        before = dict(label)
+        label = {i: min(label[j] for j in near[i] & core) for i in core}
+        changed = label != before
+    want = label | {i: min(label[j] for j in near[i] & core) for i in near if i not in core and near[i] & core}
+    got = {r["id"]: r["cluster"] for r in geo.settlement_clusters(df, 90, 5).collect()}
+    assert got == want and len(set(want.values())) > 5 and len(want) < len(pts)
+
+
+def test_a_crowded_cell_writes_no_pairs(spark, monkeypatch):
+    """Rows written grow with the points: 3000 points in one cell, and few around."""
+    df = spark.range(3000).select("id", (10 + F.col("id") * 1e-8).alias("lat"), (20 + F.pmod("id", F.lit(50)) * 1e-7).alias("lon"))
+    df = df.unionByName(spark.range(3000, 3020).select("id", (10.0003 + F.col("id") * 1e-7).alias("lat"), F.lit(20.0).alias("lon")))
+    written, real = [], geo.shared_checkpoint
+    monkeypatch.setattr(geo, "shared_checkpoint", lambda d: written.append(out := real(d)) or out)
+    assert geo.settlement_clusters(df, 90, 50).count() == 3020
+    assert max(d.count() for d in written) <= 3020
+
+
+def star(rng, corners, lat, lon, size):
+    """A ring of spikes, as a list of (lon, lat)."""
+    out = []
+    for i in range(corners):
+        r, t = size * (0.5 + rng.random() / 2), 2 * math.pi * i / corners
+        out.append((lon + r * math.cos(t), lat + r * math.sin(t)))
+    return out
+
+
+def test_polygon_cover_equals_the_ray_test(spark):
+    rng = random.Random(3)
+    shapes = {
+        "spikes": [star(rng, 400, 10, 20, 3), star(rng, 30, 10.1, 20.1, 0.6)],  # with a hole
+        "large": [star(rng, 10_000, -20, 40, 9)], "square": [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]], "block": [[(35.1, -2.3), (41.7, -2.3), (41.7, 4.4), (35.1, 4.4)]],
+        "tiny": [star(rng, 12, 5, 5, 1e-4)], "none": [[]], "line": [[(3.0, 3.0), (4.0, 3.0)]],
+    }
+    rows = [(k, [[{"lon": x, "lat": y} for x, y in r] for r in rings]) for k, rings in shapes.items()]
+    polygons = spark.createDataFrame(rows, "boundary_code string, rings array<array<struct<lon:double,lat:double>>>")
+    pts = [(rng.uniform(-30, 14), rng.uniform(15, 50)) for _ in range(500)] + [(10 + rng.gauss(0, 1.5), 20 + rng.gauss(0, 1.5)) for _ in range(400)] + [(-20 + rng.gauss(0, 5), 40 + rng.gauss(0, 5)) for _ in range(500)]
+    pts += [(5 + rng.gauss(0, 5e-5), 5 + rng.gauss(0, 5e-5)) for _ in range(200)] + [(y, x) for x in (0.0, 0.5, 1.0) for y in (0.0, 0.5, 1.0)] + [(y, x) for rings in shapes.values() for r in rings for x, y in r[:40]]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)] + [(-1, None, 1.0)], "id long, lat double, lon double")
+    got = {(r["id"], r["boundary_code"]) for r in geo.points_in_polygons(points, polygons).collect()}
+    plain = points.join(F.broadcast(polygons)).where(geo.in_rings(F.col("lat"), F.col("lon"), F.filter("rings", lambda r: F.size(r) > 0)))
+    want = {(r["id"], r["boundary_code"]) for r in plain.select("id", "boundary_code").collect()}
+    assert got == want and {c for _, c in want} == {"spikes", "large", "square", "tiny", "block"}
+    cover = geo.polygon_cover(polygons.where("boundary_code = 'large'")).select("level", F.size("edges").alias("n")).collect()
+    carried = sum(r["n"] for r in cover)
+    # Whole rings would be 10,000 edges (320 KB) for each of these cells.
+    assert len(cover) > 1000 and carried * 32 < 5_000_000 and max(r["n"] for r in cover) < 1000
+
+
 def test_hulls_equal_brute_force(spark):
     rng = random.Random(6)
     pts = [(g, rng.gauss(0, 1), rng.gauss(0, 1)) for g in "ab" for _ in range(60)]
@@ -320,13 +387,10 @@ def test_reshape(spark):
     assert "fields_1_value" in flat.columns and [r["fields_size"] for r in flat.collect()][0] == 2
 
 
-def test_sources(spark, tmp_path):
+def test_sources(spark):
     lines = spark.createDataFrame([("Latitude: 12.5, Longitude: -15.1, Accuracy: 3.2, isSync: true at 1700000000000",), ("noise",)], "value string")
     got = tables.parse_location_lines(lines).collect()
     assert len(got) == 1 and (got[0]["latitude"], got[0]["longitude"], got[0]["is_sync"]) == (12.5, -15.1, True)
-    df = spark.createDataFrame([("b", 1.0, 2.0), ("a", 3.0, 4.0)], "code string, lat double, lon double")
-    tables.write_geojson(df, str(tmp_path / "geo"))
-    assert spark.read.text(str(tmp_path / "geo/features")).count() == 2
 
 
 def test_stream_locations(spark, tmp_path):
