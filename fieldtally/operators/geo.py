@@ -150,10 +150,10 @@ def cover_of(edges: np.ndarray) -> list[tuple[int, int, int, int, np.ndarray]]:
     extent = max(high.max() - low.min(), east.max() - west.min())
     level = next((k for k, side in enumerate(CELL_SIDES) if side <= extent / 2), len(CELL_SIDES) - 1)
     numbers = lambda a, b: range(int(np.floor(a / CELL_SIDES[level])), int(np.floor(b / CELL_SIDES[level])) + 1)
-    todo = [(level, x, y, np.arange(len(edges))) for x in numbers(low.min(), high.max()) for y in numbers(west.min(), east.max())]
-    out = []
-    while todo:
-        level, x, y, some = todo.pop()
+
+    def look(level: int, x: int, y: int, some: np.ndarray) -> tuple | None:
+        """What a cell holds of ``some`` edges, None if it is outside: (level, x, y,
+        crossings, its own edges, all edges that its parts may need)."""
         side = CELL_SIDES[level]
         s, n, w, e = x * side, (x + 1) * side, y * side, (y + 1) * side
         some = some[(high[some] >= s) & (low[some] <= n) & (east[some] >= w - margin)]
@@ -161,17 +161,27 @@ def cover_of(edges: np.ndarray) -> list[tuple[int, int, int, int, np.ndarray]]:
         at = lambda lat: (b[:, 1] - a[:, 1]) * (lat - a[:, 0]) / (b[:, 0] - a[:, 0]) + a[:, 1]
         ends = np.sort(np.stack([at(np.clip(s, low[some], high[some])), at(np.clip(n, low[some], high[some]))]), axis=0)
         touches = (ends[0] <= e + margin) & (ends[1] >= w - margin)
-        whole = (low[some] <= s) & (high[some] >= n) & (west[some] > e + margin)
         bounded = ((flat[:, 0] >= s) & (flat[:, 0] <= n) & (flat[:, 1] <= e + margin) & (flat[:, 2] >= w - margin)).any()
         if not touches.any() and not bounded:
             lat, lon = (s + n) / 2, (w + e) / 2
-            if (((a[:, 0] > lat) != (b[:, 0] > lat)) & (lon < at(lat))).sum() % 2:
-                out.append((level, x, y, 1, np.empty((0, 4))))
-        elif (~whole).sum() <= CELL_EDGES or level + 1 == len(CELL_SIDES):
-            out.append((level, x, y, int(whole.sum()), edges[some[~whole]]))
+            inside = (((a[:, 0] > lat) != (b[:, 0] > lat)) & (lon < at(lat))).sum() % 2
+            return (level, x, y, 1, some[:0], some[:0]) if inside else None
+        whole = (low[some] <= s) & (high[some] >= n) & (west[some] > e + margin)
+        return level, x, y, int(whole.sum()), some[~whole], some
+
+    todo = [c for x in numbers(low.min(), high.max()) for y in numbers(west.min(), east.max()) if (c := look(level, x, y, np.arange(len(edges))))]
+    out = []
+    while todo:
+        level, x, y, crossings, own, some = todo.pop()
+        parts = []
+        if len(own) > CELL_EDGES and level + 1 < len(CELL_SIDES):
+            k = round(CELL_SIDES[level] / CELL_SIDES[level + 1])
+            parts = [c for i in range(k) for j in range(k) if (c := look(level + 1, x * k + i, y * k + j, some))]
+        # Where edges lie so close that parts would hold most of them again, the cell stays.
+        if parts and sum(len(c[4]) for c in parts) <= 3 * len(own):
+            todo += parts
         else:
-            steps = round(side / CELL_SIDES[level + 1])
-            todo += [(level + 1, x * steps + i, y * steps + j, some) for i in range(steps) for j in range(steps)]
+            out.append((level, x, y, crossings, edges[own]))
     return out
 
 

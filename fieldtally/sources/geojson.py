@@ -104,9 +104,11 @@ class GeoJsonReader(DataSourceReader):
                 out.append(Span(path, 0, size, True))
                 continue
             out += [Span(path, at, min(at + self.size, size), False) for at in range(head[0], size, self.size)]
-        return out
+        return out or [Span("", 0, 0, False)]  # a plan needs one
 
     def read(self, partition: Span) -> Iterator[tuple]:
+        if not partition.path:
+            return
         store, _ = fs.FileSystem.from_uri(self.path)
         with store.open_input_file(partition.path) as file:
             if partition.whole:
