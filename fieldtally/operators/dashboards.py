@@ -67,11 +67,44 @@ def _filled(c: str) -> Column:
     return F.when(~F.coalesce(s, F.lit("")).isin("", "N/A"), s)
 
 
+def option_rows(df: DataFrame, cols: list[str]) -> DataFrame:
+    """field, option: a row for each distinct value of fields with more than one."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), _filled(c).alias("option")) for c in cols])))
+    return _several(long.where("option IS NOT NULL").distinct())
+
+
+def _several(options: DataFrame) -> DataFrame:
+    fields = options.groupBy("field").agg(F.count("*").alias("n")).where("n > 1").select("field")
+    return options.join(F.broadcast(fields), "field")  # a row per field
+
+
 def options(df: DataFrame, cols: list[str]) -> DataFrame:
-    """field, options: sorted distinct values of fields with more than one."""
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), _filled(c).alias("v")) for c in cols]))).where("v IS NOT NULL")
-    out = long.distinct().groupBy("field").agg(F.sort_array(F.collect_list("v")).alias("options"))
-    return out.where(F.size("options") > 1)
+    """field, options: ``option_rows`` as sorted lists, for menus of fields with few values."""
+    return option_rows(df, cols).groupBy("field").agg(F.sort_array(F.collect_list("option")).alias("options"))
+
+
+def boundary_values(df: DataFrame, col: str = "boundary_hierarchy") -> DataFrame:
+    """field, option: the distinct filled values of each field that any row's map has."""
+    return df.select(F.explode(col).alias("field", "option")).where("option IS NOT NULL AND option <> ''").distinct()
+
+
+def boundary_options(df: DataFrame, fields: list[str] | None = None, col: str = "boundary_hierarchy") -> DataFrame:
+    """field, option of the fields that are found, or of ``fields``, with more than one value
+    (E18)."""
+    found = boundary_values(df, col)
+    return _several(found if fields is None else found.where(F.col("field").isin(fields)))
+
+
+def boundary_stats(df: DataFrame, col: str = "boundary_hierarchy") -> DataFrame:
+    """total, with_boundary and coverage (whole per cent, half up), fields with their number
+    of values, sorted, and those with more than one (E18). One row; it lists fields, not
+    values."""
+    n = df.agg(F.count("*").alias("total"), F.count(col).alias("with_boundary"))
+    f = boundary_values(df, col).groupBy("field").agg(F.count("*").alias("n"))
+    f = f.agg(F.array_sort(F.collect_list(F.struct("field", "n"))).alias("fields"))
+    share = F.coalesce(F.floor(F.try_divide(F.col("with_boundary") * 100, F.col("total")) + 0.5), F.lit(0))
+    several = F.transform(F.filter("fields", lambda x: x["n"] > 1), lambda x: x["field"])
+    return n.join(F.broadcast(f), F.lit(True)).select("total", "with_boundary", share.cast("long").alias("coverage"), "fields", several.alias("filters"))
 
 
 def profile(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from fieldtally.functions.exprs import box_around, haversine_m
 
@@ -122,10 +123,29 @@ def search_complaints(df: DataFrame, user: str, mine: bool | None = None, number
     return search(df, criteria).where(all_of([owner, *parts]))
 
 
+def leaf_texts(value: Column, kind: DataType) -> Column:
+    """All values within a column as texts: fields of structs, items, map values, at any
+    depth; no names and no keys."""
+    if isinstance(kind, StructType):
+        parts = [leaf_texts(value[f.name], f.dataType) for f in kind]
+        return F.when(value.isNotNull(), F.concat(*parts)).otherwise(F.array().cast("array<string>")) if parts else F.array().cast("array<string>")
+    if isinstance(kind, (ArrayType, MapType)):
+        items, inner = (value, kind.elementType) if isinstance(kind, ArrayType) else (F.map_values(value), kind.valueType)
+        return F.coalesce(F.flatten(F.transform(items, lambda x: leaf_texts(x, inner))), F.array().cast("array<string>"))
+    return F.array_compact(F.array(value.cast("string")))
+
+
 def text_search(df: DataFrame, term: str, cols: list[str] | None = None) -> DataFrame:
-    """Rows with ``term`` in any leaf value, not in field names."""
-    leaves = [F.col(c).cast("string") for c in cols or df.columns]
-    return df.where(F.contains(F.lower(F.concat_ws("\u0001", *leaves)), F.lit(term.lower())))
+    """Rows with ``term`` in any leaf value at any depth, not in field names or keys."""
+    wanted = F.lit(term.lower())
+    tests = []
+    for c in cols or df.columns:
+        kind = df.schema[c].dataType
+        if isinstance(kind, (StructType, ArrayType, MapType)):
+            tests.append(F.exists(leaf_texts(F.col(c), kind), lambda x: F.contains(F.lower(x), wanted)))
+        else:
+            tests.append(F.coalesce(F.contains(F.lower(F.col(c).cast("string")), wanted), F.lit(False)))
+    return df.where(reduce(lambda a, b: a | b, tests, F.lit(False)))
 
 
 def cascade_filter(df: DataFrame, selections: dict[str, list], levels: list[str]) -> DataFrame:

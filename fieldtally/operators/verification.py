@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.functions.exprs import cosine
+from fieldtally.operators.windows import with_place
 
 
 BUCKET_ROWS = 10_000
@@ -23,8 +24,9 @@ def verification_pairs(df: DataFrame, n_same: int, n_diff: int, seed: int = 42)
     mixed = Window.partitionBy(bucket).orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id")
     other = df.select("id", "label", F.lead("id").over(mixed).alias("id2"), F.lead("label").over(mixed).alias("l2"))
     diff = other.where("id2 IS NOT NULL AND label <> l2").select(F.col("id").alias("id1"), "id2", F.lit(False).alias("same"))
-    order = [F.xxhash64(F.lit(seed), "id1", "id2"), F.col("id1")]
-    return same.orderBy(*order).limit(n_same).unionByName(diff.orderBy(*order).limit(n_diff))
+    order = [F.xxhash64(F.lit(seed), "id1", "id2"), F.col("id1"), F.col("id2")]
+    least = lambda pairs, n: with_place(pairs, order, "__n").where(F.col("__n") < n).drop("__n")
+    return least(same, n_same).unionByName(least(diff, n_diff))
 
 
 def pair_scores(pairs: DataFrame, df: DataFrame) -> DataFrame:
@@ -52,10 +54,13 @@ def roc(df: DataFrame, decimals: int = 3) -> DataFrame:
 
 
 def auc(points: DataFrame) -> DataFrame:
-    """Area under the curve by trapezoids."""
-    w = Window.orderBy("fpr", "tpr")
-    x, y = F.coalesce(F.lag("fpr").over(w), F.lit(0.0)), F.coalesce(F.lag("tpr").over(w), F.lit(0.0))
-    return points.select(((F.col("fpr") - x) * (F.col("tpr") + y) / 2).alias("a")).agg(F.sum("a").alias("auc"))
+    """Area under the curve by trapezoids (E36). Points meet the point before them by their
+    numbers, so that curves of any number of points are no one task's work."""
+    placed = with_place(points.select("fpr", "tpr"), [F.col("fpr"), F.col("tpr")])
+    before = placed.select((F.col("place") + 1).alias("place"), F.col("fpr").alias("x"), F.col("tpr").alias("y"))
+    j = placed.join(before, "place", "left")
+    x, y = F.coalesce("x", F.lit(0.0)), F.coalesce("y", F.lit(0.0))
+    return j.select(((F.col("fpr") - x) * (F.col("tpr") + y) / 2).alias("a")).agg(F.sum("a").alias("auc"))
 
 
 def best_threshold(points: DataFrame, max_far: float = 0.01) -> DataFrame:

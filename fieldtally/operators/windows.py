@@ -98,15 +98,37 @@ def top_n_others(df: DataFrame, name: str, value: str, n: int = 10) -> DataFrame
     return top.unionByName(rest.where("c > 0").select(F.lit("OTHERS").alias(name), value))
 
 
+def with_place(df: DataFrame, order_by: list[Column], name: str = "place") -> DataFrame:
+    """Numbers all rows from 0 in an order: rows are dealt over partitions by ranges of it,
+    numbered there, and the rows of the partitions before are added. No task sees all."""
+    at = {"__p": F.spark_partition_id(), "__r": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}
+    rows = shared_checkpoint(df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumns(at))
+    sizes = {r["__p"]: r["count"] for r in rows.groupBy("__p").count().collect()}  # a row per partition
+    before, offsets = 0, []
+    for p in sorted(sizes):
+        offsets += [F.lit(p), F.lit(before)]
+        before += sizes[p]
+    offset = F.create_map(*offsets)[F.col("__p")] if offsets else F.lit(0)
+    return rows.withColumn(name, (F.col("__r") + offset).cast("long")).drop("__p", "__r")
+
+
 def nonzero_first(df: DataFrame, cols: list[str], name: str) -> DataFrame:
     """G5."""
+    return df.orderBy(*nonzero_order(cols, name))
+
+
+def nonzero_order(cols: list[str], name: str) -> list[Column]:
     zero = reduce(lambda a, b: a & b, [F.coalesce(F.col(c), F.lit(0)) == 0 for c in cols])
-    return df.orderBy(zero, F.col(name))
+    return [zero, F.col(name)]
 
 
 def newest_first(df: DataFrame, time: str, *ties: str) -> DataFrame:
     """A missing time counts as 0."""
-    return df.orderBy(F.desc(F.coalesce(F.col(time), F.lit(0))), *ties)
+    return df.orderBy(*newest_order(time, *ties))
+
+
+def newest_order(time: str, *ties: str) -> list[Column]:
+    return [F.desc(F.coalesce(F.col(time), F.lit(0))), *map(F.col, ties)]
 
 
 def by_rank(df: DataFrame, col: str, ranks: dict[str, int], default: int = 999_999) -> DataFrame:

@@ -146,10 +146,10 @@ def d20_added_removed(spark, d):
     return windows.diff(old, table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")), ["k"])
 
 
-@query(f"WITH {v.POINTS} SELECT a.id AS a_id, b.id AS b_id FROM points a JOIN points b ON 2 * 6371000.0 * asin(sqrt(least(pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2), 1.0))) <= 2000 WHERE a.id < b.id")
+@query(f"WITH {v.POINTS} SELECT a.id AS a_id, b.id AS b_id FROM points a JOIN points b ON 2 * 6371000.0 * asin(sqrt(least(pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2), 1.0))) <= 6000 WHERE a.id < b.id")
 def d29_pairs_within(spark, d):
     p = v.points(spark, d)
-    return geo.pairs_within(p, p, 2000).where("a_id < b_id").select("a_id", "b_id")
+    return geo.pairs_within(p, p, 6000).where("a_id < b_id").select("a_id", "b_id")
 
 
 @query("SELECT boundary_code, count(*) AS people FROM (SELECT concat('Z', CAST(z AS varchar)) AS boundary_code FROM (" + v.POINTS_SELECT.format(text="varchar", customer="customer") + ") p JOIN range(0, 4) t(z) ON p.lat > 10.2 + 0.4 * z AND p.lat < 10.5 + 0.4 * z AND p.lon > 15.3 AND p.lon < 16.7) GROUP BY 1")
@@ -259,6 +259,11 @@ def e15_field_options(spark, d):
     return dashboards.options(table(spark, d, "part").withColumn("one", F.lit("x")), ["p_brand", "p_type", "one"]).withColumn("options", F.array_join("options", ","))
 
 
+@query("SELECT DISTINCT 'o_custkey' AS field, CAST(o_custkey AS VARCHAR) AS option FROM orders UNION ALL SELECT DISTINCT 'o_orderpriority', o_orderpriority FROM orders")
+def e15_option_rows(spark, d):
+    return dashboards.option_rows(table(spark, d, "orders").withColumn("one", F.lit("x")), ["o_custkey", "o_orderpriority", "one"])
+
+
 @query("SELECT 'o_orderstatus' AS field, count(o_orderstatus) AS filled, count(DISTINCT o_orderstatus) AS distinct_values, CAST(100 AS DOUBLE) AS coverage FROM orders UNION ALL SELECT 'o_custkey', count(*), count(DISTINCT o_custkey), CAST(100 AS DOUBLE) FROM orders")
 def e16_field_profile(spark, d):
     return dashboards.profile(table(spark, d, "orders"), ["o_orderstatus", "o_custkey"])

@@ -7,7 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fieldtally.operators import attendance, boundaries, changelog, intervals, microplan, population
+from fieldtally.functions import exprs
+from fieldtally.operators import attendance, boundaries, changelog, intervals, microplan, population, windows
 from fieldtally.sources import geojson
 from fieldtally.sources.pulls import stream_pulls
 
@@ -28,7 +29,7 @@ def test_interval_join_equals_brute_force(spark, split):
     got = sorted((r["a"], r["b"]) for r in intervals.interval_join(da, db, ("lo", "hi"), ("start", "stop"), ["k"], split).collect())
     want = sorted((p[0], q[0]) for p in a for q in b if None not in (*p[1:], *q[1:]) and p[1] == q[1] and not (p[3] < q[2] or p[2] > q[3]))
     assert got == want and len(want) > 500
-    assert intervals.interval_join(da.limit(0), db, ("lo", "hi"), ("start", "stop")).count() == 0 if "k" not in db.columns else True
+    assert intervals.interval_join(da.limit(0), db, ("lo", "hi"), ("start", "stop"), ["k"]).count() == 0
 
 
 def test_periods_and_ranges(spark):
@@ -147,5 +148,23 @@ def test_planted_hotspots(spark):
     pts += [("even", 0.05 + i / 10, 0.05 + j / 10) for i in range(5) for j in range(5)]
     got = population.local_hotspots(spark.createDataFrame(pts, "service_code string, lat double, lon double"), 0.1).collect()
     hot = {(r["cx"], r["cy"]) for r in got if r["service_code"] == "w" and r["severity"] == "alert"}
-    assert (10, 10) in hot and len(hot) <= 30 and all(abs(x - 10) <= 2 and abs(y - 10) <= 2 for x, y in hot if (x, y) in {(a, b) for a in range(8, 13) for b in range(8, 13)})
+    near = {(x, y) for x, y in hot if abs(x - 10) <= 2 and abs(y - 10) <= 2}
+    assert (10, 10) in hot and len(near) >= 9 and len(hot - near) <= 8  # one in a hundred by chance
     assert all(r["z"] is None and r["severity"] == "normal" for r in got if r["service_code"] == "even")
+
+
+def test_numbers_over_all_rows(spark):
+    df = spark.range(0, 500, 1, 7).select((F.col("id") * 7919 % 500).alias("v"), (F.col("id") % 3).alias("k"))
+    got = sorted((r["place"], r["k"], r["v"]) for r in windows.with_place(df, [F.desc("k"), F.col("v")]).collect())
+    assert got == [(i, k, v) for i, (k, v) in enumerate(sorted(((i % 3, i * 7919 % 500) for i in range(500)), key=lambda x: (-x[0], x[1])))]
+    assert windows.with_place(df.limit(0), [F.col("v")]).count() == 0
+
+
+def test_draws_by_another_library(spark):
+    import struct
+
+    import xxhash
+
+    for r in spark.range(-3, 60).select("id", exprs.seeded(7, F.col("id")).alias("u")).collect():
+        seed = xxhash.xxh64_intdigest(struct.pack("<i", 7), 42)
+        assert r["u"] == xxhash.xxh64_intdigest(struct.pack("<q", r["id"]), seed) % (1 << 30) / (1 << 30)
