@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import cut, hint_few
+from fieldtally.llm.common import cut, hint_few, perhaps_in
 
 #: Words whose presence in a host marks an example to block: fixed values.
 SEED_BLOCK = (
@@ -90,15 +90,17 @@ def segment_names(names: DataFrame, counts: DataFrame) -> DataFrame:
     """name, words: each distinct ``name`` split into its most likely words.
 
     A stretch without a count is a word of its own at a price that grows with its
-    length, so every name has a split.
+    length, so every name has a split. Stretches carry a digest of their name, so that a
+    long one is not repeated, and only those that a filter of fixed size lets pass as
+    words of ``counts`` are shuffled.
     """
-    at = F.explode(F.sequence(F.lit(1), F.length("name"))).alias("at")
-    cuts = names.select("name", at).select(
-        "name", "at", F.explode(F.expr(f"sequence(1, least({MAX_WORD}, length(name) - at + 1))")).alias("len")
-    )
-    cuts = cuts.withColumn("word", F.expr("substring(name, at, len)"))
+    names = names.withColumn("key", F.md5("name"))
+    rest = F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.struct(i.alias("at"), F.substring("name", i, F.lit(MAX_WORD)).alias("rest")))
+    cuts = names.select("key", F.inline(rest)).select("key", "at", "rest", F.explode(F.sequence(F.lit(1), F.length("rest"))).alias("len"))
+    cuts = cuts.select("key", "at", "len", F.substring("rest", F.lit(1), F.col("len")).alias("word"))
+    cuts = perhaps_in(cuts, counts, "word").where("perhaps").drop("perhaps")
     total = counts.agg(F.sum("n")).first()[0] or 1
-    known = cuts.join(counts, "word").groupBy("name")
+    known = cuts.join(counts, "word").groupBy("key")
     per_name = known.agg(F.collect_list(F.struct("at", "len", (F.log("n") - log(total)).alias("score"))).alias("known"))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,7 +108,7 @@ def segment_names(names: DataFrame, counts: DataFrame) -> DataFrame:
             words = [_best_split(name, [] if known is None else known, total) for name, known in zip(b["name"], b["known"])]
             yield pd.DataFrame({"name": b["name"], "words": words})
 
-    return names.join(per_name, "name", "left").mapInPandas(split, "name string, words array<string>")
+    return names.join(per_name, "key", "left").select("name", "known").mapInPandas(split, "name string, words array<string>")
 
 
 def _best_split(name: str, known: list, total: int) -> list[str]:

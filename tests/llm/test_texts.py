@@ -435,6 +435,18 @@ def test_best_split_is_best():
     assert urls._best_split("catdog", known, 100) == ["cat", "dog"]
 
 
+def test_urls_of_odd_rows(spark):
+    """Very long urls, null and empty html, a null id, and columns whose names are used."""
+    long = "http://" + "w" * 20_000 + ".net/es/" + "p" * 200_000 + "?" + "q" * 1000
+    rows = [(1, long, None), (2, "http://a.com/" + "x/" * 50_000, ""), (None, "http://b.net/fr/1", "<p>words of a page</p>"), (3, None, "<b>words</b>"), (4, "http:///?#", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df = df.withColumns({c: F.lit("clash") for c in ("id", "host", "path", "rule", "score", "verdict", "token", "n", "block")})
+    got = {r["page_id"]: r for r in urls.judge_urls(df, RULES, df, "html").collect()}
+    assert len(got) == 5 and got[1]["path"] == "/es/" + "p" * 200_000 and (got[1]["rule"], got[1]["verdict"]) == ("net/es/", "block")
+    assert (got[2]["rule"], got[None]["rule"]) == ("com/", "net/fr/") and (got[3]["host"], got[3]["path"], got[3]["verdict"]) == ("", "", "allow")
+    assert (got[4]["host"], got[4]["path"]) == ("", "/")
+
+
 # --------------------------------------------------------------- toxicity
 
 

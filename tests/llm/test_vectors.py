@@ -92,3 +92,14 @@ def test_huge_and_tiny_components(spark):
     big = [(0, [2.0**31, 3.0]), (1, [2.0**30, 1.0]), (2, [2.0**30, 2.0]), (3, [1e200, 0.0]), (4, [-1.0, 0.0])]
     got = exact_topk.exact_topk(spark.createDataFrame(big, df.schema), F.col("id") == 0, k=4, scale=1.0).collect()
     assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(3, None), (2, 2**61 + 6), (1, 2**61 + 3), (4, -(2**31))]
+
+
+def test_very_long_vectors(spark):
+    """Vectors of 50,000 components, whole and exact, beside short ones."""
+    n = 50_000
+    rows = [(0, [1.0] * n), (1, [1.0] * (n - 1) + [3.0]), (2, [-1.0] * n), (3, [1.0] * (n // 2) + [0.0] * (n // 2)), (4, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = exact_topk.exact_topk(df, F.col("id") == 0, k=5, scale=2.0).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 4 * n + 8), (3, 2 * n), (2, -4 * n)]
+    near = ann.search_index(ann.build_index(df, 5), df, F.col("id") == 0, 5).collect()
+    assert [r["vec_id"] for r in sorted(near, key=lambda r: r["rank"])] == [1, 3, 2]
