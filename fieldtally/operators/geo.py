@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.functions.exprs import EARTH_M, box_around, haversine_m
-from fieldtally.operators.graph import components, shared_checkpoint
+from fieldtally.operators.graph import FEW_NODES, components, shared_checkpoint
 
 METRES_A_DEGREE = 111_194.9
+#: Points of a cell that a task compares with at once; a cell with more is cut into parts.
+CELL_PART = 10_000
 
 
 def cell(lat: Column, lon: Column, degrees: float) -> tuple[Column, Column]:
@@ -56,8 +58,15 @@ def pairs_within(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
     right = right.withColumn("n", _ring_cells(F.col("cx"), height, wide)).withColumn("c", _ring_cell(F.col("b_lon"), F.col("n")))
     near = F.array_distinct(F.array(*[F.pmod(F.col("c") + i, F.col("n")) for i in (-1, 0, 1)]))
     right = right.select("b_id", "b_lat", "b_lon", "cx", F.explode(near).alias("cy"))
+    # A crowded cell of ``a`` is cut into parts, and the points of ``b`` around it go to all.
+    sizes = left.groupBy("cx", "cy").agg(F.count("*").alias("n")).where(F.col("n") > CELL_PART)
+    large = shared_checkpoint(sizes.select("cx", "cy", F.ceil(F.col("n") / CELL_PART).cast("int").alias("parts")))
+    large = F.broadcast(large) if large.count() <= FEW_NODES else large
+    parts = F.coalesce("parts", F.lit(1))
+    left = left.join(large, ["cx", "cy"], "left").withColumn("part", F.pmod(F.xxhash64("a_id"), parts).cast("int")).drop("parts")
+    right = right.join(large, ["cx", "cy"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     d = haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    return left.join(right, ["cx", "cy"]).select("a_id", "b_id", d.alias("metres")).where(F.col("metres") <= metres)
+    return left.join(right, ["cx", "cy", "part"]).select("a_id", "b_id", d.alias("metres")).where(F.col("metres") <= metres)
 
 
 def within_radius(df: DataFrame, lat: float, lon: float, metres: float, k: int = 50) -> DataFrame:
@@ -275,10 +284,6 @@ def boundary_hulls(points: DataFrame, buffer: float = 0.001, salt: int = 16) ->
     return parts.groupBy("boundary_code").applyInPandas(final, "boundary_code string, ring array<struct<lon:double,lat:double>>")
 
 
-#: Points of a cell that a task compares with at once; a cell with more is cut into parts.
-CELL_PART = 10_000
-
-
 def _box() -> dict[str, Column]:
     return {"s": F.min("lat"), "n": F.max("lat"), "w": F.min("lon"), "e": F.max("lon")}
 

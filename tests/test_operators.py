@@ -94,7 +94,7 @@ def test_selection_checks(spark):
     assert {(r["type"], r["problem"]) for r in got} == {("district", "level missing"), ("state", "no child selected")}
 
 
-def test_pairs_within_against_all_pairs(spark):
+def test_pairs_within_against_all_pairs(spark, monkeypatch):
     rng = random.Random(1)
     pts = [(i, 10 + rng.random() / 50, 20 + rng.random() / 50) for i in range(120)]
     df = spark.createDataFrame(pts, "id long, lat double, lon double")
@@ -106,6 +106,9 @@ def test_pairs_within_against_all_pairs(spark):
 
     want = {(a[0], b[0]) for a, b in itertools.product(pts, pts) if metres(a, b) <= 300}
     assert {(r["a_id"], r["b_id"]) for r in geo.pairs_within(df, df, 300).collect()} == want
+    monkeypatch.setattr(geo, "CELL_PART", 3)  # crowded cells in parts
+    assert {(r["a_id"], r["b_id"]) for r in geo.pairs_within(df, df, 300).collect()} == want
+    monkeypatch.undo()
     # Near a pole, across the 180th meridian, and all around the globe.
     far = [(i, rng.uniform(79.9, 80.1), rng.uniform(-1, 1) + rng.choice((0, 179.5))) for i in range(150)]
     far = [(i, a, b - 360 if b > 180 else b) for i, a, b in far] + [(900 + i, 89.999 - i / 5000, -180 + 36.0 * i) for i in range(10)]
