@@ -177,22 +177,28 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
-        conv, size_now, number = None, 0, 0
+        closed: list[dict] = []
+        conv, size_now, number, waiting = None, 0, 0, 0
 
-        def close() -> pd.DataFrame:
+        def block() -> dict:
             fields = zip(["roles", "texts", "faults", "copies", "turns"], zip(*held))
-            return pd.DataFrame([{"conv": conv, "at": number} | {name: list(values) for name, values in fields}])
+            return {"conv": conv, "at": number} | {name: list(values) for name, values in fields}
 
         for b in batches:
             for c, at, *row in zip(*(b[x].tolist() for x in ("conv", "at", *columns))):
                 if held and (c != conv or len(held) >= size or size_now > BLOCK_BYTES):
-                    yield close()
-                    held, size_now, number = [], 0, number + 1
+                    closed.append(block())
+                    held, waiting, size_now, number = [], waiting + size_now, 0, number + 1
+                    if waiting > BLOCK_BYTES or len(closed) >= 1000:
+                        yield pd.DataFrame(closed)
+                        closed, waiting = [], 0
                 conv, number = c, max(number, at)
                 held.append(tuple(row))
                 size_now += len(row[1])
         if held:
-            yield close()
+            closed.append(block())
+        if closed:
+            yield pd.DataFrame(closed)
 
     return dealt.mapInPandas(build, BLOCK)
 
