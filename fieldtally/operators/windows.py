@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.functions.exprs import jsround
-from fieldtally.operators.graph import shared_checkpoint
+from fieldtally.operators.graph import FEW_NODES, shared_checkpoint
+
+#: Rows of a key that one task sorts; larger keys are numbered over all partitions.
+LARGE_KEY = 1_000_000
 
 
 def first_per_key(df: DataFrame, key: list[str], order_by: list[Column], drop_null_key: bool = True) -> DataFrame:
@@ -29,15 +32,22 @@ def take(df: DataFrame, key: list[str], order_by: list[Column], n: int) -> DataF
 
 
 def skip(df: DataFrame, key: list[str], order_by: list[Column], n: int) -> DataFrame:
-    by = Window.partitionBy(*key).orderBy(*order_by)
-    return df.withColumn("__n", F.row_number().over(by)).where(F.col("__n") > n).drop("__n")
+    return with_serial(df, key, order_by, "__n").where(F.col("__n") > n).drop("__n")
 
 
 def take_while(df: DataFrame, condition: Column, key: list[str], order_by: list[Column]) -> DataFrame:
     """Rows before the first that fails."""
+    small, large = _by_size(df, key)
+    fails = ~F.coalesce(condition, F.lit(False))
     by = Window.partitionBy(*key).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    failed = F.max((~F.coalesce(condition, F.lit(False))).cast("int")).over(by)
-    return df.withColumn("__f", failed).where("__f = 0").drop("__f")
+    out = small.withColumn("__f", F.max(fails.cast("int")).over(by)).where("__f = 0").drop("__f")
+    if large is None:
+        return out
+    placed = shared_checkpoint(numbered(large.withColumn("__f", fails), key, order_by, "__no"))
+    first = placed.where("__f").groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.min("__no").alias("__first"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key])
+    kept = placed.join(F.broadcast(first), same, "left").where("__first IS NULL OR __no < __first")  # a row per large key
+    return out.unionByName(kept.select(*df.columns))
 
 
 def period_change(current: Column, previous: Column) -> Column:
@@ -47,8 +57,12 @@ def period_change(current: Column, previous: Column) -> Column:
 
 
 def with_serial(df: DataFrame, key: list[str], order_by: list[Column], name: str = "serial") -> DataFrame:
-    """Numbers rows within a key (F7); give a key that spreads the rows."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order_by)))
+    """Numbers rows within a key from 1 (F7); large keys are numbered over all partitions."""
+    small, large = _by_size(df, key)
+    out = small.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order_by)))
+    if large is None:
+        return out
+    return out.unionByName(numbered(large, key, order_by, "__no").select(*df.columns, (F.col("__no") + 1).cast("int").alias(name)))
 
 
 def visible_periods(df: DataFrame, as_of: Column, start: str = "start", end: str = "end") -> DataFrame:
@@ -72,17 +86,33 @@ def bump_retry(df: DataFrame, limit: int, col: str = "retry_count") -> DataFrame
     return df.withColumn(col, F.col(col) + 1).withColumn("non_recoverable", F.col(col) >= limit)
 
 
-def with_batch_no(df: DataFrame, group: list[str], order_by: list[Column], n: int) -> DataFrame:
-    """F12. Groups may be few and large: rows are sorted over all partitions, numbered in
-    each, and the numbers of a group go on from one partition to the next."""
+def numbered(df: DataFrame, group: list[str], order_by: list[Column], name: str) -> DataFrame:
+    """Numbers from 0 within groups that may be few and large: rows are sorted over all
+    partitions, numbered in each, and the numbers of a group go on from one partition to
+    the next."""
     placed = shared_checkpoint(df.orderBy(*group, *order_by)).withColumn("__at", F.monotonically_increasing_id())
     placed = placed.withColumn("__part", F.shiftright("__at", 33))
     sizes = placed.groupBy(*[F.col(g).alias(f"__{g}") for g in group], F.col("__part").alias("__p")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
     earlier = Window.partitionBy(*[f"__{g}" for g in group]).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*[f"__{g}" for g in group], "__p", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__start"))
     same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group], F.col("__part") == F.col("__p"))
-    numbered = placed.join(starts, same)
-    return numbered.select(*df.columns, F.floor((F.col("__at") + F.col("__start")) / n).cast("int").alias("batch_no"))
+    return placed.join(starts, same).select(*df.columns, (F.col("__at") + F.col("__start")).alias(name))
+
+
+def with_batch_no(df: DataFrame, group: list[str], order_by: list[Column], n: int) -> DataFrame:
+    """F12."""
+    return numbered(df, group, order_by, "__no").select(*df.columns, F.floor(F.col("__no") / n).cast("int").alias("batch_no"))
+
+
+def _by_size(df: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of keys with at most ``LARGE_KEY`` rows, and of larger ones (few, counted)."""
+    sizes = df.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.count("*").alias("__n")).where(F.col("__n") > LARGE_KEY)
+    large = shared_checkpoint(sizes.drop("__n"))
+    if large.isEmpty():
+        return df, None
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key])
+    large = F.broadcast(large) if large.count() <= FEW_NODES else large
+    return df.join(large, same, "left_anti"), df.join(large, same, "left_semi")
 
 
 def carry_latest(df: DataFrame, key: str, order_by: list[Column], col: str, name: str) -> DataFrame:

@@ -168,3 +168,19 @@ def test_draws_by_another_library(spark):
     for r in spark.range(-3, 60).select("id", exprs.seeded(7, F.col("id")).alias("u")).collect():
         seed = xxhash.xxh64_intdigest(struct.pack("<i", 7), 42)
         assert r["u"] == xxhash.xxh64_intdigest(struct.pack("<q", r["id"]), seed) % (1 << 30) / (1 << 30)
+
+
+def test_numbers_of_large_keys(spark, monkeypatch):
+    """Keys above and below the size that one task sorts, a null key among them."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["big", "big", "big", None, "a", "b"]), i, rng.random() < 0.97) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, v long, ok boolean").repartition(5)
+    monkeypatch.setattr(windows, "LARGE_KEY", 60)
+    by = {}
+    for k, v, ok in rows:
+        by.setdefault(k, []).append((v, ok))
+    got = {(r["k"], r["v"]): r["serial"] for r in windows.with_serial(df, ["k"], [F.desc("v")]).collect()}
+    assert got == {(k, v): i + 1 for k, xs in by.items() for i, (v, _) in enumerate(sorted(xs, reverse=True))}
+    got = {(r["k"], r["v"]) for r in windows.take_while(df, F.col("ok"), ["k"], [F.col("v")]).collect()}
+    assert got == {(k, v) for k, xs in by.items() for v, _ in xs if all(ok for w, ok in xs if w <= v)}
+    assert windows.skip(df, ["k"], [F.col("v")], 3).count() == sum(max(0, len(x) - 3) for x in by.values())
