@@ -69,10 +69,8 @@ class GrowingReader(DataSourceStreamReader):
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
         store, folder = fs.FileSystem.from_uri(self.path)
         at = partition.start
-        with store.open_input_stream(f"{folder}/{partition.path}") as file:
-            skip = at if partition.first else at - 1
-            while skip > 0:
-                skip -= len(file.read(min(skip, 1 << 24)))
+        with store.open_input_file(f"{folder}/{partition.path}") as file:
+            file.seek(at if partition.first else at - 1)
             rest = b""
             if not partition.first:  # the line that began before is another task's
                 while (mark := rest.find(b"\n")) < 0:
