@@ -611,11 +611,30 @@ def p6_boundary_hulls(spark, d):
     return geo.boundary_hulls(v.points(spark, d))
 
 
-@query()
+def _clusters_sql(points: str, metres: int, least: int) -> str:
+    """Density clusters of ``spots`` (id, lat, lon), by all pairs."""
+    far = "2 * 6371000.0 * asin(sqrt(least(pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2), 1.0)))"
+    return f"""WITH RECURSIVE {points}, near AS (SELECT a.id AS a, b.id AS b FROM spots a JOIN spots b ON abs(a.lat - b.lat) < {metres} / 100000.0 AND {far} <= {metres}),
+core AS (SELECT a AS id FROM near GROUP BY 1 HAVING count(*) >= {least}), links AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a), named AS (SELECT a AS id, min(b) AS cluster FROM reach GROUP BY 1)
+SELECT id, cluster FROM named UNION ALL SELECT n.a, min(c.cluster) FROM near n JOIN named c ON n.b = c.id WHERE n.a NOT IN (SELECT id FROM core) GROUP BY 1"""
+
+
+@query(_clusters_sql(f"{v.POINTS}, spots AS (SELECT id, lat, lon FROM points)", 8000, 4))
 def p8_settlement_clusters(spark, d):
     return geo.settlement_clusters(v.points(spark, d).select("id", "lat", "lon"), 8000, 4)
 
 
+#: Customers in a town per nation, some of them far from it.
+TOWNS = "SELECT c_custkey AS id, 10.0 + c_nationkey * 0.08 + c_custkey * 7919 % 997 / 99700.0 AS lat, 20.0 + c_nationkey * 0.05 + c_custkey * 104729 % 991 / 99100.0 + CASE WHEN c_custkey % 13 = 0 THEN 0.02 ELSE 0.0 END AS lon FROM {customer}"
+
+
+@query(_clusters_sql(f"spots AS ({TOWNS.format(customer='customer')})", 500, 4))
+def p8_towns(spark, d):
+    spots = spark.sql(TOWNS, customer=table(spark, d, "customer")).select("id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    return geo.settlement_clusters(spots, 500, 4)
+
+
 @query()
 def p18_face_threshold(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
