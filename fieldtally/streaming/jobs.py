@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from fieldtally.operators.graph import shared_checkpoint
-from fieldtally.operators.linkage import block_list, compared_columns, large_blocks, prepared, score_joined, with_parts
+from fieldtally.operators.linkage import block_list, compared_columns, earlier_keys, first_met, large_blocks, prepared, score_joined, with_parts
 from fieldtally.operators.stock import legs
 from fieldtally.sources.growing import stream_lines
 from fieldtally.sources.stored import exists
@@ -89,7 +89,7 @@ BUCKETS = 64
 def index_rows(persons: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """A row per person and block key with all keys and what scores look at, by bucket of
     the key. ``persons``: prepared."""
-    rows = persons.select("id", *compared_columns(persons), F.array_sort(block_list()).alias("keys"))
+    rows = persons.select("id", *compared_columns(persons), block_list().alias("keys"))
     rows = rows.withColumn("block", F.explode("keys"))
     return rows.withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int"))
 
@@ -124,7 +124,7 @@ def compact_index(spark: SparkSession, path: str, into: str, schema: StructType)
 
 def check_against(new: DataFrame, known: DataFrame, split_rows: int = 2000) -> DataFrame:
     """Pairs of ``new`` index rows with each other and with ``known`` ones, with both
-    persons' columns. A pair meets under its least common key only; a key with more than
+    persons' columns. A pair meets under its first common key only; a key with more than
     ``split_rows`` rows is cut into parts by id, and the new rows go to all of them."""
     cols = [c for c in new.columns if c not in ("id", "keys", "block", "bucket")]
     both = known.withColumn("is_new", F.lit(False)).unionByName(new.withColumn("is_new", F.lit(True)))
@@ -132,10 +132,10 @@ def check_against(new: DataFrame, known: DataFrame, split_rows: int = 2000) -> D
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     a = with_parts(both, large).withColumn("part", own)
     b = with_parts(new, large).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    a = a.select("block", "part", "is_new", F.col("id").alias("id_a"), F.col("keys").alias("keys_a"), *[F.col(c).alias(f"a_{c}") for c in cols])
+    a = a.select("block", "part", "is_new", F.col("id").alias("id_a"), earlier_keys(F.col("keys"), F.col("block")).alias("earlier"), *[F.col(c).alias(f"a_{c}") for c in cols])
     b = b.select("block", "part", F.col("id").alias("id_b"), F.col("keys").alias("keys_b"), *[F.col(c).alias(f"b_{c}") for c in cols])
     met = a.join(b, ["block", "part"]).where("id_a <> id_b AND (NOT is_new OR id_a < id_b)")
-    return met.where(F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("block")).drop("keys_a", "keys_b", "is_new", "part", "block")
+    return met.where(first_met(F.col("earlier"), F.col("keys_b"))).drop("earlier", "keys_b", "is_new", "part", "block")
 
 
 def stream_dedup(registrations: DataFrame, index_path: str, out: str, checkpoint: str, threshold: float = 0.85, buckets: int = BUCKETS, split_rows: int = 2000) -> StreamingQuery:
