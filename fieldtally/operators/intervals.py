@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.operators.graph import FEW_NODES, shared_checkpoint
+from fieldtally.operators.groups import grouped
 
 #: Bins of a level are four times as wide as those of the level below.
 STEP = 4.0
@@ -23,8 +24,13 @@ def interval_join(a: DataFrame, b: DataFrame, a_ends: tuple[str, str], b_ends: t
     interval is copied to many bins nor a short one compared with far ones; a pair is
     taken in the bin where the later of them begins. A bin with more than ``split_rows``
     rows of ``a`` is cut into parts, and the bin's rows of ``b`` go to all of them. The
-    bins of ``b`` are sent to all tasks while they are few."""
+    bins of ``b`` are sent to all tasks while they are few. Equal intervals of ``b`` meet as
+    one and are told apart in the result."""
     on = on or []
+    columns = [*a.columns, *[c for c in b.columns if c not in on]]
+    lone = [c for c in b.columns if c not in (*on, *b_ends)]
+    if lone:
+        b = grouped(b, [*on, *dict.fromkeys(b_ends)], "items")
     a, b = (_with_ends(t, ends, s) for t, ends, s in ((a, a_ends, "a"), (b, b_ends, "b")))
     sizes = [t.select((F.col(f"__{s}_hi") - F.col(f"__{s}_lo")).alias("length"), F.col(f"__{s}_lo").alias("lo")) for t, s in ((a, "a"), (b, "b"))]
     seen = sizes[0].unionByName(sizes[1]).agg(F.percentile_approx(F.nullif("length", F.lit(0.0)), 0.5).alias("length"), (F.max("lo") - F.min("lo")).alias("range"), F.count("*").alias("n")).first()
@@ -42,12 +48,14 @@ def interval_join(a: DataFrame, b: DataFrame, a_ends: tuple[str, str], b_ends: t
     told = [f.name for f in a.schema if not f.name.startswith("__") and "map<" not in f.dataType.simpleString()]
     a = a.join(large, key, "left").withColumn("__part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*told), F.col("__parts")).cast("int"))).drop("__parts")
     b = shared_checkpoint(b)
-    b = F.broadcast(b) if b.count() <= FEW_NODES else b
+    n = b.agg(F.sum(F.size("items") if lone else F.lit(1)).alias("n")).first()["n"] or 0
+    b = F.broadcast(b) if n <= FEW_NODES else b
     j = a.join(b, [*key, "__part"])
     once = (F.col("__bin") == F.greatest("__a_first", "__b_first")) & (F.col("__level") == F.greatest("__a_level", "__b_level"))
     (al, ah), (bl, bh) = a_ends, b_ends
     j = j.where(once & ~((F.col(ah) < F.col(bl)) | (F.col(al) > F.col(bh))))
-    return j.drop(*[c for c in j.columns if c.startswith("__")])
+    j = j.drop(*[c for c in j.columns if c.startswith("__")])
+    return j.select(*[c for c in j.columns if c != "items"], F.inline("items")).select(*columns) if lone else j.select(*columns)
 
 
 def _with_ends(t: DataFrame, ends: tuple[str, str], s: str) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.functions.exprs import RULE_OPERATORS, jsround
-from fieldtally.operators.graph import FEW_NODES
 from fieldtally.operators.intervals import interval_join
 
 
@@ -90,12 +89,21 @@ def eligible_doses(people: DataFrame, rules: DataFrame) -> DataFrame:
     """Person, product and quantity for each rule the person meets (P12). ``rules``:
     rule_id, attr, lo, hi, product, quantity, one row per condition; all conditions of
     a rule must hold. ``people``: id and a map ``attrs``."""
-    need = rules.groupBy("rule_id").agg(F.count("*").alias("need"))
-    long = people.select("id", F.explode("attrs").alias("attr", "v"))
-    # All persons have the same attributes: values meet conditions in bins, not by name alone.
-    met = interval_join(long, rules, ("v", "v"), ("lo", "hi"), ["attr"])
-    hits = met.groupBy("id", "rule_id").agg(F.count("*").alias("n"), F.max("product").alias("product"), F.max("quantity").alias("quantity"))
-    return hits.join(F.broadcast(need) if need.count() <= FEW_NODES else need, "rule_id").where("n = need").select("id", "rule_id", "product", "quantity")
+    each = F.struct("attr", F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"))
+    whole = rules.where("rule_id IS NOT NULL").groupBy("rule_id").agg(F.collect_list(each).alias("conditions"), F.max("product").alias("product"), F.max("quantity").alias("quantity"))
+    long = people.select("id", "attrs", F.explode("attrs").alias("attr", "v"))
+    # A rule is met by its narrowest condition, as a hundred quantiles of the values tell;
+    # the others are tested there, so pairs need no grouping.
+    spread = long.groupBy("attr").agg(F.percentile_approx("v", [i / 100 for i in range(101)]).alias("marks"))
+    spread = spread.agg(F.map_from_entries(F.collect_list(F.struct("attr", "marks"))).alias("spread"))  # one row, by attribute
+    held = lambda c: F.size(F.filter(F.col("spread")[c["attr"]], lambda q: q.between(c["lo"], c["hi"])))
+    first = F.array_min(F.transform("conditions", lambda c: F.struct(F.coalesce(held(c), F.lit(-1)).alias("held"), (c["hi"] - c["lo"]).alias("width"), c["attr"].alias("attr"), c["lo"].alias("lo"), c["hi"].alias("hi"))))
+    led = whole.join(F.broadcast(spread), F.lit(True)).withColumn("first", first)
+    led = led.select(F.col("first.attr").alias("attr"), F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"), "rule_id", "product", "quantity", F.filter("conditions", lambda c: c != F.struct(F.col("first.attr").alias("attr"), F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"))).alias("others"))
+    met = interval_join(long, led, ("v", "v"), ("lo", "hi"), ["attr"])
+    value = lambda c: F.try_element_at("attrs", c["attr"])
+    rest = F.forall("others", lambda c: F.coalesce(~((value(c) < c["lo"]) | (value(c) > c["hi"])), F.lit(False)))
+    return met.where(rest).select("id", "rule_id", "product", "quantity")
 
 
 def check_plan(plan: DataFrame, allowed: DataFrame) -> DataFrame:

@@ -184,3 +184,24 @@ def test_numbers_of_large_keys(spark, monkeypatch):
     got = {(r["k"], r["v"]) for r in windows.take_while(df, F.col("ok"), ["k"], [F.col("v")]).collect()}
     assert got == {(k, v) for k, xs in by.items() for v, _ in xs if all(ok for w, ok in xs if w <= v)}
     assert windows.skip(df, ["k"], [F.col("v")], 3).count() == sum(max(0, len(x) - 3) for x in by.values())
+
+
+def test_wide_conditions_meet_nobody(spark, monkeypatch):
+    """A rule is met by its narrow condition alone: the wide one, which all persons hold, makes
+    no rows. Equal intervals are told apart again, in arrays of a few."""
+    from fieldtally.operators import groups
+
+    monkeypatch.setattr(groups, "GROUP_ROWS", 3)
+    met, real = [], microplan.interval_join
+
+    def noted(*args):
+        out = real(*args)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(microplan, "interval_join", noted)
+    people = spark.range(200).select("id", F.create_map(F.lit("age"), F.col("id").cast("double"), F.lit("weight"), (F.col("id") % 7).cast("double")).alias("attrs"))
+    rows = [(i, a, lo, hi, "p", 1.0) for i in range(40) for a, lo, hi in (("age", float(i % 4), float(i % 4)), ("weight", 0.0, 3.0))] + [(90, "age", 1.0, 5.0, "p", 1.0), (90, "none", 0.0, 9.0, "p", 1.0)]
+    rules = spark.createDataFrame(rows, "rule_id int, attr string, lo double, hi double, product string, quantity double")
+    got = sorted((r["id"], r["rule_id"]) for r in microplan.eligible_doses(people, rules).collect())
+    assert got == sorted((i % 4, i) for i in range(40)) and met[0] == 40
