@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fieldtally.functions.exprs import EARTH_M, box_around, haversine_m
 from fieldtally.operators.graph import FEW_NODES, components, shared_checkpoint
+from fieldtally.operators.groups import grouped
 
 METRES_A_DEGREE = 111_194.9
 #: Points of a cell that a task compares with at once; a cell with more is cut into parts.
@@ -48,25 +49,29 @@ def _ring_cell(lon: Column, cells: Column) -> Column:
 def pairs_within(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
     """``a_id, b_id, metres`` of points (id, lat, lon) at most ``metres`` apart, anywhere
     on the globe. Bands of latitude have as many cells as their length allows, and the
-    last cell of a band borders on its first. ``b`` is copied to nine cells."""
+    last cell of a band borders on its first. ``b`` is copied to nine cells. Equal places
+    are measured once, and the pairs of their points are made from the result."""
     wide = metres * (1 + 1e-9)
     height = max(wide / METRES_A_DEGREE, 1e-6)
     band = lambda lat: F.floor(lat / height).cast("long")
-    left = a.select(F.col("id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), band(F.col("lat")).alias("cx"))
+    a, b = (grouped(t.select("id", "lat", "lon"), ["lat", "lon"], "ids") for t in (a, b))
+    left = a.select(F.col("ids").alias("a_ids"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), band(F.col("lat")).alias("cx"))
     left = left.withColumn("cy", _ring_cell(F.col("a_lon"), _ring_cells(F.col("cx"), height, wide)))
-    right = b.select(F.col("id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), F.explode(F.sequence(band(F.col("lat")) - 1, band(F.col("lat")) + 1)).alias("cx"))
+    right = b.select(F.col("ids").alias("b_ids"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), F.explode(F.sequence(band(F.col("lat")) - 1, band(F.col("lat")) + 1)).alias("cx"))
     right = right.withColumn("n", _ring_cells(F.col("cx"), height, wide)).withColumn("c", _ring_cell(F.col("b_lon"), F.col("n")))
     near = F.array_distinct(F.array(*[F.pmod(F.col("c") + i, F.col("n")) for i in (-1, 0, 1)]))
-    right = right.select("b_id", "b_lat", "b_lon", "cx", F.explode(near).alias("cy"))
+    right = right.select("b_ids", "b_lat", "b_lon", "cx", F.explode(near).alias("cy"))
     # A crowded cell of ``a`` is cut into parts, and the points of ``b`` around it go to all.
     sizes = left.groupBy("cx", "cy").agg(F.count("*").alias("n")).where(F.col("n") > CELL_PART)
     large = shared_checkpoint(sizes.select("cx", "cy", F.ceil(F.col("n") / CELL_PART).cast("int").alias("parts")))
     large = F.broadcast(large) if large.count() <= FEW_NODES else large
     parts = F.coalesce("parts", F.lit(1))
-    left = left.join(large, ["cx", "cy"], "left").withColumn("part", F.pmod(F.xxhash64("a_id"), parts).cast("int")).drop("parts")
+    left = left.join(large, ["cx", "cy"], "left").withColumn("part", F.pmod(F.xxhash64("a_lat", "a_lon"), parts).cast("int")).drop("parts")
     right = right.join(large, ["cx", "cy"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     d = haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    return left.join(right, ["cx", "cy", "part"]).select("a_id", "b_id", d.alias("metres")).where(F.col("metres") <= metres)
+    near = left.join(right, ["cx", "cy", "part"]).select("a_ids", "b_ids", d.alias("metres")).where(F.col("metres") <= metres)
+    near = near.select(F.explode("a_ids.id").alias("a_id"), "b_ids", "metres")
+    return near.select("a_id", F.explode("b_ids.id").alias("b_id"), "metres")
 
 
 def within_radius(df: DataFrame, lat: float, lon: float, metres: float, k: int = 50) -> DataFrame:
@@ -76,30 +81,45 @@ def within_radius(df: DataFrame, lat: float, lon: float, metres: float, k: int =
     return out.where(F.col("metres") <= metres).orderBy("metres", "id").limit(k)
 
 
+#: Centroids in a centroid's own cell, on average, with which a search begins at most.
+CELL_CENTROIDS = 8
+
+
+def _first_cells(places: DataFrame, degrees: float) -> float:
+    """``degrees``, or a quarter of it as often as cells are still crowded."""
+    sizes = [degrees / 4**k for k in range(10)]
+    spots = F.array(*[F.struct(F.lit(k).alias("k"), *[c.alias(n) for n, c in zip(("cx", "cy"), cell(F.col("c_lat"), F.col("c_lon"), d))]) for k, d in enumerate(sizes)])
+    held = places.select(F.inline(spots)).groupBy("k", "cx", "cy").agg(F.count("*").cast("double").alias("n"))
+    crowd = {r["k"]: r["crowd"] for r in held.groupBy("k").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("crowd")).collect()}  # ten rows
+    return next((d for k, d in enumerate(sizes) if crowd.get(k, 0) <= CELL_CENTROIDS), sizes[-1])
+
+
 def nearest(points: DataFrame, centroids: DataFrame, degrees: float = 1.0) -> DataFrame:
     """``id, code, metres``: the nearest centroid of every point.
 
     A point looks at the centroids in the 3 x 3 cells around it. If the nearest of them
     may lie further off than something outside, the point looks again in cells four
-    times as wide; the widest cells hold the whole globe."""
-    c = centroids.select(F.col("code"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
+    times as wide; the widest cells hold the whole globe. The first cells have sides of
+    ``degrees``, or less where centroids lie close. Equal places look once."""
+    c = centroids.groupBy(F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon")).agg(F.min("code").alias("code"))
+    c = shared_checkpoint(c)
+    degrees = _first_cells(c, degrees)
     d = haversine_m(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))
-    rest, done = points.select("id", "lat", "lon"), None
+    rest, done = points.where("lat IS NOT NULL AND lon IS NOT NULL").select("lat", "lon").distinct(), None
     while True:
         near_c = c.select("*", F.inline(_around(F.col("c_lat"), F.col("c_lon"), degrees)))
         x, y = cell(F.col("lat"), F.col("lon"), degrees)
-        best = rest.withColumns({"cx": x, "cy": y}).join(near_c, ["cx", "cy"]).groupBy("id", "lat", "lon").agg(F.min(F.struct(d.alias("metres"), "code")).alias("b"))
+        best = rest.withColumns({"cx": x, "cy": y}).join(near_c, ["cx", "cy"]).groupBy("lat", "lon").agg(F.min(F.struct(d.alias("metres"), "code")).alias("b"))
         # Nothing nearer than a cell's width at this latitude lies outside 3 x 3.
         width = degrees * METRES_A_DEGREE * F.cos(F.radians(F.least(F.abs("lat") + degrees, F.lit(89.0))))
         sure = (F.col("b.metres") <= width) & (F.abs("lon") + degrees < 180)
         found = best if degrees >= 360 else best.where(sure)
-        found = shared_checkpoint(found.select("id", "b.code", "b.metres"))
+        found = shared_checkpoint(found.select("lat", "lon", "b.code", "b.metres"))
         done = found if done is None else done.unionByName(found)
-        if degrees >= 360:
-            return done
-        rest = shared_checkpoint(rest.join(found, "id", "left_anti"))
-        if rest.isEmpty():
-            return done
+        if degrees < 360:
+            rest = shared_checkpoint(rest.join(found, ["lat", "lon"], "left_anti"))
+        if degrees >= 360 or rest.isEmpty():
+            return points.select("id", "lat", "lon").join(done, ["lat", "lon"]).select("id", "code", "metres")
         degrees = min(360.0, degrees * 4)
 
 
@@ -190,7 +210,10 @@ def cover_of(edges: np.ndarray) -> list[tuple[int, int, int, int, np.ndarray]]:
         if parts and sum(len(c[4]) for c in parts) <= 3 * len(own):
             todo += parts
         else:
-            out.append((level, x, y, crossings, edges[own]))
+            # Level edges cross no ray; they tell which points lie on the boundary.
+            side = CELL_SIDES[level]
+            near = (flat[:, 0] >= x * side) & (flat[:, 0] <= (x + 1) * side) & (flat[:, 1] <= (y + 1) * side + margin) & (flat[:, 2] >= y * side - margin)
+            out.append((level, x, y, crossings, np.vstack([edges[own], flat[near][:, [0, 1, 0, 2]]])))
     return out
 
 
@@ -218,10 +241,11 @@ def _edge(a: Column, b: Column) -> Column:
     return F.array(*[p[c].cast("double") for p in (a, b) for c in ("lat", "lon")])
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
+def points_in_polygons(points: DataFrame, polygons: DataFrame, on_edge: bool = True) -> DataFrame:
     """``points`` columns and ``boundary_code`` (D31): cells of each polygon's cover meet
     the points' cells; inner cells take every point, border cells count crossings of
-    their own edges."""
+    their own edges. A point on an edge is in or out as its ray says; with ``on_edge=False``
+    it is out (exact on edges along the axes, within rounding on others)."""
     cover = shared_checkpoint(polygon_cover(polygons))
     size = cover.groupBy("level").agg(F.sum(64 + 48 * F.size("edges")).alias("bytes")).collect()  # a row per level
     if sum(r["bytes"] for r in size) <= COVER_BYTES:
@@ -235,13 +259,19 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
         at = (e[3] - e[1]) * (lat - e[0]) / (e[2] - e[0]) + e[1]
         return F.when(((e[0] > lat) != (e[2] > lat)) & (lon < at), 1).otherwise(0)
 
+    def holds(e: Column) -> Column:
+        within = lat.between(F.least(e[0], e[2]), F.greatest(e[0], e[2])) & lon.between(F.least(e[1], e[3]), F.greatest(e[1], e[3]))
+        return within & ((e[3] - e[1]) * (lat - e[0]) == (e[2] - e[0]) * (lon - e[1]))
+
     own = F.aggregate("edges", F.col("crossings"), lambda n, e: n + crosses(e))
+    if not on_edge:
+        joined = joined.where(~F.exists("edges", holds))
     return joined.where(own % 2 == 1).drop("level", "cx", "cy", "crossings", "edges")
 
 
-def zonal_sum(cells: DataFrame, polygons: DataFrame, value: str = "population") -> DataFrame:
+def zonal_sum(cells: DataFrame, polygons: DataFrame, value: str = "population", on_edge: bool = True) -> DataFrame:
     """D32."""
-    return points_in_polygons(cells, polygons).groupBy("boundary_code").agg(F.sum(value).alias(value))
+    return points_in_polygons(cells, polygons, on_edge).groupBy("boundary_code").agg(F.sum(value).alias(value))
 
 
 def _hull(points: np.ndarray) -> np.ndarray:
