@@ -154,10 +154,10 @@ def d29_pairs_within(spark, d):
 
 @query("SELECT boundary_code, count(*) AS people FROM (SELECT concat('Z', CAST(z AS varchar)) AS boundary_code FROM (" + v.POINTS_SELECT.format(text="varchar", customer="customer") + ") p JOIN range(0, 4) t(z) ON p.lat > 10.2 + 0.4 * z AND p.lat < 10.5 + 0.4 * z AND p.lon > 15.3 AND p.lon < 16.7) GROUP BY 1")
 def d31_points_in_polygons(spark, d):
-    ring = F.array(*[F.struct(F.lit(x).alias("lon"), (F.col("s") + y).alias("lat")) for x, y in ((15.3, 0.0), (16.7, 0.0), (16.7, 0.3), (15.3, 0.3))])
-    z = spark.range(4).select(F.concat(F.lit("Z"), F.col("id").cast("string")).alias("boundary_code"), (F.col("id") * 0.4 + 10.2).alias("s"))
+    ring = F.array(*[F.struct(F.lit(x).alias("lon"), ((F.col("s") + y) / 10.0).alias("lat")) for x, y in ((15.3, 0), (16.7, 0), (16.7, 3), (15.3, 3))])
+    z = spark.range(4).select(F.concat(F.lit("Z"), F.col("id").cast("string")).alias("boundary_code"), (F.col("id") * 4 + 102).alias("s"))  # in tenths, so that corners are those of the decimals
     polygons = z.select("boundary_code", F.array(ring).alias("rings"))
-    return geo.points_in_polygons(v.points(spark, d).drop("boundary_code"), polygons).groupBy("boundary_code").agg(F.count("*").alias("people"))
+    return geo.points_in_polygons(v.points(spark, d).drop("boundary_code"), polygons, on_edge=False).groupBy("boundary_code").agg(F.count("*").alias("people"))
 
 
 @query(f"WITH {v.POINTS}, cen AS (SELECT 'S' || s_suppkey AS code, (s_suppkey * 7919 % 20000) / 10000.0 + 10.0 AS clat, (s_suppkey * 104729 % 20000) / 10000.0 + 15.0 AS clon FROM supplier), d AS (SELECT id, code, 2 * 6371000.0 * asin(sqrt(least(pow(sin((radians(clat) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(clat)) * pow(sin(radians(clon - lon) / 2), 2), 1.0))) AS m FROM points, cen) SELECT id, code FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, code) AS n FROM d) WHERE n = 1")

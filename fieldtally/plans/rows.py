@@ -397,10 +397,10 @@ def d26_user_edits(spark, d):
 
 @query("SELECT 'Z' || z AS boundary_code, CAST(sum(c_custkey % 13) AS BIGINT) AS population FROM (" + v.POINTS_SELECT.format(text="varchar", customer="customer").replace("c_name AS name", "c_custkey") + ") p JOIN range(0, 4) t(z) ON p.lat > 10.2 + 0.4 * z AND p.lat < 10.5 + 0.4 * z AND p.lon > 15.3 AND p.lon < 16.7 GROUP BY 1")
 def d32_zonal_sum(spark, d):
-    ring = F.array(*[F.struct(F.lit(x).alias("lon"), (F.col("s") + y).alias("lat")) for x, y in ((15.3, 0.0), (16.7, 0.0), (16.7, 0.3), (15.3, 0.3))])
-    z = spark.range(4).select(F.concat(F.lit("Z"), F.col("id").cast("string")).alias("boundary_code"), (F.col("id") * 0.4 + 10.2).alias("s"))
+    ring = F.array(*[F.struct(F.lit(x).alias("lon"), ((F.col("s") + y) / 10.0).alias("lat")) for x, y in ((15.3, 0), (16.7, 0), (16.7, 3), (15.3, 3))])
+    z = spark.range(4).select(F.concat(F.lit("Z"), F.col("id").cast("string")).alias("boundary_code"), (F.col("id") * 4 + 102).alias("s"))  # in tenths, so that corners are those of the decimals
     cells = v.points(spark, d).select("lat", "lon", (F.col("id") % 13).alias("population"))
-    return geo.zonal_sum(cells, z.select("boundary_code", F.array(ring).alias("rings")))
+    return geo.zonal_sum(cells, z.select("boundary_code", F.array(ring).alias("rings")), on_edge=False)
 
 
 @query("SELECT l_orderkey, l_linenumber, o_orderstatus FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_custkey % 2 = 0")
