@@ -573,7 +573,8 @@ def g6_by_name(spark, d):
 @query(f"WITH {v.STOCK} SELECT id, created_time, row_number() OVER (ORDER BY coalesce(created_time, 0) DESC, id) - 1 AS place FROM (SELECT id, CASE WHEN product % 2 = 0 THEN created_time END AS created_time FROM stock)")
 def g7_newest_first(spark, d):
     s = v.stock(spark, d).select("id", F.when(F.col("product") % 2 == 0, F.col("created_time")).alias("created_time"))
-    return windows.with_place(s, windows.newest_order("created_time", "id"))
+    # Of rows that the SQL leaves open (one id, time 0 and none), the one with a time comes first.
+    return windows.with_place(s, [*windows.newest_order("created_time", "id"), F.col("created_time").asc_nulls_last()])
 
 
 @query("SELECT 'N' || c_nationkey AS boundary_code, round(sum(c_acctbal) - count(*), 4) AS gap FROM customer GROUP BY 1 ORDER BY sum(c_acctbal) - count(*) DESC LIMIT 10")

@@ -49,3 +49,15 @@ def test_equal_places_are_measured_once(spark, monkeypatch):
     found = geo.pairs_within(points, points, 900)
     assert sorted((r["a_id"], r["b_id"]) for r in found.collect()) == sorted(want)
     assert "Generate explode(a_ids" in found._jdf.queryExecution().optimizedPlan().toString()  # pairs are made after the distance
+
+
+def test_rows_without_a_time_follow_time_zero(spark, tmp_path):
+    """Whatever the order of the input, rows that share an id at time 0 are numbered alike."""
+    from fieldtally.plans import rows  # noqa: F401
+    from fieldtally.plans.queries import QUERIES
+
+    lines = spark.createDataFrame([(0, p, 1, 5, 1.0, "O", "A") for p in (1, 2, 3, 4)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_linestatus string, l_returnflag string")
+    for i, way in enumerate(("l_partkey", "-l_partkey")):
+        lines.orderBy(F.expr(way)).coalesce(1).write.parquet(f"{tmp_path}/{i}/lineitem.parquet")
+        got = {r["place"]: r["created_time"] for r in QUERIES["g7_newest_first"](spark, f"{tmp_path}/{i}").collect()}
+        assert got == {0: 0, 1: 0, 2: None, 3: None}
