@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.functions.exprs import RULE_OPERATORS, jsround
+from fieldtally.operators.graph import shared_checkpoint
+from fieldtally.operators.groups import grouped
 from fieldtally.operators.intervals import interval_join
 
 
@@ -85,25 +87,57 @@ def microplan(df: DataFrame, rules: list[Rule], assumptions: dict[str, float], e
     return df.drop("__edit") if by_resource is not None else df
 
 
+#: Cells that the second condition of a rule may cover; one that covers more is tested only.
+RULE_CELLS = 16
+
+
 def eligible_doses(people: DataFrame, rules: DataFrame) -> DataFrame:
     """Person, product and quantity for each rule the person meets (P12). ``rules``:
     rule_id, attr, lo, hi, product, quantity, one row per condition; all conditions of
-    a rule must hold. ``people``: id and a map ``attrs``."""
+    a rule must hold. ``people``: id and a map ``attrs``.
+
+    Persons with equal attributes meet rules as one. A rule is met by its narrowest
+    condition, within the cells of a second one; the others are tested there, so pairs
+    need no grouping."""
     each = F.struct("attr", F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"))
     whole = rules.where("rule_id IS NOT NULL").groupBy("rule_id").agg(F.collect_list(each).alias("conditions"), F.max("product").alias("product"), F.max("quantity").alias("quantity"))
-    long = people.select("id", "attrs", F.explode("attrs").alias("attr", "v"))
-    # A rule is met by its narrowest condition, as a hundred quantiles of the values tell;
-    # the others are tested there, so pairs need no grouping.
-    spread = long.groupBy("attr").agg(F.percentile_approx("v", [i / 100 for i in range(101)]).alias("marks"))
-    spread = spread.agg(F.map_from_entries(F.collect_list(F.struct("attr", "marks"))).alias("spread"))  # one row, by attribute
+    alike = grouped(people.select("id", F.array_sort(F.map_entries("attrs")).alias("entries")).where("entries IS NOT NULL"), ["entries"], "people")
+    alike = shared_checkpoint(alike.select("entries", F.transform("people", lambda p: p["id"]).alias("people")))  # read for its spread, and to meet
+    # How narrow a condition is tell a hundred quantiles of the values.
+    spread = alike.select(F.inline("entries").alias("attr", "v")).groupBy("attr").agg(F.percentile_approx("v", [i / 100 for i in range(101)]).alias("marks"))
+    spread = _by_attribute(spread.select("attr", F.col("marks").alias("told")), "spread")
     held = lambda c: F.size(F.filter(F.col("spread")[c["attr"]], lambda q: q.between(c["lo"], c["hi"])))
-    first = F.array_min(F.transform("conditions", lambda c: F.struct(F.coalesce(held(c), F.lit(-1)).alias("held"), (c["hi"] - c["lo"]).alias("width"), c["attr"].alias("attr"), c["lo"].alias("lo"), c["hi"].alias("hi"))))
-    led = whole.join(F.broadcast(spread), F.lit(True)).withColumn("first", first)
-    led = led.select(F.col("first.attr").alias("attr"), F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"), "rule_id", "product", "quantity", F.filter("conditions", lambda c: c != F.struct(F.col("first.attr").alias("attr"), F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"))).alias("others"))
-    met = interval_join(long, led, ("v", "v"), ("lo", "hi"), ["attr"])
-    value = lambda c: F.try_element_at("attrs", c["attr"])
-    rest = F.forall("others", lambda c: F.coalesce(~((value(c) < c["lo"]) | (value(c) > c["hi"])), F.lit(False)))
-    return met.where(rest).select("id", "rule_id", "product", "quantity")
+    ranked = F.array_sort(F.transform("conditions", lambda c: F.struct(F.coalesce(held(c), F.lit(-1)).alias("held"), (c["hi"] - c["lo"]).alias("width"), c["attr"].alias("attr"), c["lo"].alias("lo"), c["hi"].alias("hi"))))
+    led = whole.join(F.broadcast(spread), F.lit(True)).withColumn("ranked", ranked).withColumn("first", F.col("ranked")[0]).where("first.attr IS NOT NULL")
+    led = shared_checkpoint(led.withColumn("second", F.get(F.filter("ranked", lambda c: (c["attr"] != F.col("first.attr")) & (c["held"] >= 0) & (c["width"] >= 0)), 0)).drop("spread", "ranked"))
+    # The attribute that most rules led by another one have as their second, in cells of a usual width.
+    cuts = led.where("second IS NOT NULL").groupBy(F.col("first.attr").alias("attr"), F.col("second.attr").alias("by")).agg(F.count("*").alias("n"), F.percentile_approx("second.width", 0.5).alias("width"))
+    width = F.when((F.col("width") > 0) & (F.col("width") < float("inf")), F.col("width")).otherwise(1.0)
+    cuts = _by_attribute(cuts.groupBy("attr").agg(F.max_by(F.struct("by", width.alias("width")), F.struct("n", "by")).alias("told")), "cuts")
+    led = led.join(F.broadcast(cuts), F.lit(True)).withColumn("plan", F.col("cuts")[F.col("first.attr")])
+    near = (F.col("second.attr") == F.col("plan.by")) & (F.col("second.width") / F.col("plan.width") < RULE_CELLS)
+    cell = lambda x: F.floor(x / F.col("plan.width"))
+    led = led.withColumn("second", F.when(near, F.col("second"))).withColumn("cut", F.col("second").isNotNull())
+    same = lambda c, name: F.coalesce(c == F.struct(*[F.col(f"{name}.{x}").alias(x) for x in ("attr", "lo", "hi")]), F.lit(False))
+    others = F.filter("conditions", lambda c: ~same(c, "first") & ~(F.col("cut") & same(c, "second")))
+    cells = F.when(F.col("cut"), F.sequence(cell(F.col("second.lo")), cell(F.col("second.hi")))).otherwise(F.array(F.lit(0).cast("long")))
+    led = led.select(F.col("first.attr").alias("attr"), "cut", F.explode(cells).alias("cell"), F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"), F.col("second.lo").alias("lo2"), F.col("second.hi").alias("hi2"), "rule_id", "product", "quantity", others.alias("others"))
+    # Persons come once for the rules with cells that an attribute leads, and once for those without.
+    ways = _by_attribute(led.groupBy("attr").agg(F.collect_set("cut").alias("told")), "ways")
+    long = alike.join(F.broadcast(cuts), F.lit(True)).join(F.broadcast(ways), F.lit(True)).select("entries", "people", "cuts", "ways", F.inline("entries").alias("attr", "v"))
+    long = long.select("entries", "people", "attr", "v", F.col("cuts")[F.col("attr")].alias("plan"), F.explode(F.col("ways")[F.col("attr")]).alias("cut"))
+    value = lambda name: F.get(F.filter("entries", lambda e: e["key"] == name), 0)["value"].cast("double")
+    long = long.withColumn("v2", F.when(F.col("cut"), value(F.col("plan.by")))).withColumn("cell", F.when(F.col("cut"), cell(F.col("v2"))).otherwise(0))
+    met = interval_join(long.drop("plan"), led, ("v", "v"), ("lo", "hi"), ["attr", "cut", "cell"])
+    within = lambda v, lo, hi: F.coalesce(~((v < lo) | (v > hi)), F.lit(False))
+    met = met.where(~F.col("cut") | within(F.col("v2"), F.col("lo2"), F.col("hi2")))
+    met = met.where((F.size("others") == 0) | F.forall("others", lambda c: within(value(c["attr"]), c["lo"], c["hi"])))
+    return met.select(F.explode("people").alias("id"), "rule_id", "product", "quantity")
+
+
+def _by_attribute(told: DataFrame, name: str) -> DataFrame:
+    """One row: a map from attr to told."""
+    return told.agg(F.map_from_entries(F.collect_list(F.struct("attr", "told"))).alias(name))
 
 
 def check_plan(plan: DataFrame, allowed: DataFrame) -> DataFrame:

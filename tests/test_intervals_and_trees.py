@@ -205,3 +205,27 @@ def test_wide_conditions_meet_nobody(spark, monkeypatch):
     rules = spark.createDataFrame(rows, "rule_id int, attr string, lo double, hi double, product string, quantity double")
     got = sorted((r["id"], r["rule_id"]) for r in microplan.eligible_doses(people, rules).collect())
     assert got == sorted((i % 4, i) for i in range(40)) and met[0] == 40
+
+
+def test_rules_meet_in_cells_and_persons_as_one(spark, monkeypatch):
+    """Persons with equal attributes meet a rule as one, and only within the cells of its
+    second condition; rows equal brute force, with values and ends that are missing or odd."""
+    met, real = [], microplan.interval_join
+    monkeypatch.setattr(microplan, "interval_join", lambda *args: met.append(real(*args)) or met[-1])
+    inf, nan = float("inf"), float("nan")
+    people = [(i, {"age": float(i % 40), "weight": float(i // 40 % 40)}) for i in range(3200)]
+    doses = "rule_id int, attr string, lo double, hi double, product string, quantity double"
+    rules = [(i, a, x, x + 1.0, "p", 1.0) for i in range(60) for a, x in (("age", float(i % 30)), ("weight", float(i % 23)))]
+    frame = lambda rows: spark.createDataFrame(rows, "id int, attrs map<string,double>")
+    out = microplan.eligible_doses(frame(people), spark.createDataFrame(rules, doses)).count()
+    assert out == 60 * 4 * 2 and met[0].count() <= 60 * 8  # 60 * 80 classes of one condition, each of two persons
+    rng = random.Random(5)
+    some = lambda: rng.choice([float(rng.randint(0, 9)), rng.uniform(0, 9), 3.0])
+    people = [(i, {a: rng.choice([some(), some(), some(), None, nan, inf]) for a in "abcd" if rng.random() < 0.8}) for i in range(150)] + [(900, None), (901, {})]
+    rules = [(i, a, *rng.choice([(x, x + some()), (x, x), (x, inf), (-inf, x), (x + 1, x), (-1e300, 1e300), (None, x)]), "p", 1.0) for i in range(80) for a in rng.sample("abcde", rng.randint(1, 4)) for x in [some()]]
+    rules += [(200, "a", 1.0, 5.0, "p", 1.0), (200, "a", 3.0, 9.0, "p", 1.0), (201, None, 1.0, 5.0, "p", 1.0), (201, "a", 1.0, 5.0, "p", 1.0)]
+    big = lambda x: (x != x, x if x == x else 0.0)  # noqa: E731  as Spark orders numbers
+    holds = lambda v, lo, hi: None not in (v, lo, hi) and big(lo) <= big(v) <= big(hi)
+    want = sorted((p, r) for p, attrs in people for r in {x[0] for x in rules} if all(holds((attrs or {}).get(a), lo, hi) for k, a, lo, hi, *_ in rules if k == r))
+    got = sorted((r["id"], r["rule_id"]) for r in microplan.eligible_doses(frame(people), spark.createDataFrame(rules, doses)).collect())
+    assert got == want and len(want) > 500
