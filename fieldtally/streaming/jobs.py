@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from fieldtally.operators.graph import shared_checkpoint
-from fieldtally.operators.linkage import block_list, compared_columns, earlier_keys, first_met, large_blocks, prepared, score_joined, with_parts
+from fieldtally.operators.linkage import block_list, compared_columns, earlier_keys, first_met, in_order, large_blocks, prepared, score_joined, scored_pairs, with_parts
 from fieldtally.operators.stock import legs
 from fieldtally.sources.growing import stream_lines
 from fieldtally.sources.stored import exists
@@ -122,12 +122,13 @@ def compact_index(spark: SparkSession, path: str, into: str, schema: StructType)
     add_to_index(rows.drop("batch"), into, -1)
 
 
-def check_against(new: DataFrame, known: DataFrame, split_rows: int = 2000) -> DataFrame:
-    """Pairs of ``new`` index rows with each other and with ``known`` ones, with both
-    persons' columns. A pair meets under its first common key only; a key with more than
+def check_against(new: DataFrame, known: DataFrame, split_rows: int = 2000, among_new: bool = True) -> DataFrame:
+    """Pairs of ``new`` index rows with ``known`` ones, and with each other if
+    ``among_new``, with both persons' columns. A pair meets under its first common key only; a key with more than
     ``split_rows`` rows is cut into parts by id, and the new rows go to all of them."""
     cols = [c for c in new.columns if c not in ("id", "keys", "block", "bucket")]
-    both = known.withColumn("is_new", F.lit(False)).unionByName(new.withColumn("is_new", F.lit(True)))
+    both = known.withColumn("is_new", F.lit(False))
+    both = both.unionByName(new.withColumn("is_new", F.lit(True))) if among_new else both
     large = large_blocks(both.select("block"), split_rows)
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     a = with_parts(both, large).withColumn("part", own)
@@ -139,7 +140,8 @@ def check_against(new: DataFrame, known: DataFrame, split_rows: int = 2000) -> D
 
 
 def stream_dedup(registrations: DataFrame, index_path: str, out: str, checkpoint: str, threshold: float = 0.85, buckets: int = BUCKETS, split_rows: int = 2000) -> StreamingQuery:
-    """Each batch is checked against the index by block key, then joins it.
+    """Each batch is compared with itself, checked against the index by block key, then
+    joins it (J6).
 
     The index lies in a folder per bucket of keys and batch: a batch reads the buckets of
     its own keys, as far as earlier batches wrote them, so a batch that runs again sees
@@ -147,14 +149,17 @@ def stream_dedup(registrations: DataFrame, index_path: str, out: str, checkpoint
     spark = registrations.sparkSession
 
     def batch(df: DataFrame, n: int) -> None:
-        new = shared_checkpoint(index_rows(prepared(df), buckets))
-        touched = sorted(r[0] for r in new.select("bucket").distinct().collect())  # numbers below ``buckets``
+        persons = prepared(df.repartition(4 * spark.sparkContext.defaultParallelism, "id"))  # files may be few and uneven
+        pairs = scored_pairs(persons, threshold, split_rows=split_rows)
+        new = index_rows(persons, buckets)
+        # Numbers below ``buckets``; the first batch finds no index, and none is read for it.
+        touched = sorted(r[0] for r in new.select("bucket").distinct().collect()) if exists(spark, index_path) else []
         known = read_index(spark, index_path, touched, n, new.schema)
-        mine = new.select("block").distinct()
-        known = shared_checkpoint(known.join(mine, "block", "left_semi"))
-        pairs = score_joined(check_against(new, known, split_rows).withColumnsRenamed({"id_a": "id1", "id_b": "id2"}), least=threshold)
-        first = F.col("id1") < F.col("id2")
-        pairs = pairs.withColumns({"id1": F.when(first, F.col("id1")).otherwise(F.col("id2")), "id2": F.when(first, F.col("id2")).otherwise(F.col("id1"))})
+        if touched:
+            new = shared_checkpoint(new)
+            known = shared_checkpoint(known.join(new.select("block").distinct(), "block", "left_semi"))
+            met = check_against(new, known, split_rows, among_new=False).withColumnsRenamed({"id_a": "id1", "id_b": "id2"})
+            pairs = pairs.unionByName(in_order(score_joined(met, least=threshold)))
         pairs.write.mode("overwrite").parquet(f"{out}/batch={n}")
         add_to_index(new, index_path, n)
 
